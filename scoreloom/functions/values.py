@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LOOKUP = 10_000  # larger lookups belong in a joined table
@@ -56,13 +56,25 @@ def strict_json(candidate: Column) -> Column:
 
 
 def variant_kind(v: Column) -> Column:
-    """'object', 'array', 'string', 'boolean', 'number', 'null' or SQL NULL when absent."""
-    t = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(t == "VOID", "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
-            .when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("number"))
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID (JSON null) or a number type; SQL NULL when absent."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def variant_text(v: Column) -> Column:
     """A scalar as text the way JSON shows it, without quotes."""
     return F.try_variant_get(v, "$", "string")
+
+
+def fence(df: DataFrame, computed: list[str]) -> DataFrame:
+    """Evaluate costly columns once per row.
+
+    A filter on a computed column is normally pushed below its projection by copying the whole
+    expression.  The columns pass through a one-element generator here, which no filter crosses.
+    """
+    kept = [c for c in df.columns if c not in computed]
+    return (df.select(*kept, F.explode(F.array(F.struct(*computed))).alias("__fenced"))
+            .select(*kept, *[F.col("__fenced")[c].alias(c) for c in computed]))

@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers them."""
 
-from scoreloom.plans import queries_runs, queries_scores  # noqa: F401
+from scoreloom.plans import queries_answers, queries_runs, queries_scores  # noqa: F401
 from scoreloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

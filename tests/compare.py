@@ -23,7 +23,7 @@ def session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").appName("scoreloom-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
