@@ -60,15 +60,6 @@ def variant_kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-
-
-def variant_text(v: Column) -> Column:
-    """A scalar as text the way JSON shows it, without quotes."""
-    return F.try_variant_get(v, "$", "string")
-
-
 def fence(df: DataFrame, computed: list[str]) -> DataFrame:
     """Evaluate costly columns once per row.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import quote_in_text, strip
-from scoreloom.functions.values import fence, is_number, strict_json, variant_kind, variant_text
+from scoreloom.functions.values import fence, strict_json, variant_kind
 from scoreloom.operators.rubric import Output, Rubric
 
 PROBLEM = "array<struct<code:string,severity:string,item:string,message:string>>"
@@ -37,83 +37,96 @@ def extract_json(text: Column) -> Column:
     text = strip(text)
     fenced = strip(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1))
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    tries = [F.when(c != "", strict_json(c)) for c in (text, fenced, braces)]
-    return F.coalesce(*tries)
+    # a failed parse is costly, so texts that cannot begin a JSON value are not tried
+    may_start = r'^(?:[\[{"]|-?\d|true$|false$|null$)'
+    return F.coalesce(*[F.when(c.rlike(may_start), strict_json(c)) for c in (text, fenced, braces)])
 
 
-def _raw_entries(answer: Column, rubric: Rubric, labels: Mapping[str, Column]) -> Column:
-    """array<struct<item_id, per, n_labels, allow_na, present, raw>>, one entry per rubric item."""
-    entries = []
-    for item in rubric.items:
-        raw = F.try_variant_get(answer, f'$.item_scores["{item.id}"]', "variant")
-        n = labels[item.per] if item.per else F.lit(None)
-        entries.append(F.struct(F.lit(item.id).alias("item_id"), F.lit(bool(item.per)).alias("per"),
-                                n.cast("int").alias("n_labels"), F.lit(item.allow_na).alias("allow_na"),
-                                raw.alias("raw"), variant_kind(raw).alias("kind")))
-    return F.array(*entries)
+def json_texts(v: Column) -> Column:
+    """The members of a VARIANT object as JSON text: strings keep their quotes, so kinds stay apart."""
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    return F.coalesce(F.transform_values(members, lambda k, x: F.coalesce(F.to_json(x), F.lit("null"))),
+                      F.create_map().cast("map<string,string>"))
 
 
-def _read_score(e: Column, rubric: Rubric) -> Column:
-    """Adds the whole-number score, the N/A mark and the defect of one raw value."""
-    lo, hi = rubric.scale
-    text, kind = e["text"], e["kind"]
-    is_na = (kind == "VOID") | ((kind == "STRING") & F.upper(F.replace(text, F.lit("."))).isin("N/A", "NA"))
-    number = (F.when((kind == "STRING") & text.rlike(r"^-?\d+$"), text.try_cast("double"))
-              .when(is_number(kind), F.try_variant_get(e["raw"], "$", "double")))
-    whole = F.when(number == F.floor(number), number)
-    code = (F.when(is_na & ~e["allow_na"], "na_not_allowed").when(is_na, F.lit(None).cast("string"))
-            .when(whole.isNull(), "not_a_whole_number").when(~whole.between(lo, hi), "out_of_range"))
-    return F.struct(e["item_id"].alias("item_id"), e["item_key"].alias("item_key"), e["label_index"].alias("label_index"),
-                    rubric.section_of_item(e["item_id"]).alias("section_key"), rubric.type_of_item(e["item_id"]).alias("item_type"),
-                    F.when(code.isNull() & ~is_na, whole.cast("int")).alias("score"), is_na.alias("is_na"), code.alias("code"))
+def unquoted(json_text: Column) -> Column:
+    """Content of a JSON scalar: a string without its quotes, anything else as it stands."""
+    return F.when(json_text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v")).otherwise(json_text)
+
 
+def elements(json_text: Column) -> Column:
+    """The elements of a JSON array as JSON texts; NULL for anything else."""
+    listed = F.try_variant_get(F.try_parse_json(F.when(json_text.startswith("["), json_text)), "$", "array<variant>")
+    return F.transform(listed, lambda x: F.coalesce(F.to_json(x), F.lit("null")))
 
-def _as_text(e: Column) -> Column:
-    return F.struct(e["item_id"].alias("item_id"), e["item_key"].alias("item_key"), e["label_index"].alias("label_index"),
-                    e["allow_na"].alias("allow_na"), e["raw"].alias("raw"), variant_kind(e["raw"]).alias("kind"),
-                    strip(variant_text(e["raw"])).alias("text"))
+
+def _item_specs(rubric: Rubric, labels: Mapping[str, Column]) -> Column:
+    return F.array(*[F.struct(
+        F.lit(i.id).alias("item_id"), F.lit(bool(i.per)).alias("per"), F.lit(i.allow_na).alias("allow_na"),
+        (labels[i.per] if i.per else F.lit(None)).cast("int").alias("n_labels")) for i in rubric.items])
 
 
 def _keyed(e: Column) -> Column:
     """One raw value per score key: the item itself, or '<item>.<n>' per label."""
     def one(raw, key, n):
         return F.struct(e["item_id"].alias("item_id"), key.alias("item_key"), n.cast("int").alias("label_index"),
-                        e["allow_na"].alias("allow_na"), raw.alias("raw"))
-    listed = F.transform(F.try_variant_get(e["raw"], "$", "array<variant>"), lambda v, i: one(
-        v, F.concat(e["item_id"], F.lit("."), (i + 1).cast("string")), i + 1))
-    single = F.array(one(e["raw"], e["item_id"], F.lit(None)))
-    return F.when(e["per"], F.coalesce(listed, F.filter(single, lambda x: F.lit(False)))).otherwise(single)
+                        e["allow_na"].alias("allow_na"),
+                        # a whole number in a string counts as that number
+                        F.regexp_replace(raw, r'^"\s*(-?\d+)\s*"$', "$1").alias("raw"))
+    listed = F.transform(e["listed"], lambda v, i: one(v, F.concat(e["item_id"], F.lit("."), (i + 1).cast("string")), i + 1))
+    return F.when(e["per"], listed).otherwise(F.array(one(e["raw"], e["item_id"], F.lit(None))))
 
 
-def _output(spec: Output, v: Column) -> tuple[Column, Column]:
-    """(value as text, array, or number; defect message or NULL) of one typed output."""
-    kind, text = variant_kind(v), strip(variant_text(v))
-    absent = v.isNull() | (kind == "VOID")
+def _scored(s: Column, rubric: Rubric) -> Column:
+    """The whole-number score, the N/A mark and the defect of one raw value."""
+    lo, hi = rubric.scale
+    is_na = s["raw"].rlike(r'(?i)^(?:null|"\s*\.*n\.*/?\.*a\.*\s*")$')
+    number = s["raw"].try_cast("double")
+    return F.struct(s["item_id"].alias("item_id"), s["item_key"].alias("item_key"), s["label_index"].alias("label_index"),
+                    s["allow_na"].alias("allow_na"), is_na.alias("is_na"),
+                    F.when(number == F.floor(number), number).alias("whole"))
+
+
+def _judged(s: Column, rubric: Rubric) -> Column:
+    lo, hi = rubric.scale
+    code = (F.when(s["is_na"], F.when(~s["allow_na"], "na_not_allowed")).when(s["whole"].isNull(), "not_a_whole_number")
+            .when(~s["whole"].between(lo, hi), "out_of_range"))
+    return F.struct(s["item_id"].alias("item_id"), s["item_key"].alias("item_key"), s["label_index"].alias("label_index"),
+                    rubric.section_of_item(s["item_id"]).alias("section_key"), rubric.type_of_item(s["item_id"]).alias("item_type"),
+                    F.when(s["whole"].between(lo, hi), s["whole"].cast("int")).alias("score"), s["is_na"].alias("is_na"),
+                    code.alias("code"))
+
+
+def _output(spec: Output, raw: Column) -> Column:
+    """struct<value, wrong> of one typed output; ``wrong`` is NULL when the value is usable."""
+    absent = raw.isNull() | (raw == "null")
+    text = strip(unquoted(raw))
     if spec.kind == "text":
-        value = F.when((kind == "STRING") & (text != ""), text)
-        return value, F.when(absent, "missing").when(value.isNull(), "must be non-empty text")
-    if spec.kind == "integer":
+        value = F.when(raw.startswith('"') & (text != ""), text)
+        wrong = "must be non-empty text"
+    elif spec.kind == "integer":
         lo, hi = spec.bounds
-        number = (F.when((kind == "STRING") & text.rlike(r"^\d+$"), text.try_cast("double"))
-                  .when(is_number(kind), F.try_variant_get(v, "$", "double")))
+        number = F.regexp_replace(raw, r'^"\s*(\d+)\s*"$', "$1").try_cast("double")
         value = F.when((number == F.floor(number)) & number.between(lo, hi), number.cast("int"))
-        return value, F.when(absent, "missing").when(value.isNull(), f"must be a whole number {lo}-{hi}")
-    if spec.kind == "enum":
+        wrong = f"must be a whole number {lo}-{hi}"
+    elif spec.kind == "enum":
         value = F.replace(F.lower(text), F.lit(" "), F.lit("_"))
         value = F.when(value.isin(list(spec.choices)), value)
-        return value, F.when(absent, "missing").when(value.isNull(), "must be one of the choices")
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    if spec.fields:
-        read = F.transform(items, lambda x: F.struct(*[
-            F.coalesce(strip(F.try_variant_get(x, f'$["{f}"]', "string")), F.lit("")).alias(f) for f in spec.fields]))
-        whole = F.forall(read, lambda x: F.array_min(F.array(*[F.length(x[f]) for f in spec.fields])) > 0)
+        wrong = "must be one of the choices"
     else:
-        read = F.filter(F.transform(items, lambda x: strip(variant_text(x))), lambda x: x != "")
-        whole = F.lit(True)
-    if spec.max_items:
-        read = F.slice(read, 1, spec.max_items)
-    wrong = F.when(absent, F.lit(None)).when(kind != "ARRAY", "must be a list").when(~whole, "entries need their fields")
-    return F.when(wrong.isNull(), read), wrong
+        items = elements(raw)
+        if spec.fields:
+            shape = "struct<" + ",".join(f"`{f}`:string" for f in spec.fields) + ">"
+            read = F.transform(F.from_json(F.when(raw.startswith("["), raw), f"array<{shape}>"), lambda x: F.struct(*[
+                F.coalesce(strip(x[f]), F.lit("")).alias(f) for f in spec.fields]))
+            read = F.when(F.forall(read, lambda x: F.array_min(F.array(*[F.length(x[f]) for f in spec.fields])) > 0), read)
+            none = F.array().cast(f"array<{shape}>")
+        else:
+            read = F.filter(F.transform(items, lambda x: strip(unquoted(x))), lambda x: x != "")
+            none = F.array().cast("array<string>")
+        value = F.when(absent, none).otherwise(F.slice(read, 1, spec.max_items) if spec.max_items else read)
+        return F.struct(value.alias("value"), F.lit("must be a list with its fields").alias("wrong"))
+    return F.struct(value.alias("value"), F.when(absent, "missing").otherwise(wrong).alias("wrong"))
 
 
 def is_item_reference(text: Column, rubric: Rubric) -> Column:
@@ -133,100 +146,92 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
     """
     labels, na_required = labels or {}, na_required or {}
     a = F.col("__answer")
+    top = F.col("__top")
     df = df.withColumn("__answer", extract_json(F.col(text)))
-    root, box = variant_kind(a), variant_kind(F.try_variant_get(a, "$.item_scores", "variant"))
-    df = df.withColumn("__shape", F.when(a.isNull() | (root == "VOID"), "invalid_json")
-                       .when(F.coalesce((root != "OBJECT") | (box != "OBJECT"), F.lit(True)), "bad_structure"))
+    df = df.withColumn("__top", json_texts(a))
+    member = lambda name: F.try_element_at(top, F.lit(name))
+    df = df.withColumn("__shape", F.when(a.isNull() | (variant_kind(a) == "VOID"), "invalid_json")
+                       .when(~F.coalesce(member("item_scores").startswith("{"), F.lit(False)), "bad_structure"))
     read = F.col("__shape").isNull()
-    empty_if_unread = lambda arr: F.when(read, arr).otherwise(F.filter(arr, lambda x: F.lit(False)))
-
-    # items -> keyed raw values -> scores
-    df = df.withColumn("__entries", _raw_entries(a, rubric, labels))
-    fits = lambda e: e["raw"].isNotNull() & (~e["per"] | ((e["kind"] == "ARRAY") & (
-        F.size(F.try_variant_get(e["raw"], "$", "array<variant>")) == e["n_labels"])))
-    df = df.withColumn("__keyed", F.transform(F.flatten(F.transform(F.filter("__entries", fits), _keyed)), _as_text))
-    df = df.withColumn("__read", empty_if_unread(F.transform("__keyed", lambda e: _read_score(e, rubric))))
-    df = df.withColumn("scores", F.filter("__read", lambda s: s["code"].isNull()))
-
-    # justifications
-    given = F.try_variant_get(a, "$.justifications", "map<string,variant>")
-    kept = F.map_filter(given, lambda k, v: variant_kind(v).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE") & (strip(variant_text(v)) != ""))
-    df = df.withColumn("justifications", F.when(read, F.coalesce(F.transform_values(kept, lambda k, v: strip(variant_text(v))),
-                                                                 F.create_map().cast("map<string,string>"))))
-    # red flags
-    listed = F.try_variant_get(a, "$.red_flags", "variant")
-    raw_flags = F.coalesce(F.try_variant_get(a, "$.red_flags", "array<variant>"), F.array().cast("array<variant>"))
+    inside = lambda name: json_texts(F.try_variant_get(a, f"$.{name}", "variant"))
+
+    # every raw value once, as JSON text
+    df = df.withColumns({"__items": F.when(read, inside("item_scores")), "__why": F.when(read, inside("justifications")),
+                         "__out": F.when(read, inside("outputs"))})
+    df = df.withColumn("__entries", F.transform(_item_specs(rubric, labels), lambda e: F.struct(
+        e["item_id"].alias("item_id"), e["per"].alias("per"), e["allow_na"].alias("allow_na"), e["n_labels"].alias("n_labels"),
+        F.try_element_at("__items", e["item_id"]).alias("raw"),
+        F.when(e["per"], elements(F.try_element_at("__items", e["item_id"]))).alias("listed"))))
+    fits = lambda e: e["raw"].isNotNull() & (~e["per"] | F.coalesce(F.size(e["listed"]) == e["n_labels"], F.lit(False)))
+    keyed = F.flatten(F.transform(F.filter("__entries", fits), _keyed))
+    judged = F.transform(F.transform(keyed, lambda s: _scored(s, rubric)), lambda s: _judged(s, rubric))
     known = [f.id for f in rubric.flags]
-    df = df.withColumn("__flags", empty_if_unread(F.transform(raw_flags, lambda f: F.struct(
-        F.try_variant_get(f, "$.id", "string").alias("flag_id"),
-        F.coalesce(strip(F.try_variant_get(f, "$.quote", "string")), F.lit("")).alias("quote")))))
-    good = F.filter("__flags", lambda f: F.coalesce(f["flag_id"].isin(known), F.lit(False)) & (f["quote"] != ""))
-    df = df.withColumn("__good", good)
-    df = df.withColumn("red_flags", F.filter("__good", lambda f, i: ~F.exists(
-        F.slice(F.col("__good"), F.lit(1), i), lambda earlier: earlier["flag_id"] == f["flag_id"])))
-
-    # outputs
-    outputs, wrong = [], []
-    box = F.try_variant_get(a, "$.outputs", "variant")
-    for spec in rubric.outputs:
-        value, message = _output(spec, F.try_variant_get(a, f'$.outputs["{spec.name}"]', "variant"))
-        outputs.append(value.alias(spec.name))
-        wrong.append(problem_if(message.isNotNull(), problem("bad_output", "error", spec.name, message)))
-    if outputs:
-        df = df.withColumn("outputs", F.when(read, F.struct(*outputs)))
-    references = no_problems()
-    for spec in rubric.outputs:
-        if spec.kind == "list" and "item" in spec.fields:
-            stray = F.filter(F.col("outputs")[spec.name], lambda x: ~is_item_reference(x["item"], rubric))
-            references = F.concat(references, F.coalesce(F.transform(stray, lambda x: problem(
-                "unknown_item_reference", "warning", spec.name, F.concat(F.lit("refers to "), x["item"]))), no_problems()))
+    flags = F.from_json(F.when(read & member("red_flags").startswith("["), member("red_flags")), "array<struct<id:string,quote:string>>")
+    df = df.withColumns({
+        "__read": judged,
+        "justifications": F.transform_values(F.map_filter("__why", lambda k, v: v.rlike(r'(?U)^(?:-?\d|"\s*[^\s"])')),
+                                             lambda k, v: strip(unquoted(v))),
+        "__flags": F.coalesce(F.transform(flags, lambda f: F.struct(
+            f["id"].alias("flag_id"), F.coalesce(f["id"].isin(known), F.lit(False)).alias("known"),
+            F.coalesce(strip(f["quote"]), F.lit("")).alias("quote"))),
+            F.array().cast("array<struct<flag_id:string,known:boolean,quote:string>>")),
+        **{f"__o_{spec.name}": _output(spec, F.try_element_at("__out", F.lit(spec.name))) for spec in rubric.outputs}})
+    df = df.withColumn("__good", F.filter("__flags", lambda f: f["known"] & (f["quote"] != "")))
+    if rubric.outputs:
+        df = df.withColumn("outputs", F.when(read, F.struct(*[F.col(f"__o_{o.name}.value").alias(o.name) for o in rubric.outputs])))
+    df = df.withColumns({
+        "scores": F.transform(F.filter("__read", lambda s: s["code"].isNull()), lambda s: F.struct(*[
+            s[c].alias(c) for c in ("item_id", "item_key", "label_index", "section_key", "item_type", "score", "is_na")])),
+        # the first mention of each flag counts
+        "red_flags": F.transform(F.filter("__good", lambda f, i: ~F.exists(
+            F.slice(F.col("__good"), F.lit(1), i), lambda earlier: earlier["flag_id"] == f["flag_id"])),
+            lambda f: F.struct(f["flag_id"].alias("flag_id"), f["quote"].alias("quote")))})
 
     # problems, in the order a reader meets them
-    entries = F.col("__entries")
-    missing = F.transform(F.filter(entries, lambda e: e["raw"].isNull()),
+    missing = F.transform(F.filter("__entries", lambda e: e["raw"].isNull()),
                           lambda e: problem("missing_item", "error", e["item_id"], "was not scored"))
-    lengths = F.transform(F.filter(entries, lambda e: e["raw"].isNotNull() & ~fits(e)),
+    lengths = F.transform(F.filter("__entries", lambda e: e["raw"].isNotNull() & ~fits(e)),
                           lambda e: problem("wrong_length", "error", e["item_id"], "needs one score per label"))
     values = F.transform(F.filter("__read", lambda s: s["code"].isNotNull()),
                          lambda s: problem(s["code"], "error", s["item_key"], "unusable score"))
-    na = no_problems()
+    na = []
     for item_id, fact in na_required.items():
         # N/A only where the facts say so, for items scored once
-        mine = F.filter("scores", lambda s: s["item_key"] == item_id)
-        na = F.concat(na, F.transform(F.filter(mine, lambda s: fact & ~s["is_na"]),
-                                      lambda s: problem("na_expected", "warning", item_id, "should be N/A")),
-                      F.transform(F.filter(mine, lambda s: ~fact & s["is_na"]),
-                                  lambda s: problem("na_not_applicable", "error", item_id, "must be scored")))
-    keys = F.json_object_keys(F.to_json(F.try_variant_get(a, "$.item_scores", "variant")))
-    unknown = F.transform(F.array_sort(F.filter(keys, lambda k: ~k.isin([i.id for i in rubric.items]))),
+        na.append(F.transform(F.filter("scores", lambda s: (s["item_key"] == item_id) & (fact != s["is_na"])), lambda s: F.when(
+            s["is_na"], problem("na_not_applicable", "error", item_id, "must be scored")).otherwise(
+            problem("na_expected", "warning", item_id, "should be N/A"))))
+    unknown = F.transform(F.array_sort(F.array_except(F.map_keys("__items"), F.array(*[F.lit(i.id) for i in rubric.items]))),
                           lambda k: problem("unknown_item", "warning", k, "unknown item"))
+    why = F.map_keys("justifications")
     unjustified = F.transform(
-        F.filter("scores", lambda s: s["score"].isin(list(rubric.justify)) & ~F.map_contains_key("justifications", s["item_key"])
-                 & ~F.map_contains_key("justifications", s["item_id"])),
+        F.filter("scores", lambda s: s["score"].isin(list(rubric.justify)) & ~F.array_contains(why, s["item_key"])
+                 & ~F.array_contains(why, s["item_id"])),
         lambda s: problem("missing_justification", "warning", s["item_key"], "score without a justification"))
-    listed_kind = variant_kind(listed)
-    flags = F.concat(
-        problem_if(F.coalesce(~listed_kind.isin("ARRAY", "VOID"), F.lit(False)), problem("bad_red_flags", "error", None, "must be a list")),
-        F.flatten(F.transform("__flags", lambda f: problem_if(
-            ~F.coalesce(f["flag_id"].isin(known), F.lit(False)), problem("unknown_red_flag", "error", None, f["flag_id"])))),
-        F.flatten(F.transform("__flags", lambda f: problem_if(
-            F.coalesce(f["flag_id"].isin(known), F.lit(False)) & (f["quote"] == ""),
-            problem("red_flag_without_quote", "error", f["flag_id"], "has no quoted passage")))))
-    no_outputs = problem_if(F.coalesce(variant_kind(box) != "OBJECT", F.lit(True)),
-                            problem("missing_outputs", "error", None, "outputs are missing")) if rubric.outputs else no_problems()
-    quotes = no_problems()
+    bad_list = problem_if(F.coalesce(~member("red_flags").rlike(r'^(?:\[|null$|false$|0(?:\.0+)?$|""$|\{\}$)'), F.lit(False)),
+                          problem("bad_red_flags", "error", None, "must be a list"))
+    bad_flags = F.transform(F.filter("__flags", lambda f: ~f["known"] | (f["quote"] == "")), lambda f: F.when(
+        f["known"], problem("red_flag_without_quote", "error", f["flag_id"], "has no quoted passage")).otherwise(
+        problem("unknown_red_flag", "error", None, f["flag_id"])))
+    parts = [missing, lengths, values, *na, unknown, unjustified, bad_list, bad_flags]
+    if rubric.outputs:
+        parts.append(problem_if(~F.coalesce(member("outputs").startswith("{"), F.lit(False)),
+                                problem("missing_outputs", "error", None, "outputs are missing")))
+    for spec in rubric.outputs:
+        o = F.col(f"__o_{spec.name}")
+        parts.append(problem_if(o["value"].isNull(), problem("bad_output", "error", spec.name, o["wrong"])))
+        if spec.kind == "list" and "item" in spec.fields:
+            parts.append(F.transform(F.filter(o["value"], lambda x: ~is_item_reference(x["item"], rubric)), lambda x: problem(
+                "unknown_item_reference", "warning", spec.name, F.concat(F.lit("refers to "), x["item"]))))
     if quoted_text is not None:
-        quotes = F.when(quoted_text.isNotNull(), F.transform(
-            F.filter("red_flags", lambda f: ~quote_in_text(f["quote"], quoted_text)),
-            lambda f: problem("quote_not_in_text", "error", f["flag_id"], f["quote"]))).otherwise(no_problems())
-    every = F.concat(missing, lengths, values, na, F.coalesce(unknown, no_problems()), F.coalesce(unjustified, no_problems()),
-                     F.coalesce(flags, no_problems()), no_outputs, *wrong, references, quotes)
+        parts.append(F.transform(F.filter("red_flags", lambda f: quoted_text.isNotNull() & ~quote_in_text(f["quote"], quoted_text)),
+                                 lambda f: problem("quote_not_in_text", "error", f["flag_id"], f["quote"])))
+    every = F.concat(*[F.coalesce(p, no_problems()) for p in parts])
     df = df.withColumn("problems", F.when(read, every).otherwise(
         F.array(problem(F.col("__shape"), "error", None, "the reply is not a usable JSON object"))))
     df = df.withColumn("usable", ~F.exists("problems", lambda p: p["severity"] == "error"))
-    df = df.drop("__answer", "__shape", "__entries", "__keyed", "__read", "__flags", "__good")
-    made = ["scores", "justifications", "red_flags", "problems", "usable"] + (["outputs"] if outputs else [])
-    return fence(df, made)
+    made = ["scores", "justifications", "red_flags", "problems", "usable"] + (["outputs"] if rubric.outputs else [])
+    kept = [c for c in df.columns if not c.startswith("__")]
+    return fence(df.select(*kept), made)
 
 
 def score_rows(answers: DataFrame, key: str) -> DataFrame:
@@ -275,24 +280,23 @@ def read_fields(df: DataFrame, text: str, spec: Mapping[str, str | list[str]]) -
     values, compared in lower case with underscores.
     """
     a = F.col("__answer")
-    df = df.withColumn("__answer", extract_json(F.col(text)))
+    df = df.withColumn("__answer", extract_json(F.col(text))).withColumn("__members", json_texts(a))
     is_object = F.coalesce(variant_kind(a) == "OBJECT", F.lit(False))
-    problems = []
+    columns = {}
     for name, kind in spec.items():
-        v = F.try_variant_get(a, f'$["{name}"]', "variant")
-        vk = variant_kind(v)
+        raw = F.try_element_at("__members", F.lit(name))
         if isinstance(kind, list):
-            value = F.replace(F.lower(strip(variant_text(v))), F.lit(" "), F.lit("_"))
+            value = F.replace(F.lower(strip(unquoted(raw))), F.lit(" "), F.lit("_"))
             value = F.when(value.isin(kind), value)
         elif kind == "list":
-            items = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: strip(variant_text(x))),
-                             lambda x: x != "")
-            value = F.when(v.isNull() | (vk == "VOID"), F.array().cast("array<string>")).when(vk == "ARRAY", items)
+            items = F.filter(F.transform(elements(raw), lambda x: strip(unquoted(x))), lambda x: x != "")
+            value = F.when(raw.isNull() | (raw == "null"), F.array().cast("array<string>")).otherwise(items)
         else:
-            value = F.when((vk == "STRING") & (strip(variant_text(v)) != ""), strip(variant_text(v)))
-        df = df.withColumn(name, F.when(is_object, value))
-        problems.append(problem_if(F.col(name).isNull(), problem("bad_field", "error", name, "not usable")))
+            value = strip(unquoted(raw))
+            value = F.when(raw.startswith('"') & (value != ""), value)
+        columns[name] = F.when(is_object, value)
+    df = df.withColumns(columns)
+    problems = [problem_if(F.col(name).isNull(), problem("bad_field", "error", name, "not usable")) for name in spec]
     df = df.withColumn("problems", F.when(is_object, F.concat(*problems)).otherwise(
         F.array(problem("invalid_json", "error", None, "the reply is not a JSON object"))))
-    df = df.withColumn("usable", F.size("problems") == 0).drop("__answer")
-    return fence(df, [*spec, "problems", "usable"])
+    return fence(df.withColumn("usable", F.size("problems") == 0).drop("__answer", "__members"), [*spec, "problems", "usable"])

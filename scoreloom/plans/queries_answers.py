@@ -181,7 +181,7 @@ def _(t):
 
 
 @query("e11_evaluation_rows", f"""
-       select g.answer_id, sum(score) filter (section_key = 's1') s1_sum, cast(count(score) as int) n_scored,
+       select g.answer_id, cast(sum(score) filter (section_key = 's1') as bigint) s1_sum, cast(count(score) as int) n_scored,
          case when any_value(g.k) % 12 = 0 then 40e0 when any_value(g.k) % 6 = 3 then 60e0 end lowest_cap,
          cast(case when any_value(g.k) % 12 = 0 or any_value(g.k) % 6 = 3 then 1 else 0 end as int) n_red_flags,
          round(least(coalesce(case when any_value(g.k) % 12 = 0 then 40e0 when any_value(g.k) % 6 = 3 then 60e0 end, 1e9),
