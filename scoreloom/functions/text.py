@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoreloom.functions.values import let
+
 SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
 
 
@@ -81,19 +83,21 @@ def json_block(value: Column, pretty: bool = True) -> Column:
 
 def normalize_prompt(c: Column) -> Column:
     """No outer white space, no trailing spaces on lines, at most one blank line in a row."""
-    lines = F.regexp_replace(strip(c), r"\r\n|[\n\r\f\x0B\x1C\x1D\x1E\x85  ]", "\n")
+    lines = F.regexp_replace(strip(c), r"\r\n|[\n\r\f\x0B\x1C\x1D\x1E\x85\u2028\u2029]", "\n")
     return F.regexp_replace(F.regexp_replace(lines, r"(?U)[^\S\n]+(?=\n|$)", ""), r"\n{3,}", "\n\n")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two texts, by bisection on equal prefixes (log n comparisons)."""
-    top = F.least(F.length(a), F.length(b))
-    span = F.struct(F.lit(0).alias("lo"), top.alias("hi"))
+    def bisect(pair):
+        span = F.struct(F.lit(0).alias("lo"), F.least(F.length(pair["a"]), F.length(pair["b"])).alias("hi"))
+
+        def halve(acc, _):
+            mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+            same = F.substring(pair["a"], F.lit(1), mid) == F.substring(pair["b"], F.lit(1), mid)
+            return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"),
+                            F.when(same, acc["hi"]).otherwise(mid - 1).alias("hi"))
 
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
-        return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(same, acc["hi"]).otherwise(mid - 1).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), span, halve)["lo"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), span, halve)["lo"]
+    return let(F.struct(a.alias("a"), b.alias("b")), bisect)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,11 @@ def variant_kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fence(df: DataFrame, computed: list[str]) -> DataFrame:
     """Evaluate costly columns once per row.
 

@@ -18,21 +18,31 @@ BLOCK = 4096
 def dense_index(df: DataFrame, group: Sequence[str], order: str, name: str = "idx", block: int = BLOCK) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... by the integer column ``order`` (unique in its group).
 
-    The order axis is cut into blocks, so rows are sorted inside blocks of at most ``block`` rows and
-    only one counter per block is accumulated along the group.  Equal to
+    The order axis is cut into blocks, so rows are sorted inside blocks of at most ``block`` rows, and
+    only the counters of blocks are accumulated, again in stretches.  Equal to
     ``row_number() over (partition by group order by order) - 1`` without a task per group.
     """
     cut = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)).cast("long"))
     keys = [*group, "__block"]
-    along = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-              .select(*keys, F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before")))
+    starts = _starts(cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(group))
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     return (cut.withColumn("__local", local).join(starts, keys)
             .withColumn(name, (F.col("__before") + F.col("__local")).cast("long"))
             .drop("__block", "__local", "__before"))
 
 
+def _starts(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Rows before each block of its group, in two levels: inside stretches of blocks, then over stretches."""
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    wide = counts.withColumn("__stretch", F.floor(F.col("__block") / F.lit(BLOCK)).cast("long"))
+    inside = up_to(Window.partitionBy(*group, "__stretch").orderBy("__block"))
+    over = up_to(Window.partitionBy(*(group or [F.lit(0)])).orderBy("__stretch"))
+    totals = (wide.groupBy(*group, "__stretch").agg(F.sum("__n").alias("__t"))
+              .select(*group, "__stretch", F.coalesce(F.sum("__t").over(over), F.lit(0)).alias("__base")))
+    return (wide.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(totals, [*group, "__stretch"])
+            .select(*group, "__block", (F.col("__base") + F.col("__in")).alias("__before")))
+
+
 def with_neighbours(df: DataFrame, group: Sequence[str], idx: str, before: dict[str, str] | None = None,
                     after: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """``lag``/``lead`` along a dense integer index, for groups of any size.
