@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.vectors import cosine_distance, dot, norm, normalize, softmax_top, subtract
-from scoreloom.operators.skew import with_neighbours
+from scoreloom.operators.skew import lower_median, with_neighbours
 from scoreloom.operators.vector_sets import cross_moments
 
 CELL = ["text_id", "layer"]
@@ -51,10 +51,10 @@ def norm_profile(states: DataFrame) -> DataFrame:
 
 def sink_ratio(states: DataFrame) -> DataFrame:
     """Length of the first token's state against the lower median of the others."""
-    sized = states.select(*CELL, "pos", norm(F.col("state")).alias("size")).withColumn("other", F.when(F.col("pos") > 0, F.col("size")))
-    return (sized.groupBy(*CELL).agg(F.max(F.when(F.col("pos") == 0, F.col("size"))).alias("first"),
-                                     F.expr("percentile_disc(0.5) within group (order by other)").alias("middle"))
-            .withColumn("ratio", F.col("first") / F.col("middle")))
+    sized = states.select(*CELL, "pos", norm(F.col("state")).alias("size"))
+    first = sized.where("pos = 0").select(*CELL, F.col("size").alias("first"))
+    middle = lower_median(sized.where("pos > 0"), CELL, "size", "middle")
+    return first.join(middle, CELL, "left").withColumn("ratio", F.col("first") / F.col("middle"))
 
 
 def cosine_by_layer(pooled: DataFrame, reference_text: int, vector: str = "pooled") -> DataFrame:

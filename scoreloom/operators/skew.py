@@ -82,3 +82,23 @@ def hash_block(*cols: Column | str, blocks: Column | int) -> Column:
     """A stable block number in ``[0, blocks)`` that spreads the rows of a group evenly."""
     n = F.lit(blocks) if isinstance(blocks, int) else blocks
     return F.pmod(F.xxhash64(*cols), n).cast("long")
+
+
+def lower_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", per_octave: int = 4096) -> DataFrame:
+    """The lower middle of the values (at least 0) of each group, exactly.
+
+    Values fall into fine logarithmic buckets.  Counters of buckets find the one that holds the
+    middle, and only its rows are ranked, so a large group is neither sorted nor held as a whole.
+    """
+    v = F.col(value)
+    cut = df.where(v.isNotNull()).select(*group, value, F.when(v > 0, F.floor(F.log2(v) * per_octave)).otherwise(-(1 << 40)).cast("long").alias("__bucket"))
+    counts = cut.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*group).orderBy("__bucket")
+    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("__n").over(Window.partitionBy(*group))
+    placed = counts.select(*group, "__bucket", "__n", before.alias("__before"), F.floor((whole + 1) / 2).cast("long").alias("__middle"))
+    holding = placed.where((F.col("__before") < F.col("__middle")) & (F.col("__middle") <= F.col("__before") + F.col("__n")))
+    near = cut.join(holding.drop("__n"), [*group, "__bucket"])
+    rank = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(value))
+    return (near.withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") == F.col("__middle"))
+            .select(*group, F.col(value).alias(name)))

@@ -240,3 +240,11 @@ def _(t):
 @query("a21_each_split", f"select evaluating_model, {OVERALL} from fx_totals group by 1")
 def _(t):
     return rounded(an.overall(facts(t), RUBRIC, ["evaluating_model"]).orderBy(F.desc("n"), "evaluating_model"), **SIX)
+
+
+@query("s17_export_evaluations", """select evaluation_id, concat('{"id":"', evaluation_id, '","grade":"', grade, '","flags":', n_red_flags, ',"person":"', persona_id, '"}') line from fx_totals""")
+def _(t):
+    # the exported line of each evaluation
+    f = facts(t)
+    record = F.struct(F.col("evaluation_id").alias("id"), "grade", F.col("n_red_flags").alias("flags"), F.col("persona_id").alias("person"))
+    return f.select("evaluation_id", F.to_json(record).alias("line"))

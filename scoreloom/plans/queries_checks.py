@@ -117,7 +117,12 @@ def _(t):
     return found.groupBy("doc_id", F.col("f.value").alias("named")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") + 1).alias("place"))
 
 
-@query("v7_positions", None)
+@query("v7_positions", r"""select doc_id, case when lower(w) in ('the', 'le', 'der', 'die') then 'the' when lower(w) in ('and', 'et', 'und') then 'and' else 'of' end as value,
+       cast(e - length(w) as int) as position, substr(text, cast(e - length(w) + 1 as bigint), 3) there from (
+         select doc_id, text, regexp_extract(piece, '[\p{L}\p{M}\p{N}\p{Pc}'']+$') w, sum(length(piece)) over (partition by doc_id order by pos) e from (
+           select doc_id, text, unnest(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}\p{Pc}'']*[\p{L}\p{M}\p{N}\p{Pc}'']+')) piece,
+             generate_subscripts(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}\p{Pc}'']*[\p{L}\p{M}\p{N}\p{Pc}'']+'), 1) pos from documents))
+       where lower(w) in ('the', 'le', 'der', 'die', 'and', 'et', 'und', 'of', 'de', 'des', 'von')""")
 def _(t):
     text = F.col("text")
     found = t.documents.select("doc_id", "text", F.explode(WORDS.find_all(text)).alias("f"))
@@ -286,3 +291,8 @@ def _(t):
     asked = F.try_parse_json(F.when(i % 3 == 1, '{"input":{"k":7}}').otherwise("{}"))
     value = c.expected_path(own, asked, "$.input.k", "int")
     return t.events.select("event_id", value.alias("expected"), value.isNull().alias("missing"))
+
+
+@query("u2_free_text", r"""select doc_id, nullif(substr(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'), 1, 200), '') as value from documents""")
+def _(t):
+    return t.documents.select("doc_id", m.FreeText().find(F.col("text")).alias("value"))

@@ -119,20 +119,18 @@ def _(t):
 
 
 @query("r13_attempt_rows", """
-       with a as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) k from conversations where role = 'assistant')
-       select concat('conv_', conv_id, '-a', k) response_id, concat('conv_', conv_id) request_id, cast(k as int) attempt, length(text) n_chars,
-         case when k = max(k) over (partition by conv_id) then 'stop' else 'rejected' end finish_reason from a""")
-def _(t):
-    # a conversation's assistant turns as the attempts of one request: all but the last were rejected
-    said = (t.conversations.where("role = 'assistant'").groupBy("conv_id")
-            .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")))
-    record = said.select(
-        F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("request_id"),
-        F.element_at("turns", -1)["text"].alias("text"), F.lit("m").alias("model"), F.lit("stop").alias("finish_reason"),
-        F.lit(None).cast("string").alias("error"),
-        F.transform(F.slice("turns", 1, F.size("turns") - 1), lambda a: F.struct(
-            a["text"].alias("text"), F.lit("m").alias("model"), F.lit("rejected").alias("finish_reason"),
-            F.lit(None).cast("string").alias("error"))).alias("failed_attempts"))
+       with a as (select doc_id, string_split(text, chr(10)) l from documents)
+       select concat('doc_', doc_id, '-a', k) response_id, concat('doc_', doc_id) request_id, cast(k as int) attempt, length(l[k]) n_chars,
+         case when k = len(l) then 'stop' else 'rejected' end finish_reason from (select doc_id, l, unnest(range(1, len(l) + 1)) k from a)""")
+def _(t):
+    # the lines of a document as the attempts of one request: all but the last were rejected
+    lines = t.documents.select("doc_id", F.split("text", "\n").alias("l"))
+    attempt = lambda text, reason: F.struct(text.alias("text"), F.lit("m").alias("model"), F.lit(reason).alias("finish_reason"),
+                                            F.lit(None).cast("string").alias("error"))
+    record = lines.select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("request_id"), F.element_at("l", -1).alias("text"), F.lit("m").alias("model"),
+        F.lit("stop").alias("finish_reason"), F.lit(None).cast("string").alias("error"),
+        F.transform(F.slice("l", 1, F.size("l") - 1), lambda x: attempt(x, "rejected")).alias("failed_attempts"))
     return runs.attempt_rows(record).select("response_id", "request_id", "attempt", F.col("n_chars").cast("long"), "finish_reason")
 
 

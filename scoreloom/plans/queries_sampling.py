@@ -225,3 +225,13 @@ def _(t):
     seeded = t.orders.select(k.alias("run_id"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("task"), (F.col("o_custkey") % 400).alias("seed"),
                              F.when(k % 5 != 0, F.concat(F.lit("sha_"), (k % 3).cast("string"))).alias("instantiation_sha256"))
     return sa.seed_clashes(seeded).select("run_id", "n_clashes")
+
+
+def roll(rng, sides):
+    return rng.randint(1, sides)
+
+
+@query("u8_generate", "select o_orderkey i, true fits from orders")
+def _(t):
+    rows = sa.generate(t.orders.select(F.col("o_orderkey").alias("i")), "roll", roll, "int", seed=4, sides=6)
+    return rows.select("i", F.col("roll").between(1, 6).alias("fits"))

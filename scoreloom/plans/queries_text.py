@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import sentences, word_count
@@ -17,6 +20,13 @@ SQL_VIEWS["fx_pieces_of"] = r"""select doc_id, regexp_extract_all(text, '\s*\S+'
 SQL_VIEWS["fx_sentences"] = r"""
     select doc_id, sentence from (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) raw from documents),
       lateral (select regexp_replace(raw, '^\s+|\s+$', '', 'g') sentence) where sentence <> ''"""
+SQL_VIEWS["fx_char_windows"] = """
+    with recursive tok as (select doc_id, pos, cast(end_at - length(token) as bigint) s, cast(end_at as bigint) e,
+        lag(cast(end_at as bigint)) over (partition by doc_id order by pos) prev_e, max(cast(end_at as bigint)) over (partition by doc_id) last_e from fx_pieces),
+      g as (select size, doc_id, pos, s, cast(null as bigint) prev_e, last_e from tok, (values (80), (100), (400)) v(size) where pos = 1
+        union all select g.size, t.doc_id, t.pos, t.s, t.prev_e, t.last_e from g join tok t on t.doc_id = g.doc_id and t.pos > g.pos and t.e > g.s + g.size
+          and (t.pos = g.pos + 1 or t.prev_e <= g.s + g.size))
+    select size, doc_id, coalesce(lead(prev_e) over (partition by size, doc_id order by pos), last_e) - s chars from g"""
 
 
 @query("x1_tokenize_ws", """select doc_id, count(*) n_tokens, cast(sum(end_at - length(token)) as bigint) starts, cast(sum(end_at) as bigint) ends,
@@ -27,6 +37,22 @@ def _(t):
         F.min("token").alias("first_token"), F.max("token").alias("last_token"))
 
 
+def letter_spans():
+    """A tokenizer of another kind: runs of letters."""
+    @F.pandas_udf(w.SPANS)
+    def spans(texts: pd.Series) -> pd.DataFrame:
+        found = [list(re.finditer("[a-z]+", t)) for t in texts]
+        return pd.DataFrame({"token": [[m.group() for m in ms] for ms in found], "start": [[m.start() for m in ms] for ms in found],
+                             "end": [[m.end() for m in ms] for ms in found]})
+    return spans
+
+
+@query("u7_tokenizer", """select doc_id, count(*) n_tokens, cast(sum(length(token)) as bigint) chars from (select doc_id, unnest(regexp_extract_all(text, '[a-z]+')) token from documents) group by 1""")
+def _(t):
+    return (w.tokenize(t.documents, "doc_id", "text", letter_spans()).groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("end") - F.col("start")).alias("chars")))
+
+
 @query("x2_build_vocab", """select token, row_number() over (order by at_doc, at_pos) - 1 token_id, n from (
        select token, min(doc_id) at_doc, arg_min(pos, doc_id * 16777216 + pos) at_pos, count(*) n from fx_pieces group by 1)""")
 def _(t):
@@ -55,7 +81,7 @@ def _(t):
                     F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join(texts, "|")).alias("digest")))
 
 
-@query("x4_window_chars")
+@query("x4_window_chars", "select doc_id, cast(count(*) as int) n_windows, cast(max(chars) as int) longest from fx_char_windows where size = 80 group by 1")
 def _(t):
     p = F.col("p")
     texts = F.col("windows")
@@ -72,9 +98,9 @@ def _(t):
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length("text")).alias("chars")))
 
 
-@query("x6_multi_scale_chars")
+@query("x6_multi_scale_chars", """select doc_id, concat('char_len_', size) scale, count(*) n_windows, cast(sum(chars) as bigint) chars from fx_char_windows where size <> 80 group by 1, 2""")
 def _(t):
-    return (w.multi_scale(t.documents, "doc_id", "text", token_sizes=[5], char_limits=[100, 400]).groupBy("doc_id", "scale")
+    return (w.multi_scale(t.documents, "doc_id", "text", char_limits=[100, 400]).groupBy("doc_id", "scale")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length("text")).alias("chars")))
 
 

@@ -46,19 +46,20 @@ def highest_attempts(responses: DataFrame) -> DataFrame:
 
 
 def start_latest(responses: DataFrame, root: str, checkpoint: str, **trigger):
-    """Keep the final responses of a stream as a table under ``root``, one complete version per batch.
+    """Write the highest attempts of every micro-batch under ``root``, one folder per batch.
 
-    Attempts may arrive late and in any order: versions are merged by the highest attempt, never by
-    arrival.  A batch that is repeated after a failure is written under its own number again.
+    A batch costs what it brings, not what is there already; a batch that is repeated after a failure
+    overwrites its own folder.  ``read_latest`` merges the folders.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = highest_attempts(batch)
-        if batch_id > 0:
-            new = highest_attempts(spark.read.parquet(f"{root}/batch={batch_id - 1}").unionByName(new, allowMissingColumns=True))
-        new.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-
-    return (responses.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    def write(batch: DataFrame, batch_id: int) -> None:
+        highest_attempts(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return (responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    """Final responses so far.  Attempts may have come late and in any order: the highest wins, not the last."""
+    return highest_attempts(spark.read.parquet(root).drop("batch"))
 
 
 def start_append(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", **trigger):
