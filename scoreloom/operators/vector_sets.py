@@ -63,13 +63,14 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
     lb = (l.join(r_blocks, group).withColumn("__lb", hash_block(key, blocks=F.col("__ln"))).withColumn("__rb", spread("__rn"))
           .select(group, "__lb", "__rb", key, vector))
     rb = (r.join(l_blocks, group).withColumn("__rb", hash_block(key, blocks=F.col("__rn"))).withColumn("__lb", spread("__ln"))
-          .select(group, "__lb", "__rb", key, vector))
+          # new names, so that a set can be compared with itself
+          .select(F.col(group).alias("__g"), F.col("__lb").alias("__l"), F.col("__rb").alias("__r"), F.col(key).alias("__k"), F.col(vector).alias("__v")))
     kinds = {f.name: f.dataType.simpleString() for f in left.schema}
 
     def meet(keys, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({group: [], key: [], "n": [], "least": [], "total": [], "most": []})
-        x, y = np.stack(a[vector].to_numpy()).astype(float), np.stack(b[vector].to_numpy()).astype(float)
+        x, y = np.stack(a[vector].to_numpy()).astype(float), np.stack(b["__v"].to_numpy()).astype(float)
         gram = x @ y.T
         if metric == "chord":
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * gram, 0.0))
@@ -84,12 +85,12 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
             d = 1.0 - gram / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
         use = np.ones(d.shape, bool)
         if skip_self:
-            use = a[key].to_numpy()[:, None] != b[key].to_numpy()[None, :]
+            use = a[key].to_numpy()[:, None] != b["__k"].to_numpy()[None, :]
         return pd.DataFrame({group: a[group].to_numpy(), key: a[key].to_numpy(), "n": use.sum(1),
                              "least": np.where(use, d, np.inf).min(1), "total": np.where(use, d, 0.0).sum(1),
                              "most": np.where(use, d, -np.inf).max(1)})
 
-    parts = (lb.groupBy(group, "__lb", "__rb").cogroup(rb.groupBy(group, "__lb", "__rb")).applyInPandas(
+    parts = (lb.groupBy(group, "__lb", "__rb").cogroup(rb.groupBy("__g", "__l", "__r")).applyInPandas(
         meet, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, n long, least double, total double, most double"))
     return (parts.where("n > 0").groupBy(group, key).agg(F.sum("n").alias("n"), F.min("least").alias("least"),
                                                          (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most")))

@@ -25,18 +25,23 @@ def validate(texts: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return verdict(run_checks(texts, checks))
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """Streams need a timestamp with a time zone as event time."""
+    return df.withColumn("received_at", F.col("received_at").cast("timestamp")) if df.isStreaming else df
+
+
 def tokens_per_window(responses: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 day",
                       keys: Sequence[str] = ()) -> DataFrame:
     """Token totals of all attempts per time window, with late rows up to the watermark."""
     window = F.window("received_at", size, slide) if slide else F.window("received_at", size)
     sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")]
-    return (responses.withWatermark("received_at", late).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return (_timed(responses).withWatermark("received_at", late).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), *sums)
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "prompt_tokens", "completion_tokens"))
 
 
 def activity_sessions(responses: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Bursts of attempts: a session ends when nothing happens for ``gap``."""
-    return (responses.withWatermark("received_at", late).groupBy(F.session_window("received_at", gap).alias("s"), key)
+    return (_timed(responses).withWatermark("received_at", late).groupBy(F.session_window("received_at", gap).alias("s"), key)
             .agg(F.count(F.lit(1)).alias("n")).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n"))
 
 
