@@ -167,15 +167,14 @@ def sample_comments(table: DataFrame, k: int, key: str, seed: int = 0, group: st
     """
     shuffled = draw_text(seed, "comment", F.col(group), F.col(key))
     dealt = top_per_group(table.withColumn("__draw", shuffled), [group, "score"], [F.asc("__draw"), F.asc(key)], k, "round")
-    # the place of each score among the scores of its question: a small table
-    scores = table.select(group, "score").distinct()
     # a score is at place i from below or n-1-i from above; its turn is the smaller of 2i and 2(n-1-i)+1
-    n, i = F.count("score").over(Window.partitionBy(group)), F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").asc_nulls_last())) - 1
-    turn = F.when(F.col("score").isNull(), F.lit(1 << 30)).otherwise(F.least(2 * i, 2 * (n - 1 - i) + 1))
-    turns = scores.withColumn("turn", turn.cast("long")).withColumnRenamed("score", "__score").withColumnRenamed(group, "__group")
-    joined = dealt.join(turns, (F.col(group) == F.col("__group")) & F.col("score").eqNullSafe(F.col("__score")))
-    return (top_per_group(joined, [group], [F.asc("round"), F.asc("turn"), F.asc("__draw")], k, "place")
-            .drop("__draw", "__score", "__group", "turn", "round"))
+    # (at most k rows of each score are left, so these windows are small)
+    place = F.dense_rank().over(Window.partitionBy(group).orderBy(F.col("score").asc_nulls_last())) - 1
+    n = F.max(F.when(F.col("score").isNotNull(), F.col("__i") + 1)).over(Window.partitionBy(group))
+    turn = F.when(F.col("score").isNull(), F.lit(1 << 30)).otherwise(F.least(2 * F.col("__i"), 2 * (F.col("__n") - 1 - F.col("__i")) + 1))
+    turned = dealt.withColumn("__i", place).withColumn("__n", n).withColumn("turn", turn)
+    return (top_per_group(turned, [group], [F.asc("round"), F.asc("turn"), F.asc("__draw")], k, "place")
+            .drop("__draw", "__i", "__n", "turn", "round"))
 
 
 def counted_entries(entries: DataFrame, k: int) -> DataFrame:

@@ -257,9 +257,10 @@ def evaluation_columns(answers: DataFrame, rubric: Rubric) -> DataFrame:
     from scoreloom.functions.values import round_binary
     from scoreloom.operators.rubric import weighted_total
     df = answers.where("usable")
-    for s in rubric.sections:
-        mine = F.transform(F.filter("scores", lambda x: (x["section_key"] == s.key) & x["score"].isNotNull()), lambda x: x["score"])
-        df = df.withColumn(s.key, F.when(F.size(mine) > 0, F.aggregate(mine, F.lit(0), lambda acc, x: acc + x) / F.size(mine)))
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["total"] + x["score"]).alias("total"), (acc["n"] + 1).alias("n"))
+    mine = lambda key: F.filter("scores", lambda x: (x["section_key"] == key) & x["score"].isNotNull())
+    df = df.withColumns({s.key: F.aggregate(mine(s.key), start, add, lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"])) for s in rubric.sections})
     cap = F.array_min(F.transform("red_flags", lambda f: rubric.cap_of_flag(f["flag_id"])))
     df = df.withColumn("__raw", weighted_total(rubric)).withColumn("__cap", cap)
     raw = F.col("__raw")

@@ -68,6 +68,16 @@ def with_neighbours(df: DataFrame, group: Sequence[str], idx: str, before: dict[
     return spread.where("__home.own").drop("__home")
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """A scan with at least one partition per core, for costly work inside rows.
+
+    A table of one small file would keep a single core busy.  Tables with enough splits, which is any
+    large one, are returned as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each group.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.operators.rubric import Item, Rubric, Section, Flag, Grade
-from scoreloom.operators.skew import dense_index
+from scoreloom.operators.skew import balanced, dense_index
 
 RUBRIC = Rubric(
     name="table_rubric", version=1, scale=(1, 5), justify=(1, 5),
@@ -45,6 +45,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The documents, spread over the cores."""
+        return balanced(self.documents)
+
+    @cached_property
+    def spread_orders(self) -> DataFrame:
+        return balanced(self.orders)
+
     @cached_property
     def personas(self) -> DataFrame:
         return (self.customer

@@ -56,7 +56,7 @@ def answer_texts(t) -> DataFrame:
             .otherwise(F.concat(F.lit("\n\t "), body, F.lit(" \n"))))
     subject = F.concat(F.lit("Order status "), F.col("o_orderstatus"), F.lit(" with priority "), F.col("o_orderpriority"),
                        F.lit(" was  noted."))
-    return t.orders.select(F.concat(F.lit("ans_"), s(k)).alias("answer_id"), k.alias("k"), text.alias("text"),
+    return t.spread_orders.select(F.concat(F.lit("ans_"), s(k)).alias("answer_id"), k.alias("k"), text.alias("text"),
                            subject.alias("subject"), "o_custkey", "o_orderstatus", "o_orderdate")
 
 
@@ -96,7 +96,7 @@ def _(t):
     quotes = F.explode(F.array(F.struct(F.lit("words").alias("kind"), middle.alias("quote")),
                                F.struct(F.lit("elided").alias("kind"), elided.alias("quote"))))
     enough = F.size(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))) >= 8
-    return (t.documents.where(enough).select("doc_id", "text", quotes.alias("q"))
+    return (t.texts.where(enough).select("doc_id", "text", quotes.alias("q"))
             .select("doc_id", "q.kind", an.quote_in_text(F.col("q.quote"), F.col("text")).alias("found")))
 
 
@@ -221,7 +221,7 @@ def expectation_texts(t) -> DataFrame:
         F.lit('{"situation":" waiting ","hoped_for":'), F.when(k % 7 == 0, "null").otherwise('"clarity"'),
         F.lit(',"framing":"'), F.when(k % 5 == 0, "vague").otherwise("No preference"), F.lit('","must_haves":["a"," ","b '),
         (k % 3).cast("string"), F.lit('"],"sensitivities":'), F.when(k % 11 == 0, '"none"').otherwise("null"), F.lit("}"))
-    return t.orders.select(k.alias("k"), F.when(k % 9 != 0, F.concat(F.lit("per_"), F.col("o_custkey").cast("string"))).alias("persona_id"),
+    return t.spread_orders.select(k.alias("k"), F.when(k % 9 != 0, F.concat(F.lit("per_"), F.col("o_custkey").cast("string"))).alias("persona_id"),
                            F.concat(F.lit("req_"), F.floor(k / 3).cast("long").cast("string")).alias("request_id"),
                            (k % 3 + 1).cast("int").alias("attempt"), text.alias("text"))
 

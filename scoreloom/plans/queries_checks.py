@@ -57,13 +57,15 @@ def restated(t) -> DataFrame:
     prose = (F.when(flaw == 4, F.concat(F.lit("It is the main cause that brings "), v2, F.lit(". And so on.")))
              .when(flaw == 5, F.concat(F.lit("Think of "), v2, F.lit(" again."))).otherwise("All in all a fine day."))
     expected = F.array(*[F.struct(F.lit(label).alias("label"), v.alias("value")) for label, v in (("Topic", v1), (name, v2), ("Outcome", v3))])
-    return t.prompts.select("n", F.concat(F.lit("Here is what I see.\n\n"), lines, F.lit("\n"), prose).alias("text"), expected.alias("expected"),
+    # only numbers travel; the texts are written and checked where they arrive
+    numbers = t.prompts.select("n").repartition(t.spark.sparkContext.defaultParallelism)
+    return numbers.select("n", F.concat(F.lit("Here is what I see.\n\n"), lines, F.lit("\n"), prose).alias("text"), expected.alias("expected"),
                             F.when(n % 7 == 0, "length").otherwise("stop").alias("finish_reason"))
 
 
 @query("v1_non_empty", r"""select doc_id, len(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 60 too_short from documents""")
 def _(t):
-    return t.documents.select("doc_id", (F.size(c.non_empty(F.col("text"), 60)) > 0).alias("too_short"))
+    return t.texts.select("doc_id", (F.size(c.non_empty(F.col("text"), 60)) > 0).alias("too_short"))
 
 
 @query("v2_not_truncated", "select response_id, coalesce(finish_reason = 'length', false) truncated from fx_responses")
@@ -84,7 +86,7 @@ def _(t):
 def _(t):
     text = F.concat("text", F.when(F.col("doc_id") % 7 == 0, " I'm sorry, but I can't help with that.").when(
         F.col("doc_id") % 7 == 1, " As an AI language model I pass.").otherwise(""))
-    return t.documents.select("doc_id", F.explode(c.no_refusal(text)).alias("i")).select("doc_id", "i.label")
+    return t.texts.select("doc_id", F.explode(c.no_refusal(text)).alias("i")).select("doc_id", "i.label")
 
 
 @query("v5_normalize_line", r"""
@@ -92,7 +94,7 @@ def _(t):
          '^\s*(?:[-•+]|\(?\d{1,2}[.):])\s+', ''), '^\s+|\s+$', '', 'g') line from (select doc_id, unnest(string_split(text, chr(10))) raw from documents)) group by 1, 2""")
 def _(t):
     lines = F.explode(F.split("text", ex.LINE_BREAK))
-    return (t.documents.select("doc_id", lines.alias("raw")).groupBy("doc_id", ex.normalize_line(F.col("raw")).alias("line"))
+    return (t.texts.select("doc_id", lines.alias("raw")).groupBy("doc_id", ex.normalize_line(F.col("raw")).alias("line"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -106,14 +108,14 @@ SQL_VIEWS["fx_words"] = r"""
 
 @query("v6_vocab_find", "select d.doc_id, w.named from documents d left join (select doc_id, arg_min(named, pos) named from fx_words group by 1) w on d.doc_id = w.doc_id")
 def _(t):
-    return t.documents.select("doc_id", WORDS.find(F.col("text")).alias("named"))
+    return t.texts.select("doc_id", WORDS.find(F.col("text")).alias("named"))
 
 
 @query("v7_vocab_find_all", """select doc_id, named, count(*) n, cast(sum(place) as bigint) place from (
        select doc_id, named, pos, row_number() over (partition by doc_id order by pos) place from fx_words) group by 1, 2""")
 def _(t):
     # positions ascend, so the order of the mentions is the order of their positions
-    found = t.documents.select("doc_id", F.posexplode(F.array_sort(WORDS.find_all(F.col("text")), lambda a, b: a["position"] - b["position"])).alias("i", "f"))
+    found = t.texts.select("doc_id", F.posexplode(F.array_sort(WORDS.find_all(F.col("text")), lambda a, b: a["position"] - b["position"])).alias("i", "f"))
     return found.groupBy("doc_id", F.col("f.value").alias("named")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") + 1).alias("place"))
 
 
@@ -125,7 +127,7 @@ def _(t):
        where lower(w) in ('the', 'le', 'der', 'die', 'and', 'et', 'und', 'of', 'de', 'des', 'von')""")
 def _(t):
     text = F.col("text")
-    found = t.documents.select("doc_id", "text", F.explode(WORDS.find_all(text)).alias("f"))
+    found = t.texts.select("doc_id", "text", F.explode(WORDS.find_all(text)).alias("f"))
     return found.select("doc_id", "f.value", "f.position", F.substring(text, F.col("f.position") + 1, 3).alias("there"))
 
 
@@ -235,7 +237,7 @@ def _(t):
         if doc_id % 10 == 3:
             raise ValueError(lang)
         return []
-    ran = c.run_checks(t.documents, {"words": c.word_count_between(F.col("text"), 50, 400), "fragile": c.python_check(fragile)(F.col("doc_id"), F.col("lang"))})
+    ran = c.run_checks(t.texts, {"words": c.word_count_between(F.col("text"), 50, 400), "fragile": c.python_check(fragile)(F.col("doc_id"), F.col("lang"))})
     return c.issue_rows(ran, "doc_id").select("doc_id", "severity", "code")
 
 
@@ -266,13 +268,13 @@ def _(t):
 def _(t):
     # the configured check takes the place of the custom one of its name
     checks = c.named_checks({"non_empty": {"min_chars": 300}}, {"non_empty": c.non_empty(F.col("text"), 1)})
-    return c.run_checks(t.documents, checks).select("doc_id", (F.size("issues") > 0).alias("flagged"))
+    return c.run_checks(t.texts, checks).select("doc_id", (F.size("issues") > 0).alias("flagged"))
 
 
 @query("v26_word_count_check", r"""select doc_id, cast(len(regexp_extract_all(text, '\S+')) as varchar) message from documents
        where len(regexp_extract_all(text, '\S+')) not between 40 and 120""")
 def _(t):
-    return t.documents.select("doc_id", F.explode(c.word_count_between(F.col("text"), 40, 120)).alias("i")).select("doc_id", "i.message")
+    return t.texts.select("doc_id", F.explode(c.word_count_between(F.col("text"), 40, 120)).alias("i")).select("doc_id", "i.message")
 
 
 @query("v27_spread_validator", f"""select passed, n_errors, n_warnings, count(*) n from (select r.n, count(*) filter (severity = 'error') = 0 passed,
@@ -295,4 +297,4 @@ def _(t):
 
 @query("u2_free_text", r"""select doc_id, nullif(substr(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^["'']+|["'']+$', '', 'g'), 1, 200), '') as value from documents""")
 def _(t):
-    return t.documents.select("doc_id", m.FreeText().find(F.col("text")).alias("value"))
+    return t.texts.select("doc_id", m.FreeText().find(F.col("text")).alias("value"))

@@ -124,7 +124,7 @@ def _(t):
 def _(t):
     people = t.personas.select(F.col("persona_number").cast("long").alias("position"), "persona_id")
     size = t.customer.agg(F.count(F.lit(1))).scalar()
-    pairs = sa.pair_sample(t.orders.select("o_orderkey"), people, size, 3, 11, "o_orderkey")
+    pairs = sa.pair_sample(t.spread_orders.select("o_orderkey"), people, size, 3, 11, "o_orderkey")
     return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("persona_id").alias("n_different"),
                                            (F.min("persona_id").isNotNull()).alias("known"))
 

@@ -32,7 +32,7 @@ SQL_VIEWS["fx_char_windows"] = """
 @query("x1_tokenize_ws", """select doc_id, count(*) n_tokens, cast(sum(end_at - length(token)) as bigint) starts, cast(sum(end_at) as bigint) ends,
        min(token) first_token, max(token) last_token from fx_pieces group by 1""")
 def _(t):
-    return w.tokenize(t.documents, "doc_id", "text").groupBy("doc_id").agg(
+    return w.tokenize(t.texts, "doc_id", "text").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum("start").alias("starts"), F.sum("end").alias("ends"),
         F.min("token").alias("first_token"), F.max("token").alias("last_token"))
 
@@ -49,14 +49,14 @@ def letter_spans():
 
 @query("u7_tokenizer", """select doc_id, count(*) n_tokens, cast(sum(length(token)) as bigint) chars from (select doc_id, unnest(regexp_extract_all(text, '[a-z]+')) token from documents) group by 1""")
 def _(t):
-    return (w.tokenize(t.documents, "doc_id", "text", letter_spans()).groupBy("doc_id")
+    return (w.tokenize(t.texts, "doc_id", "text", letter_spans()).groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("end") - F.col("start")).alias("chars")))
 
 
 @query("x2_build_vocab", """select token, row_number() over (order by at_doc, at_pos) - 1 token_id, n from (
        select token, min(doc_id) at_doc, arg_min(pos, doc_id * 16777216 + pos) at_pos, count(*) n from fx_pieces group by 1)""")
 def _(t):
-    return w.build_vocab(t.documents, "doc_id", "text")
+    return w.build_vocab(t.texts, "doc_id", "text")
 
 
 @query("x3_window_tokens", """select doc_id, count(*) n_windows, cast(sum(length(t)) as bigint) chars, min(t) first_window, max(t) last_window from (
@@ -66,7 +66,7 @@ def _(t):
     from scoreloom.functions.text import words
     windows = F.explode(w.token_windows(F.col("w"), 3, stride=4, dilation=2))
     text = F.array_join("window", "_")
-    return (t.documents.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", windows.alias("window")).groupBy("doc_id")
+    return (t.texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", windows.alias("window")).groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length(text)).alias("chars"), F.min(text).alias("first_window"), F.max(text).alias("last_window")))
 
 
@@ -75,7 +75,7 @@ def _(t):
        from (select *, unnest(range(0, n, 10)) s from fx_pieces_of where n > 0)) group by 1""")
 def _(t):
     texts = F.col("windows")
-    return (t.documents.select("doc_id", w.pieces(F.col("text")).alias("p")).where(F.size("p") > 0)
+    return (t.texts.select("doc_id", w.pieces(F.col("text")).alias("p")).where(F.size("p") > 0)
             .select("doc_id", w.window_texts(F.col("p"), 10, drop_last=False).alias("windows"))
             .select("doc_id", F.size(texts).cast("long").alias("n_windows"),
                     F.aggregate(texts, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join(texts, "|")).alias("digest")))
@@ -85,7 +85,7 @@ def _(t):
 def _(t):
     p = F.col("p")
     texts = F.col("windows")
-    return (t.documents.select("doc_id", w.pieces(F.col("text")).alias("p")).where(F.size("p") > 0)
+    return (t.texts.select("doc_id", w.pieces(F.col("text")).alias("p")).where(F.size("p") > 0)
             .select("doc_id", w.char_window_texts(p, 80).alias("windows"))
             .select("doc_id", F.size(texts).alias("n_windows"), F.array_max(F.transform(texts, lambda x: F.length(x))).alias("longest")))
 
@@ -94,19 +94,19 @@ def _(t):
        select doc_id, scale, regexp_replace(array_to_string(p[s + 1: s + k], ''), '^\\s+|\\s+$', '', 'g') t
        from (select *, unnest(range(0, n, k)) s from fx_pieces_of, (values (5, 'tok_len_5'), (20, 'tok_len_20')) v(k, scale) where n > 0)) group by 1, 2""")
 def _(t):
-    return (w.multi_scale(t.documents, "doc_id", "text", token_sizes=[5, 20]).groupBy("doc_id", "scale")
+    return (w.multi_scale(t.texts, "doc_id", "text", token_sizes=[5, 20]).groupBy("doc_id", "scale")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length("text")).alias("chars")))
 
 
 @query("x6_multi_scale_chars", """select doc_id, concat('char_len_', size) scale, count(*) n_windows, cast(sum(chars) as bigint) chars from fx_char_windows where size <> 80 group by 1, 2""")
 def _(t):
-    return (w.multi_scale(t.documents, "doc_id", "text", char_limits=[100, 400]).groupBy("doc_id", "scale")
+    return (w.multi_scale(t.texts, "doc_id", "text", char_limits=[100, 400]).groupBy("doc_id", "scale")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length("text")).alias("chars")))
 
 
 @query("x7_sentences", "select doc_id, sentence, count(*) n from fx_sentences group by 1, 2")
 def _(t):
-    return w.sentence_rows(t.documents, "doc_id", "text").groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
+    return w.sentence_rows(t.texts, "doc_id", "text").groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x8_word_windows", """select doc_id, count(*) n_windows, cast(sum(length(t)) as bigint) chars, min(t) first_window from (
@@ -114,7 +114,7 @@ def _(t):
          unnest(range(0, greatest(n - 25, 0) + 1, 15)) s from fx_pieces_of)) group by 1""")
 def _(t):
     window = F.col("window")
-    return (t.documents.select("doc_id", F.explode(w.word_windows(F.col("text"))).alias("window")).groupBy("doc_id")
+    return (t.texts.select("doc_id", F.explode(w.word_windows(F.col("text"))).alias("window")).groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.sum(F.length(window)).alias("chars"), F.min(window).alias("first_window")))
 
 
@@ -129,13 +129,13 @@ def _(t):
        select doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') s from (select doc_id, unnest(string_split(regexp_replace(concat_ws(chr(10),
          nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), ''), lang, source), '([.!?])\s+', '\1' || chr(0), 'g'), chr(0))) raw from documents)) where s <> '' group by 1""")
 def _(t):
-    return (t.documents.select("doc_id", F.explode(w.item_sentences(F.array("text"), F.array("lang", "source"))).alias("s"))
+    return (t.texts.select("doc_id", F.explode(w.item_sentences(F.array("text"), F.array("lang", "source"))).alias("s"))
             .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars")))
 
 
 @query("x11_text_stats", r"select doc_id, length(text) n_characters, len(regexp_extract_all(text, '\S+')) n_words from documents")
 def _(t):
-    return t.documents.select("doc_id", F.length("text").cast("long").alias("n_characters"), word_count(F.col("text")).cast("long").alias("n_words"))
+    return t.texts.select("doc_id", F.length("text").cast("long").alias("n_characters"), word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 def count_model():
@@ -145,7 +145,7 @@ def count_model():
 @query("x12_pooled_chunks", r"""select doc_id, count(*) n_chunks, cast(sum(length(sentence)) as double) chars,
        cast(sum(len(regexp_extract_all(sentence, '\S+'))) as double) n_words from fx_sentences group by 1""")
 def _(t):
-    chunks = t.documents.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("chunk_index", "chunk"))
+    chunks = t.texts.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("chunk_index", "chunk"))
     return (w.embed_chunks(chunks, ["doc_id", "chunk_index"], "chunk", count_model).groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("embedding")[0]).alias("chars"), F.sum(F.col("embedding")[1]).alias("n_words")))
 
@@ -163,4 +163,4 @@ def _(t):
     answer = F.to_json(F.struct(F.array(
         F.struct(F.lit("c1").alias("id"), F.array(mention(0, F.lit(0)), mention(4, wrong)).alias("mentions")),
         F.struct(F.lit("c2").alias("id"), F.array(mention(8, F.lit(0))).alias("mentions"))).alias("clusters")))
-    return w.cluster_mentions(t.documents.where(F.length(text) >= 12).select("doc_id", "text", answer.alias("answer")), "doc_id", "text", "answer")
+    return w.cluster_mentions(t.texts.where(F.length(text) >= 12).select("doc_id", "text", answer.alias("answer")), "doc_id", "text", "answer")
