@@ -96,45 +96,50 @@ def usage_from_api(usage: Column) -> Column:
                     whole("$.prompt_tokens_details.cached_tokens").alias("cached_tokens"))
 
 
+# How a final response ended, as the last two bits of a number whose rest is its attempt.
+API_ERROR, VALID, INVALID, UNVALIDATED = range(4)
+
+
 def _outcomes(requests: DataFrame, responses: DataFrame, validations: DataFrame) -> DataFrame:
-    """One row per request with what became of it."""
-    per = responses.groupBy("request_id").agg(
-        F.max("attempt").alias("attempt"), F.count(F.lit(1)).alias("n_attempts"),
+    """One row per request with what became of it; ``outcome`` is NULL where nothing was attempted.
+
+    The final attempt and its outcome are one whole number, so a plain maximum finds both: a hash
+    aggregate, combined before the shuffle, instead of a window and a join back.
+    """
+    passed = F.col("passed")
+    outcome = (F.when(F.col("error").isNotNull(), API_ERROR).when(passed, VALID).when(~passed, INVALID).otherwise(UNVALIDATED))
+    judged = responses.join(validations.select("response_id", "passed"), "response_id", "left")
+    per = judged.groupBy("request_id").agg(
+        F.max(F.col("attempt").cast("long") * 4 + outcome).alias("__top"), F.count(F.lit(1)).alias("n_attempts"),
+        F.max(F.when((F.col("attempt") == 1) & passed, 1)).alias("first_valid"),
         *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("prompt_tokens", "completion_tokens")])
-    verdicts = responses.select("response_id", "request_id", "attempt", "error").join(
-        validations.select("response_id", "passed"), "response_id", "left").drop("response_id")
-    last = verdicts.withColumnRenamed("error", "last_error").withColumn("answered", F.lit(True))
-    first = verdicts.where("attempt = 1 and passed").select("request_id", F.lit(True).alias("first_valid"))
-    return (requests.join(per, "request_id", "left").join(last, ["request_id", "attempt"], "left")
-            .join(first, "request_id", "left"))
+    return (requests.join(per, "request_id", "left")
+            .withColumns({"attempt": F.floor(F.col("__top") / 4), "outcome": F.col("__top") % 4}).drop("__top"))
 
 
 def run_summary(requests: DataFrame, responses: DataFrame, validations: DataFrame,
                 keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Counts over the final response of each request, tokens over every attempt (their cost)."""
-    done = F.col("answered") & F.col("last_error").isNull()
-    count = lambda test: F.count_if(F.coalesce(test, F.lit(False))).cast("long")
+    outcome = F.col("outcome")
+    count = lambda test: F.count_if(test).cast("long")
     o = _outcomes(requests, responses, validations)
     return o.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_requests"), count(done).alias("n_finished"),
-        count(F.col("answered") & F.col("last_error").isNotNull()).alias("n_api_errors"),
-        count(F.col("answered").isNull()).alias("n_not_attempted"),
-        count(done & F.col("passed")).alias("n_valid"), count(done & ~F.col("passed")).alias("n_invalid"),
-        count(done & F.col("passed").isNull()).alias("n_unvalidated"),
-        count(done & (F.col("attempt") > 1)).alias("n_regenerated"),
-        F.coalesce(F.sum("n_attempts"), F.lit(0)).alias("n_attempts"),
-        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
-        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
+        F.count(F.lit(1)).alias("n_requests"), count(outcome != API_ERROR).alias("n_finished"),
+        count(outcome == API_ERROR).alias("n_api_errors"), count(outcome.isNull()).alias("n_not_attempted"),
+        count(outcome == VALID).alias("n_valid"), count(outcome == INVALID).alias("n_invalid"),
+        count(outcome == UNVALIDATED).alias("n_unvalidated"),
+        count((outcome != API_ERROR) & (F.col("attempt") > 1)).alias("n_regenerated"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_attempts", "prompt_tokens", "completion_tokens")])
 
 
 def template_summary(requests: DataFrame, prompts: DataFrame, responses: DataFrame, validations: DataFrame) -> DataFrame:
-    done = F.col("answered") & F.col("last_error").isNull()
-    count = lambda test: F.count_if(F.coalesce(test, F.lit(False))).cast("long")
+    outcome = F.col("outcome")
+    count = lambda test: F.count_if(test).cast("long")
     o = _outcomes(requests.select("request_id", "prompt_id"), responses, validations)
     return (o.join(prompts.select("prompt_id", "template"), "prompt_id").groupBy("template").agg(
-        F.count(F.lit(1)).alias("n_requests"), count(done).alias("n_finished"),
-        count(done & F.col("passed")).alias("n_valid"), count(done & ~F.col("passed")).alias("n_invalid"),
-        count(F.col("first_valid")).alias("n_valid_first_try")))
+        F.count(F.lit(1)).alias("n_requests"), count(outcome != API_ERROR).alias("n_finished"),
+        count(outcome == VALID).alias("n_valid"), count(outcome == INVALID).alias("n_invalid"),
+        F.count("first_valid").alias("n_valid_first_try")))
 
 
 def run_status(summary: DataFrame) -> DataFrame:

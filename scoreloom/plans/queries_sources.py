@@ -182,8 +182,8 @@ def _(t):
        select m, 'question', 'why' from fx_inputs union all select m, 'weights', '[1,2]' from fx_inputs""")
 def _(t):
     m = F.col("m").cast("string")
-    payload = F.concat(F.lit('{"cards":{"Outcome":"value_'), (F.col("m") % 6).cast("string"), F.lit('","Origin":{"n":'), m, F.lit('}},"question":"why","weights":[1,2],"hidden":1}'))
-    return tb.input_items(t.inputs.select("m", payload.alias("payload")), "m", "payload", ["cards", "question", "weights"])
+    payload = F.concat(F.lit('{"draw":{"Outcome":"value_'), (F.col("m") % 6).cast("string"), F.lit('","Origin":{"n":'), m, F.lit('}},"question":"why","weights":[1,2],"hidden":1}'))
+    return tb.input_items(t.inputs.select("m", payload.alias("payload")), "m", "payload", ["draw", "question", "weights"])
 
 
 # ---- streams: the same functions on the whole tables -------------------------------------------------
