@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import matchers as m
-from scoreloom.functions.values import lookup
+from scoreloom.functions.values import fence
 from scoreloom.operators import checks as c
 from scoreloom.operators import extraction as ex
 from scoreloom.plans.fixtures import SQL_VIEWS
@@ -59,8 +59,9 @@ def restated(t) -> DataFrame:
     expected = F.array(*[F.struct(F.lit(label).alias("label"), v.alias("value")) for label, v in (("Topic", v1), (name, v2), ("Outcome", v3))])
     # only numbers travel; the texts are written and checked where they arrive
     numbers = t.prompts.select("n").repartition(t.spark.sparkContext.defaultParallelism)
-    return numbers.select("n", F.concat(F.lit("Here is what I see.\n\n"), lines, F.lit("\n"), prose).alias("text"), expected.alias("expected"),
+    made = numbers.select("n", F.concat(F.lit("Here is what I see.\n\n"), lines, F.lit("\n"), prose).alias("text"), expected.alias("expected"),
                             F.when(n % 7 == 0, "length").otherwise("stop").alias("finish_reason"))
+    return fence(made, ["text", "expected", "finish_reason"])
 
 
 @query("v1_non_empty", r"""select doc_id, len(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 60 too_short from documents""")
