@@ -4,6 +4,7 @@ import pytest
 from compare import compare, engine
 
 import __spark_entry__ as entry
+from scoreloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def con():
     return engine(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     status, n, _, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
     assert status in ("same", "rows-only", "EMPTY"), note
