@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.draws import draw_number, draw_number_sql
-from scoreloom.llm import line_rules, mixing, sharding, url_lists
+from scoreloom.llm import byte_bpe, language_id, line_rules, mixing, neighbours, sharding, url_lists
 from scoreloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,21 @@ select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.3 * n_words as kept from a""")
 def _(spark, sf_dir):
     return line_rules.judge_lines(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "clean_text")
+
+
+@query("op5_byte_bpe")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return byte_bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests_only=True)
+
+
+@query("op7_language_id")
+def _(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+@query("op9_multiprobe_neighbours")
+def _(spark, sf_dir):
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
