@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.draws import draw_number, draw_number_sql
-from scoreloom.llm import byte_bpe, language_id, line_rules, mixing, neighbours, sharding, url_lists
+from scoreloom.llm import byte_bpe, language_id, line_rules, minhash, mixing, neighbours, sharding, url_lists
 from scoreloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,19 @@ def _(spark, sf_dir):
 @query("op9_multiprobe_neighbours")
 def _(spark, sf_dir):
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op4_minhash", r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as materialized (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 80 * (x.n + y.n - k)),
+e as materialized (select u, v from l union select v, u from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.v from r join e on r.b = e.u)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, m.c = d.doc_id as kept
+from d left join n using (doc_id) join (select a as doc_id, min(b) as c from r group by a) m using (doc_id)""")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return minhash.near_duplicates(docs, minhash.Plan(shingle=4)).withColumnRenamed("id", "doc_id")
