@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.draws import draw_number, draw_number_sql
-from scoreloom.llm import byte_bpe, language_id, line_rules, minhash, mixing, neighbours, sharding, url_lists
+from scoreloom.llm import byte_bpe, language_id, line_rules, minhash, mixing, neighbours, passages, sharding, url_lists
 from scoreloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ from d left join n using (doc_id) join (select a as doc_id, min(b) as c from r g
 def _(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return minhash.near_duplicates(docs, minhash.Plan(shingle=4)).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_shared_passages")
+def _(spark, sf_dir):
+    return passages.shared_passages(documents(spark, sf_dir))
