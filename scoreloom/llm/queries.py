@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.draws import draw_number, draw_number_sql
-from scoreloom.llm import byte_bpe, language_id, line_rules, minhash, mixing, neighbours, passages, sharding, url_lists
+from scoreloom.llm import byte_bpe, context_trees, language_id, line_rules, minhash, mixing, neighbours, passages, sharding, url_lists
 from scoreloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def _(spark, sf_dir):
 @query("op8_shared_passages")
 def _(spark, sf_dir):
     return passages.shared_passages(documents(spark, sf_dir))
+
+
+@query("op1_context_trees")
+def _(spark, sf_dir):
+    return context_trees.score_texts(documents(spark, sf_dir))
