@@ -6,6 +6,8 @@ of the row's identity, and rows are numbered inside those pieces only.  Shards a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +60,13 @@ def range_shards(rows: DataFrame, shards: int, key: str, size: str, identity: li
     ranged = rows.select(*kept, range_of(key, splitters(rows, key, size, identity)).alias("__range"))
     whole = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     most = max(1.0, whole / shards / 64)
-    fill = (ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__b"))
-            .select("__range", F.greatest(F.ceil(F.col("__n") / piece_rows), F.ceil(F.col("__b") / most), F.lit(1)).alias("__pieces")))
+    fill = {r[0]: max(1, -(-r[1] // piece_rows), math.ceil(r[2] / most)) for r in ranged.groupBy("__range").agg(F.count(F.lit(1)), F.sum(size)).collect()}
+    pieces_of = F.get(F.array(*[F.lit(fill.get(i, 1)) for i in range(LEVEL * LEVEL)]), F.col("__range"))  # at most LEVEL * LEVEL ranges
     # a hash of the key first: a range of several keys is cut between keys as long as no single key is overfull
     one_key = ranged.groupBy("__range", key).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__b"))
     heavy = (one_key.where((F.col("__n") > piece_rows) | (F.col("__b") > most)).select("__range", F.col(key).alias("__heavy"))
              .withColumn("__is", F.lit(True)))
-    marked = ranged.join(fill, "__range").join(heavy.withColumnRenamed("__range", "__r2"), (F.col("__range") == F.col("__r2"))
+    marked = ranged.withColumn("__pieces", pieces_of).join(heavy.withColumnRenamed("__range", "__r2"), (F.col("__range") == F.col("__r2"))
                                                & F.col(key).eqNullSafe(F.col("__heavy")), "left")
     by = F.when(F.col("__is"), F.xxhash64(key, *identity)).otherwise(F.xxhash64(F.lit(3), key))
     placed = marked.withColumn("__piece", F.pmod(by, F.col("__pieces")).cast("long")).drop("__r2", "__heavy", "__is", "__pieces")
