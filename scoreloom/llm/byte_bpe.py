@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 LONGEST_KEPT = 48  # longer pieces of text are encoded each time they occur
-MOST_KEPT = 200_000  # pieces and pairs remembered in a task before it starts anew
+MOST_KEPT = 300_000  # pieces and pairs remembered in a task before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,8 +40,11 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            if len(token) > 1:
+                self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.bytes = {b: ranks[bytes([b])] for b in range(256) if bytes([b]) in ranks}
+        self.lengths = [len(self.tokens.get(rank, b"")) for rank in range(max(ranks.values()) + 1)]
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.agreed: dict[tuple[int, int], bool] = {}
 
@@ -88,33 +94,40 @@ class ByteBpe:
                 right = self.split(right)[0]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Tokens of one piece, as the merges give them."""
+        """Tokens of one piece, as the merges give them.
+
+        A position is reached by one sequence of agreeing tokens at most, so its choices are used up once and need no copy.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        choices: list[list[int]] = [[] for _ in range(n)]  # tokens from each position, short ones first, to pop the longest
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
-            choices[end - length + 1].append(rank)
-        dead = bytearray(n + 1)
-        out: list[int] = []
-        at, left = 0, list(choices[0])
-        stack = []
+        n, lengths, agreed = len(piece), self.lengths, self.agreed
+        choices = [[self.bytes[b]] for b in piece]  # tokens from each position, short ones first, to pop the longest
+        for end, rank in self.automaton.iter(piece.decode("latin-1")):
+            choices[end - lengths[rank] + 1].append(rank)
+        dead, out, path, at, last = set(), [], [], 0, -1
         while at < n:
+            left = choices[at]
             while left:
                 rank = left.pop()
-                to = at + len(self.tokens[rank])
-                if not dead[to] and (not out or self.agree(out[-1], rank)):
-                    stack.append((at, left))
-                    out.append(rank)
-                    at, left = to, list(choices[to]) if to < n else []
-                    break
+                to = at + lengths[rank]
+                if to in dead:
+                    continue
+                if last >= 0:
+                    fits = agreed.get((last, rank))
+                    if not (self.agree(last, rank) if fits is None else fits):
+                        continue
+                path.append(at)
+                out.append(rank)
+                at, last = to, rank
+                break
             else:
-                dead[at] = 1
-                if not stack:
-                    raise ValueError("the vocabulary lacks a byte of the text")
-                at, left = stack.pop()
+                if not path:
+                    raise ValueError("no sequence of tokens agrees: these ranks are not those of merges")
+                dead.add(at)
+                at = path.pop()
                 out.pop()
+                last = out[-1] if out else -1
         return out
 
     def decode(self, ids) -> bytes:
@@ -127,21 +140,32 @@ class Pieces(dict):
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.before = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode()), dtype="<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("I", self.bpe.encode_piece(piece.encode())).tobytes()
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
+            if len(self) >= MOST_KEPT:  # the pieces before these stay at hand, so common ones come back without work
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
-    """A function from text to the bytes of its ids (little-endian, 32 bits each)."""
+@lru_cache(maxsize=2)
+def coder(ranks_path: str, pattern: str) -> tuple[Callable[[str], bytes], Callable[[bytes], bytes]]:
+    """Text to the bytes of its ids (little-endian, 32 bits each), and back to the text's bytes; kept by a process for its next task."""
     cut, known = regex.compile(pattern).findall, Pieces(ByteBpe(read_ranks(ranks_path)))
-    return lambda text: b"".join(map(known.__getitem__, cut(text)))
+    token = known.bpe.tokens.__getitem__
+    swap = sys.byteorder != "little"
+
+    def encode(text: str) -> bytes:
+        ids = b"".join(map(known.__getitem__, cut(text)))
+        return np.frombuffer(ids, ">u4").astype("<u4").tobytes() if swap else ids
+
+    return encode, lambda ids: b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
 
 
 def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", digests_only: bool = False) -> DataFrame:
@@ -157,10 +181,7 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, table = encoder(ranks_path, pattern), {}
-        for rank_token in ((r, t) for t, r in read_ranks(ranks_path).items()):
-            table[rank_token[0]] = rank_token[1]
-        known = table.__getitem__
+        encode, decode = coder(ranks_path, pattern)
         for batch in batches:
             out = batch[kept].copy()
             made: dict[str, list] = {c: [] for c in added}
@@ -169,7 +190,7 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                 made["n_tokens"].append(len(ids) // 4)
                 if digests_only:
                     made["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    made["decoded_sha256"].append(hashlib.sha256(b"".join(map(known, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
+                    made["decoded_sha256"].append(hashlib.sha256(decode(ids)).hexdigest())
                 else:
                     made["ids"].append(np.frombuffer(ids, "<i4"))
             for c in added:

@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
-from scoreloom.llm.byte_bpe import ByteBpe, encoder, read_ranks, with_ids
+from scoreloom.llm.byte_bpe import ByteBpe, coder, read_ranks, with_ids
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -29,11 +29,12 @@ def test_pieces_of_all_kinds(both):
 
 def test_whole_documents(both, spark):
     _, want = both
-    encode = encoder(RANKS, P.PATTERN)
+    encode, decode = coder(RANKS, P.PATTERN)
     import numpy as np
     for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         if row.text is not None:
-            assert np.frombuffer(encode(row.text), "<u4").tolist() == want.encode_ordinary(row.text)
+            ids = encode(row.text)
+            assert np.frombuffer(ids, "<u4").tolist() == want.encode_ordinary(row.text) and decode(ids) == row.text.encode()
 
 
 def test_nulls_repeats_and_clashes(spark):
