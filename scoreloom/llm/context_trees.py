@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import stored, text_bytes
-from scoreloom.llm.minhash import WordHashes
+from scoreloom.llm.words import word_hashes
 
 END, START = 0xFF, 0xFE  # bytes that UTF-8 never has: the end of a text, and what stands before it
 END_WORD = np.uint64(0)  # the key of the end of a text among words
@@ -129,21 +129,19 @@ def unpack_keys(body: bytes) -> np.ndarray:
     return np.cumsum(unpacked(body, np.uint64), dtype=np.uint64)
 
 
-def words_in(text: str | None, known: WordHashes) -> np.ndarray:
+def words_in(text: str | None) -> np.ndarray:
     """Keys of a text's words in lower case A-Z, and of its end."""
-    words = text.encode().lower().split() if text is not None else []
-    return np.append(np.fromiter((known[w] or 1 for w in words), np.uint64, len(words)), END_WORD)
+    return np.append(np.maximum(word_hashes(text), np.uint64(1)), END_WORD)
 
 
 def block_lists(texts: list, train: np.ndarray, plan: Plan) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Different runs and words of a block with their counts in its training texts."""
-    known = WordHashes()
     found: dict[str, list] = {"run": [], "word": []}
     for part in chunks(texts, plan.chunk):
         bodies = [body_of(texts[i]) for i in part]
         marks = np.repeat(train[part.start:part.stop], [len(b) for b in bodies])
         found["run"].append(counted(runs_of(bodies, plan.depth), marks))
-        words = [words_in(texts[i], known) for i in part]
+        words = [words_in(texts[i]) for i in part]
         found["word"].append(counted(np.concatenate(words), np.repeat(train[part.start:part.stop], [len(w) for w in words])))
     return {kind: merged(parts) for kind, parts in found.items()}
 
@@ -243,13 +241,12 @@ def score_block(texts: list, replies: pd.DataFrame, parts: int, plan: Plan, n_wo
         order = np.argsort(keys)
         answers[kind] = keys[order], np.concatenate([unpacked(v, number) for v in own["values"]])[order]
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-    known = WordHashes()
     for part in chunks(texts, plan.chunk):
         bodies = [body_of(texts[i]) for i in part]
         keys, values = answers["run"]
         each = values[np.searchsorted(keys, runs_of(bodies, plan.depth))].astype(np.float64)
         out["score"] += np.add.reduceat(each, np.cumsum([0, *[len(b) for b in bodies]])[:-1]).tolist()
-        words = [words_in(texts[i], known) for i in part]
+        words = [words_in(texts[i]) for i in part]
         starts = np.cumsum([0, *[len(w) for w in words]])[:-1]
         keys, values = answers["word"]
         c = values[np.searchsorted(keys, np.concatenate(words))]

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import cut
 from scoreloom.llm.components import components
+from scoreloom.llm.words import mixed, word_hashes
 
-WORDS_KEPT = 300_000  # hashes of words remembered in a task before it starts anew
+SHINGLES = 256  # shingles times functions that are hashed together stay in a core's cache
 
 
 @dataclass(frozen=True)
@@ -43,33 +44,15 @@ class Plan:
         return rng.integers(0, 1 << 63, many, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, many, dtype=np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed mixing of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def shingle_set(text: str | None, size: int, known: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted different 64-bit hashes of the shingles: runs of ``size`` words in lower case A-Z, the whole of a shorter text, none without words."""
-    words = text.encode().lower().split() if text is not None else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    h = np.full(len(words) - width + 1, width, np.uint64)
+    ids = word_hashes(text)
+    if not len(ids):
+        return ids
+    width = min(size, len(ids))
+    h = np.full(len(ids) - width + 1, width, np.uint64)
     for i in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i:len(words) - width + 1 + i]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i:len(ids) - width + 1 + i]
         h ^= h >> np.uint64(29)
     return np.unique(mixed(h))
 
@@ -77,8 +60,8 @@ def shingle_set(text: str | None, size: int, known: WordHashes) -> np.ndarray:
 def sketch(h: np.ndarray, plan: Plan, odd: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits of a non-empty set."""
     low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 2048):
-        np.minimum(low, ((h[None, at:at + 2048] ^ salt[:, None]) * odd[:, None]).min(axis=1), out=low)
+    for at in range(0, len(h), SHINGLES):
+        np.minimum(low, ((h[None, at:at + SHINGLES] ^ salt[:, None]) * odd[:, None]).min(axis=1), out=low)
     keys = np.zeros(plan.bands, np.uint64)
     for column in low.reshape(plan.bands, plan.rows).T:
         keys = mixed(keys * np.uint64(31) + column)
@@ -92,11 +75,11 @@ def sketch(h: np.ndarray, plan: Plan, odd: np.ndarray, salt: np.ndarray) -> tupl
 def signatures(docs: DataFrame, plan: Plan, text: str, identity: str) -> DataFrame:
     """``id, n, class, keys, bits`` of each document; class, keys and bits are null for a text without words."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, (odd, salt) = WordHashes(), plan.functions()
+        odd, salt = plan.functions()
         for batch in batches:
             n, name, keys, bits = [], [], [], []
             for body in batch["text"]:
-                h = shingle_set(body, plan.shingle, known)
+                h = shingle_set(body, plan.shingle)
                 n.append(len(h))
                 if len(h):
                     name.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -150,10 +133,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def joining_links(left: pd.DataFrame, right: pd.DataFrame | None, plan: Plan) -> pd.DataFrame:
-    """Confirmed links inside a cell (``right`` None) or across two, only as many as join different components."""
+    """Confirmed links inside a cell (``right`` None) or across two, only as many as join different components.
+
+    A pair is looked at in the first band that it shares, so once however many buckets hold both.
+    """
     cells = left if right is None else pd.concat([left, right], ignore_index=True)
     ids, where = cells["id"].to_numpy(np.int64), cells["component"].to_numpy(np.int64)
     bits = np.array(cells["bits"].tolist(), np.int64).view(np.uint64)
+    keys, band = np.array(cells["keys"].tolist(), np.int64), int(cells["band"].iloc[0])
     sets = [np.frombuffer(s, np.uint64) for s in cells["set"]]
     above = {c: c for c in where.tolist()}
 
@@ -171,7 +158,10 @@ def joining_links(left: pd.DataFrame, right: pd.DataFrame | None, plan: Plan) ->
         for k in range(1, plan.bits):
             y |= x >> np.uint64(k)
         near = estimate(np.bitwise_count(y & ones).sum(axis=1), plan)
-        for j in np.flatnonzero((near >= plan.percent / 100 - plan.slack) & (where[j0:] != where[i])):
+        wanted = np.flatnonzero((near >= plan.percent / 100 - plan.slack) & (where[j0:] != where[i]))
+        if len(wanted) and band:
+            wanted = wanted[~(keys[j0 + wanted, :band] == keys[i, :band]).any(axis=1)]
+        for j in wanted:
             if (a := top(where[i])) != (b := top(where[j0 + j])) and similar(sets[i], sets[j0 + j], plan.percent):
                 above[max(a, b)] = min(a, b)
                 out.append((ids[i], ids[j0 + j]))
@@ -191,13 +181,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id
     banded = classes.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = cut(banded.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     members = cut(banded.join(buckets, ["band", "key"]).select("band", "key", "pivot", "id", "many"))
-    bits = cut(classes.join(members.select("id").distinct(), "id").select("id", "bits"))
+    bits = cut(classes.join(members.select("id").distinct(), "id").select("id", "bits", "keys"))
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for batch in batches:
             for i, body in zip(batch["id"], batch["text"], strict=True):
-                yield pd.DataFrame({"id": [i], "set": [shingle_set(body, plan.shingle, known).tobytes()]})
+                yield pd.DataFrame({"id": [i], "set": [shingle_set(body, plan.shingle).tobytes()]})
 
     texts = docs.select(F.col(identity).cast("long").alias("id"), F.col(text).alias("text"))
     sets = cut(texts.join(bits.select("id"), "id", "left_semi").mapInPandas(full, "id bigint, set binary").groupBy("id").agg(F.max("set").alias("set")))
