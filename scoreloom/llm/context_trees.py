@@ -106,11 +106,38 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys and how many of each are marked."""
-    all_keys = np.unique(keys)
     own, many = np.unique(keys[train], return_counts=True)
-    counts = np.zeros(len(all_keys), np.int64)
-    counts[np.searchsorted(all_keys, own)] = many
-    return all_keys, counts
+    rest = np.unique(keys[~train])
+    return merged([(own, many), (rest, np.zeros(len(rest), np.int64))])
+
+
+class Lookup:
+    """Values of known keys: a table four times as large as the keys, a taken place leads to the next one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        owner = np.full(1 << bits, -1, np.int64)
+        place, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[owner[place[left]] < 0]
+            owner[place[free]] = free
+            left = left[owner[place[left]] != left]
+            place[left] = (place[left] + 1) & self.mask
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        self.keys[place], self.values[place] = keys, values
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all known."""
+        place = self.place(keys)
+        left = np.flatnonzero(self.keys[place] != keys)
+        while len(left):
+            place[left] = (place[left] + 1) & self.mask
+            left = left[self.keys[place[left]] != keys[left]]
+        return self.values[place]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -238,18 +265,15 @@ def score_block(texts: list, replies: pd.DataFrame, parts: int, plan: Plan, n_wo
     for kind, number in (("run", np.float32), ("word", np.int64)):
         own = replies[replies["kind"] == kind]
         keys = np.concatenate([unpack_keys(k) for k in own["keys"]])
-        order = np.argsort(keys)
-        answers[kind] = keys[order], np.concatenate([unpacked(v, number) for v in own["values"]])[order]
+        answers[kind] = Lookup(keys, np.concatenate([unpacked(v, number) for v in own["values"]]))
     out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
     for part in chunks(texts, plan.chunk):
         bodies = [body_of(texts[i]) for i in part]
-        keys, values = answers["run"]
-        each = values[np.searchsorted(keys, runs_of(bodies, plan.depth))].astype(np.float64)
+        each = answers["run"](runs_of(bodies, plan.depth)).astype(np.float64)
         out["score"] += np.add.reduceat(each, np.cumsum([0, *[len(b) for b in bodies]])[:-1]).tolist()
         words = [words_in(texts[i]) for i in part]
         starts = np.cumsum([0, *[len(w) for w in words]])[:-1]
-        keys, values = answers["word"]
-        c = values[np.searchsorted(keys, np.concatenate(words))]
+        c = answers["word"](np.concatenate(words))
         base = np.log10((c + plan.pseudo) / (n_words + plan.pseudo * (n_kinds + 1)))
         out["n_tokens"] += [len(w) for w in words]
         out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
