@@ -162,14 +162,15 @@ def comments(items: DataFrame, facts: DataFrame, list_entries: DataFrame, flags:
 def sample_comments(table: DataFrame, k: int, key: str, seed: int = 0, group: str = "question") -> DataFrame:
     """Up to ``k`` comments per question, dealt over the scores: lowest, highest, next lowest, ...
 
-    Comments without a score come last.  Each (question, score) is cut to its first ``k`` before
+    Scores that are numbers are ordered as numbers, before those that are not.  Comments without a score come last.  Each (question, score) is cut to its first ``k`` before
     questions are ranked, so a question with millions of comments never meets in one task.
     """
     shuffled = draw_text(seed, "comment", F.col(group), F.col(key))
     dealt = top_per_group(table.withColumn("__draw", shuffled), [group, "score"], [F.asc("__draw"), F.asc(key)], k, "round")
     # a score is at place i from below or n-1-i from above; its turn is the smaller of 2i and 2(n-1-i)+1
     # (at most k rows of each score are left, so these windows are small)
-    place = F.dense_rank().over(Window.partitionBy(group).orderBy(F.col("score").asc_nulls_last())) - 1
+    number = F.expr("try_cast(score as double)")
+    place = F.dense_rank().over(Window.partitionBy(group).orderBy(F.col("score").isNull(), number.asc_nulls_last(), F.col("score").asc_nulls_last())) - 1
     n = F.max(F.when(F.col("score").isNotNull(), F.col("__i") + 1)).over(Window.partitionBy(group))
     turn = F.when(F.col("score").isNull(), F.lit(1 << 30)).otherwise(F.least(2 * F.col("__i"), 2 * (F.col("__n") - 1 - F.col("__i")) + 1))
     turned = dealt.withColumn("__i", place).withColumn("__n", n).withColumn("turn", turn)

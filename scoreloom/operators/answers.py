@@ -166,7 +166,10 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
     keyed = F.flatten(F.transform(F.filter("__entries", fits), _keyed))
     judged = F.transform(F.transform(keyed, lambda s: _scored(s, rubric)), lambda s: _judged(s, rubric))
     known = [f.id for f in rubric.flags]
-    flags = F.from_json(F.when(read & member("red_flags").startswith("["), member("red_flags")), "array<struct<id:string,quote:string>>")
+    # each entry by itself: one that is no object is an unknown flag, and takes no other with it
+    flags = F.transform(elements(F.when(read, member("red_flags"))), lambda x: F.coalesce(
+        F.from_json(F.when(x.startswith("{"), x), "struct<id:string,quote:string>"),
+        F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("quote"))))
     df = df.withColumns({
         "__read": judged,
         "justifications": F.transform_values(F.map_filter("__why", lambda k, v: v.rlike(r'(?U)^(?:-?\d|"\s*[^\s"])')),

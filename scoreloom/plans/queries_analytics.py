@@ -167,7 +167,7 @@ def _(t):
        with dealt as (select *, {draw_text_sql(7, 'comment', 'question', 'text')} draw,
            row_number() over (partition by question, score order by {draw_text_sql(7, 'comment', 'question', 'text')}, text) round_no from fx_comments),
          turns as (select question, score, case when score is null then 1000000 else least(2 * i, 2 * (n - 1 - i) + 1) end turn from (
-           select question, score, row_number() over (partition by question order by score asc nulls last) - 1 i, count(score) over (partition by question) n
+           select question, score, row_number() over (partition by question order by score is null, try_cast(score as double) asc nulls last, score asc nulls last) - 1 i, count(score) over (partition by question) n
            from (select distinct question, score from fx_comments)))
        select question, score, text, cast(place as int) place from (
          select d.*, row_number() over (partition by d.question order by round_no, turn, draw) place
