@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 LONGEST_KEPT = 48  # longer pieces of text are encoded each time they occur
+ROWS = 256  # documents whose ids leave a task together
 MOST_KEPT = 300_000  # pieces and pairs remembered in a task before it starts anew
 
 
@@ -182,7 +183,7 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, decode = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in (whole.iloc[at:at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):  # ids of a whole batch would be large
             out = batch[kept].copy()
             made: dict[str, list] = {c: [] for c in added}
             for body in batch[text]:
