@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LOOKUP = 10_000  # larger lookups belong in a joined table
+PER_BUCKET = 16  # entries of a lookup that share a bucket, about
 
 
 def lookup(mapping: Mapping, key: Column, default=None) -> Column:
-    """Value of ``key`` in a small constant mapping, as an expression (no join)."""
-    if len(mapping) > MAX_LOOKUP:
-        raise ValueError(f"{len(mapping)} entries are too many for an expression; join a table instead")
+    """Value of ``key`` in a constant mapping, as an expression (no join).
+
+    Texts to texts are one folded literal, a map per bucket of the key's CRC, so neither building the plan nor finding a key
+    depends on the number of entries.  A null key finds nothing.
+    """
     if not mapping:
         return F.lit(default)
-    pairs = [F.lit(x) for entry in mapping.items() for x in entry]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    if all(isinstance(x, str) for entry in mapping.items() for x in entry):
+        buckets: list[dict[str, str]] = [{} for _ in range(1 + len(mapping) // PER_BUCKET)]
+        for name, value in mapping.items():
+            buckets[zlib.crc32(name.encode()) % len(buckets)][name] = value
+        table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+        at = (F.crc32(key.cast("binary")) % len(buckets) + 1).cast("int")
+        found = F.try_element_at(F.try_element_at(table, at), key)
+    else:
+        found = F.try_element_at(F.create_map(*[F.lit(x) for entry in mapping.items() for x in entry]), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

@@ -2,7 +2,7 @@
 
 Draws are hashes of (seed, entry, row), so entries do not influence each other and a run gives the
 same inputs however it is partitioned.  Pools that are part of a specification are literals; pools
-that are tables carry a dense position and are joined by it.  Nothing is crossed.
+that are tables are numbered along a position and joined by that number.  Nothing is crossed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.draws import draw_number, draw_text, pick
 from scoreloom.functions.text import fold, normalize_prompt
 from scoreloom.functions.values import let, lookup
-from scoreloom.operators.skew import with_neighbours
+from scoreloom.operators.skew import dense_index, with_neighbours
 from scoreloom.functions.text import common_prefix
 
 STEP = "array<struct<step_index:int,step:string,state:string>>"
@@ -46,11 +46,25 @@ def cycle(df: DataFrame, name: str, candidates: Sequence, index: str = "i") -> D
     return df.withColumn(name, F.element_at(_literals(candidates), (F.col(index) % len(candidates) + 1).cast("int")))
 
 
-def from_table(df: DataFrame, pool: DataFrame, size: Column, seed: int | None = None, name: str = "pool", index: str = "i",
+def _meet(rows: DataFrame, at: Column, pool: DataFrame, position: str) -> DataFrame:
+    """Each row with the pool's row of number ``at``.  Positions only order the pool, gaps do not count; a number that the pool
+    does not have is an error, so no row is lost."""
+    have = _size(pool)
+    checked = F.when(at < have, at.cast("long")).otherwise(F.raise_error(F.concat(F.lit("the pool has no row of number "), at.cast("string"))).cast("long"))
+    numbered = dense_index(pool, [], position, "__at").drop(position)
+    return rows.withColumn("__at", checked).join(numbered, "__at").drop("__at")
+
+
+def _size(pool: DataFrame) -> Column:
+    return pool.agg(F.count(F.lit(1))).scalar()
+
+
+def from_table(df: DataFrame, pool: DataFrame, size: Column | None = None, seed: int | None = None, name: str = "pool", index: str = "i",
                position: str = "position") -> DataFrame:
-    """One row of a table per row: in turn, or drawn uniformly when there is a seed."""
+    """One row of a table per row: in turn, or drawn uniformly when there is a seed.  ``size``: take the first of the pool only."""
+    size = _size(pool) if size is None else size
     at = F.col(index) % size if seed is None else draw_number(seed, name, F.col(index)) % size
-    return df.withColumn("__at", at.cast("long")).join(pool.withColumnRenamed(position, "__at"), "__at").drop("__at")
+    return _meet(df, at, pool, position)
 
 
 def exhaustive(first: DataFrame, entries: Mapping[str, Sequence], index: str = "i", expected: int | None = None,
@@ -159,37 +173,40 @@ def check_entries(given: Column, literals: Mapping[str, str], choices: Mapping[s
 
 # ---- subjects and evaluators ----------------------------------------------------------------------------
 
-DRAW_BUCKETS = 4096
+PREFIXES = (3, 6)  # hexadecimal digits of a draw: 4,096 buckets, and the bucket in question cut into 4,096 again
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int, name: str = "sample") -> DataFrame:
     """Exactly n rows, or all when there are no more, the same for the same seed.
 
-    Draws fall into buckets; whole buckets are kept up to the one in which the n-th row lies, and only
-    that one is ranked.  So n may be large without meeting in one task.
+    Draws fall into buckets; whole buckets are kept up to the one in which the n-th row lies.  That one is cut into buckets again,
+    and only the last one in question, about one row in 17 million, is ranked.  So n may be large without meeting in one task.
     """
-    drawn = df.withColumn("__draw", draw_text(seed, name, F.col(key)))
-    drawn = drawn.withColumn("__bucket", F.conv(F.substring("__draw", 1, 3), 16, 10).cast("int"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", before)  # at most 4096 rows
-    near = drawn.join(counts.where(F.col("__before") < n), "__bucket")
+    rest, whole = df.withColumns({"__draw": draw_text(seed, name, F.col(key)), "__base": F.lit(0).cast("long")}), []
+    for digits in PREFIXES:
+        cut = rest.withColumn("__bucket", F.substring("__draw", 1, digits))
+        counts = cut.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"), F.max("__base").alias("__base"))  # at most 4096 rows
+        before = F.col("__base") + F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.select("__bucket", "__n", before.alias("__before")).where(F.col("__before") < n)
+        near = cut.drop("__base").join(placed, "__bucket")
+        whole.append(near.where(F.col("__before") + F.col("__n") <= n).select(*df.columns))
+        rest = near.where(F.col("__before") + F.col("__n") > n).select(*df.columns, "__draw", F.col("__before").alias("__base"), "__bucket")
     rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__draw", key))
-    whole = near.where(F.col("__before") + F.col("__n") <= n)
-    edge = near.where(F.col("__before") + F.col("__n") > n).withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") <= n).drop("__rank")
-    return whole.unionByName(edge).drop("__draw", "__bucket", "__n", "__before")
+    edge = rest.withColumn("__rank", rank).where(F.col("__base") + F.col("__rank") <= n).select(*df.columns)
+    return whole[0].unionByName(whole[1]).unionByName(edge)
 
 
 def repeat_rows(df: DataFrame, times: int, name: str = "copy") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
-def pair_cycle(subjects: DataFrame, people: DataFrame, n_people: Column, k: int, index: str = "g", position: str = "position") -> DataFrame:
+def pair_cycle(subjects: DataFrame, people: DataFrame, n_people: Column | None, k: int, index: str = "g", position: str = "position") -> DataFrame:
     """Subject g takes the people at g k, g k + 1, ... around the set: everyone is used equally often."""
-    out = repeat_rows(subjects, k, "j").withColumn("__at", ((F.col(index) * k + F.col("j")) % n_people).cast("long"))
-    return out.join(people.withColumnRenamed(position, "__at"), "__at").drop("__at")
+    n_people = _size(people) if n_people is None else n_people
+    return _meet(repeat_rows(subjects, k, "j"), (F.col(index) * k + F.col("j")) % n_people, people, position)
 
 
-def pair_sample(subjects: DataFrame, people: DataFrame, n_people: Column, k: int, seed: int, key: str, position: str = "position") -> DataFrame:
+def pair_sample(subjects: DataFrame, people: DataFrame, n_people: Column | None, k: int, seed: int, key: str, position: str = "position") -> DataFrame:
     """k different people per subject, uniformly; with repeats only where k exceeds their number.
 
     The k positions are drawn inside the subject's row: position j takes a draw from 0..j, or j itself
@@ -206,8 +223,9 @@ def pair_sample(subjects: DataFrame, people: DataFrame, n_people: Column, k: int
     different = F.aggregate(steps, start, step)["out"]
     repeats = F.transform(steps, lambda j: draw_number(seed, "pair", F.col(key), j) % F.col("__people"))
     chosen = F.when(F.col("__people") >= k, different).otherwise(repeats)
-    held = subjects.withColumn("__people", n_people.cast("long")).withColumn("__at", F.explode(chosen))
-    return held.drop("__people").join(people.withColumnRenamed(position, "__at"), "__at").drop("__at")
+    n_people = _size(people) if n_people is None else n_people
+    held = subjects.withColumn("__people", n_people.cast("long")).withColumn("__chosen", F.explode(chosen)).drop("__people")
+    return _meet(held, F.col("__chosen"), people, position).drop("__chosen")
 
 
 def pair_subject(subjects: DataFrame, people: DataFrame, persona: str = "persona_id") -> DataFrame:

@@ -43,6 +43,24 @@ def _starts(counts: DataFrame, group: list[str]) -> DataFrame:
             .select(*group, "__block", (F.col("__base") + F.col("__in")).alias("__before")))
 
 
+def totals_before(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """``key`` and the sum ``name`` of ``n`` over all smaller keys, for different whole numbers from anywhere in 64 bits.
+
+    Sums are accumulated digit by digit of 16 bits, so no window holds over 65,536 rows however sparse the keys are.
+    """
+    ordered = F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order is the order of the signed keys
+    digits = [f"__digit{i}" for i in range(4)]
+    level = counts.select(key, F.col(n).alias("__sum"), *[F.shiftrightunsigned(ordered, 48 - 16 * i).bitwiseAND(F.lit(65535)).alias(d) for i, d in enumerate(digits)])
+    out, parts = level.select(key, *digits), []
+    for depth in (4, 3, 2, 1):
+        own, above = digits[:depth], digits[:depth - 1]
+        level = level.groupBy(*own).agg(F.sum("__sum").alias("__sum"))
+        along = Window.partitionBy(*(above or [F.lit(0)])).orderBy(own[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        parts.append(f"__before{depth}")
+        out = out.join(level.select(*own, F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias(parts[-1])), own)
+    return out.select(key, sum((F.col(p) for p in parts[1:]), F.col(parts[0])).cast("long").alias(name))
+
+
 def with_neighbours(df: DataFrame, group: Sequence[str], idx: str, before: dict[str, str] | None = None,
                     after: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """``lag``/``lead`` along a dense integer index, for groups of any size.
@@ -98,7 +116,7 @@ def lower_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
     """The lower middle of the values (at least 0) of each group, exactly.
 
     Values fall into fine logarithmic buckets.  Counters of buckets find the one that holds the
-    middle, and only its rows are ranked, so a large group is neither sorted nor held as a whole.
+    middle, and only its different values are ordered, so a large group is neither sorted nor held as a whole.
     """
     v = F.col(value)
     cut = df.where(v.isNotNull()).select(*group, value, F.when(v > 0, F.floor(F.log2(v) * per_octave)).otherwise(-(1 << 40)).cast("long").alias("__bucket"))
@@ -109,6 +127,8 @@ def lower_median(df: DataFrame, group: Sequence[str], value: str, name: str = "m
     placed = counts.select(*group, "__bucket", "__n", before.alias("__before"), F.floor((whole + 1) / 2).cast("long").alias("__middle"))
     holding = placed.where((F.col("__before") < F.col("__middle")) & (F.col("__middle") <= F.col("__before") + F.col("__n")))
     near = cut.join(holding.drop("__n"), [*group, "__bucket"])
-    rank = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(value))
-    return (near.withColumn("__rank", rank).where(F.col("__before") + F.col("__rank") == F.col("__middle"))
+    # equal values are one counter, so a value that very many rows share is one row here
+    values = near.groupBy(*group, "__bucket", "__before", "__middle", value).agg(F.count(F.lit(1)).alias("__equal"))
+    upto = F.col("__before") + F.sum("__equal").over(Window.partitionBy(*group, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return (values.withColumn("__upto", upto).where((F.col("__upto") - F.col("__equal") < F.col("__middle")) & (F.col("__middle") <= F.col("__upto")))
             .select(*group, F.col(value).alias(name)))

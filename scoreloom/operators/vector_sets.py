@@ -144,24 +144,34 @@ def pair_moments(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
 def semantic_volume(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """Volume of the simplex of each group's vectors, from the singular values of (x_i - x_0).
 
-    x_0 is the vector of the lowest key.  The squares of the singular values are the eigenvalues of
-    the d x d matrix of moments, so a group of any size ends as one small matrix.
+    x_0 is the vector of the lowest key.  A group of at most as many vectors as dimensions is one small matrix, whose singular
+    values are taken directly.  The squares of those of a larger group are the eigenvalues of the d x d matrix of moments, so it
+    ends as one small matrix too; singular values below about 1e-8 of the largest are not resolved there.
     """
-    first = df.groupBy(group).agg(F.min_by(vector, key).alias("__x0"), F.count(F.lit(1)).cast("long").alias("n"))
-    moved = df.join(first.select(group, "__x0"), group).select(group, F.zip_with(
+    first = df.groupBy(group).agg(F.min_by(vector, key).alias("__x0"), F.count(F.lit(1)).cast("long").alias("n"), F.max(F.size(vector)).alias("__d"))
+    moved = df.join(first, group).select(group, "n", "__d", F.zip_with(
         vector, "__x0", lambda a, b: a.cast("double") - b.cast("double")).alias("__v"))
-    cells = cross_moments(moved, [group], "__v").join(first.select(group, "n"), group)
+    cells = cross_moments(moved.where(F.col("n") > F.col("__d")).select(group, "__v"), [group], "__v").join(first.select(group, "n"), group)
     kind = dict(df.dtypes)[group]
+    schema = f"`{group}` {kind}, n long, volume double, log_volume double"
 
-    def volume(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, n = int(pdf["i"].max()) + 1, int(pdf["n"].iloc[0])
+    def row(name, n: int, values: np.ndarray) -> pd.DataFrame:
+        log = float(np.log(values).sum() - math.lgamma(n)) if n > 1 and (values > 0).all() else -math.inf
+        return pd.DataFrame({group: [name], "n": [n], "volume": [math.exp(log)], "log_volume": [log]})
+
+    def of_vectors(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.linalg.svd(np.stack(pdf["__v"].to_numpy()).astype(float), compute_uv=False)
+        n = len(pdf)
+        return row(pdf[group].iloc[0], n, values[:n - 1])
+
+    def of_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = int(pdf["i"].max()) + 1
         m = np.zeros((d, d))
         m[pdf["i"], pdf["j"]] = pdf["value"]
-        values = np.sort(np.maximum(np.linalg.eigvalsh(m), 0.0))[::-1][:min(n - 1, d)]
-        log = float(0.5 * np.log(values).sum() - math.lgamma(n)) if n > 1 and (values > 0).all() else -math.inf
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [n], "volume": [math.exp(log)], "log_volume": [log]})
+        return row(pdf[group].iloc[0], int(pdf["n"].iloc[0]), np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0.0)))
 
-    return cells.groupBy(group).applyInPandas(volume, f"`{group}` {kind}, n long, volume double, log_volume double")
+    few = moved.where(F.col("n") <= F.col("__d")).groupBy(group).applyInPandas(of_vectors, schema)
+    return few.unionByName(cells.groupBy(group).applyInPandas(of_moments, schema))
 
 
 def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from scoreloom.functions.text import sentences, strip, words
 from scoreloom.functions.values import let
-from scoreloom.operators.skew import dense_index
+from scoreloom.operators.skew import dense_index, totals_before
 
 PIECE = r"(?U)(\s*\S+)"
-POSITIONS = 1 << 24  # more tokens than one text can have
 
 
 SPANS = T.StructType([T.StructField("token", T.ArrayType(T.StringType())), T.StructField("start", T.ArrayType(T.IntegerType())),
@@ -45,11 +44,15 @@ def tokenize(df: DataFrame, key: str, text: str, spans: Callable[[Column], Colum
 def build_vocab(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every different token with an id in first-seen order (by integer ``key``, then position).
 
-    Repeats collapse before the shuffle; ids come from block counters, not from one global sort.
+    Repeats collapse before the shuffle; ids come from counters of keys and blocks of positions, not from one global sort.
+    Keys may be any 64-bit numbers and texts of any length; rows without a key take no part.
     """
-    seen = (df.select(key, F.posexplode(words(F.col(text))).alias("pos", "token"))
-            .groupBy("token").agg(F.min(F.col(key) * POSITIONS + F.col("pos")).alias("__at"), F.count(F.lit(1)).alias("n")))
-    return dense_index(seen, [], "__at", "token_id", block=POSITIONS).drop("__at")
+    seen = (df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__key"), F.posexplode(words(F.col(text))).alias("pos", "token"))
+            .groupBy("token").agg(F.min(F.struct("__key", "pos")).alias("__at"), F.count(F.lit(1)).alias("n"))
+            .select("token", "n", "__at.*"))
+    before = totals_before(seen.groupBy("__key").agg(F.count(F.lit(1)).alias("__new")), "__key", "__new", "__before")
+    return (dense_index(seen, ["__key"], "pos", "__inside").join(before, "__key")
+            .select("token", "n", (F.col("__before") + F.col("__inside")).alias("token_id")))
 
 
 def pieces(text: Column) -> Column:

@@ -20,3 +20,53 @@ def test_inline_value_behind_many_labels(spark):
         df = spark.createDataFrame([("K " + "A " * n + "Red Fox",)], "text string")
         found = df.select(F.explode(extract_inline(F.col("text"), labels, values)).alias("e")).where("e.label = 'K'").collect()
         assert found and found[0].e.value == "Red Fox", n
+
+
+def test_large_vocabularies(spark):
+    from scoreloom.functions.values import lookup
+
+    keys = {f"näme {i}": f"v{i}" for i in range(20_000)}
+    df = spark.createDataFrame([("näme 0",), ("näme 19999",), ("other",), (None,)], "k string")
+    got = [r[0] for r in df.select(lookup(keys, F.col("k"))).collect()]
+    assert got == ["v0", "v19999", None, None]
+    assert [r[0] for r in df.select(lookup(keys, F.col("k"), "none")).collect()] == ["v0", "v19999", "none", "none"]
+
+
+def test_vocabulary_of_sparse_keys(spark):
+    from scoreloom.operators.windows import build_vocab
+
+    rows = [(1 << 62, "c d a"), (-(1 << 63), "b a b"), (1 << 41, "d e"), (0, "f"), ((1 << 63) - 1, "g"), (None, "z")]
+    got = {r.token: (r.token_id, r.n) for r in build_vocab(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {"b": (0, 2), "a": (1, 2), "f": (2, 1), "d": (3, 2), "e": (4, 1), "c": (5, 1), "g": (6, 1)}
+
+
+def test_pools_with_gaps(spark):
+    import pytest
+
+    from scoreloom.operators import sampling as sa
+
+    rows, pool = spark.range(6).withColumnRenamed("id", "i"), spark.createDataFrame([(0, "a"), (2, "b")], "position long, p string")
+    assert [r.p for r in sa.from_table(rows, pool).orderBy("i").collect()] == list("ababab")
+    assert sa.from_table(rows, pool, seed=3).count() == 6
+    assert sa.pair_cycle(rows.withColumnRenamed("i", "g"), pool, None, 2).count() == 12
+    assert sa.pair_sample(rows, pool, None, 2, 1, "i").groupBy("i").agg(F.count_distinct("p").alias("n")).where("n = 2").count() == 6
+    with pytest.raises(Exception, match="no row of number"):
+        sa.from_table(rows, pool, F.lit(3)).collect()
+
+
+def test_small_volumes_keep_their_digits(spark):
+    from scoreloom.operators.vector_sets import semantic_volume
+
+    base, step, other = [1.0, 0.0, 0.0], [1.0, 1e-8, 0.0], [0.5, 0.3, 0.4]
+    rows = [("few", i, v) for i, v in enumerate([base, step, other])] + [("many", i, [float(x) for x in f"{i:03b}"]) for i in range(8)] + [("one", 0, base)]
+    got = {r.g: r.volume for r in semantic_volume(spark.createDataFrame(rows, "g string, k long, x array<double>"), "g", "k", "x").collect()}
+    assert abs(got["few"] / (1e-8 * (0.5 ** 2 + 0.4 ** 2) ** 0.5 / 2) - 1) < 1e-6  # half of base times height
+    assert got["many"] > 0 and got["one"] == 0.0
+
+
+def test_median_of_ties(spark):
+    from scoreloom.operators.skew import lower_median
+
+    rows = [("a", v) for v in [5.0] * 50 + [1.0] * 30 + [9.0] * 40] + [("b", 2.0), ("b", 2.0000001), ("c", None)]
+    got = {r.g: r.m for r in lower_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()}
+    assert got == {"a": 5.0, "b": 2.0}
