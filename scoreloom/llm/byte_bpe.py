@@ -18,12 +18,14 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 LONGEST_KEPT = 48  # longer pieces of text are encoded each time they occur
-ROWS = 256  # documents whose ids leave a task together
+BYTES = 4 << 20  # of ids that leave a task together
 MOST_KEPT = 200_000  # pieces and pairs remembered in a task before it starts anew
 
 
@@ -169,34 +171,41 @@ def coder(ranks_path: str, pattern: str) -> tuple[Callable[[str], bytes], Callab
     return encode, lambda ids: b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
 
 
-def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", digests_only: bool = False) -> DataFrame:
+def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", digests_only: bool = False, keep_text: bool = True) -> DataFrame:
     """The documents' columns with ``ids`` (array) and ``n_tokens``; or, with ``digests_only``, without text and ids but with
-    ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, the digest of the decoded bytes.
+    ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, the digest of the decoded bytes.  ``keep_text=False`` leaves the text out.
 
-    A null text counts as empty: no ids.  Every row gives one row, whatever repeats; columns of the added names are replaced.
+    A null text counts as empty: no ids.  Every row gives one row, whatever repeats; columns of the added names are replaced, all
+    others pass through as they are.  Rows leave a task whenever their ids reach ``BYTES``, so a long text waits for no others.
     The rank file must lie at the same path on every machine.
     """
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["ids", "n_tokens"]
-    kept = [c for c in docs.columns if c not in (*added, *([text] if digests_only else []))]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    kinds = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"n_tokens": LongType(), **({"ids_sha256": StringType(), "decoded_sha256": StringType()} if digests_only else {"ids": ArrayType(IntegerType())})}
+    kept = [c for c in docs.columns if c not in kinds and (c != text or keep_text and not digests_only)]
+    schema = StructType([*[StructField(c, docs.schema[c].dataType) for c in kept], *[StructField(c, kind) for c, kind in kinds.items()]])
+
+    def finished(rows: pa.RecordBatch, ids: list[bytes], digests: list[tuple[str, str]]) -> pa.RecordBatch:
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        made = {"n_tokens": pa.array(sizes)}
+        if digests_only:
+            made["ids_sha256"], made["decoded_sha256"] = (pa.array(x, pa.string()) for x in zip(*digests))
+        else:
+            made["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], sizes.cumsum()]).astype(np.int32), np.frombuffer(b"".join(ids), "<i4"))
+        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *[made[c] for c in kinds]], names=schema.names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decode = coder(ranks_path, pattern)
-        for batch in (whole.iloc[at:at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):  # ids of a whole batch would be large
-            out = batch[kept].copy()
-            made: dict[str, list] = {c: [] for c in added}
-            for body in batch[text]:
-                ids = encode(body) if body is not None else b""
-                made["n_tokens"].append(len(ids) // 4)
+        for batch in batches:
+            first, held, ids, digests = 0, 0, [], []
+            for row, body in enumerate(batch.column(text)):
+                body = body.as_py()
+                made = encode(body) if body is not None else b""
                 if digests_only:
-                    made["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                    made["decoded_sha256"].append(hashlib.sha256(decode(ids)).hexdigest())
-                else:
-                    made["ids"].append(np.frombuffer(ids, "<i4"))
-            for c in added:
-                out[c] = made[c]
-            yield out
-
-    source = docs.select(*dict.fromkeys([*kept, text]))
-    return source.mapInPandas(work, ", ".join([*fields, *[f"{c} {kinds[c]}" for c in added]]))
+                    digests.append((hashlib.sha256(made).hexdigest(), hashlib.sha256(decode(made)).hexdigest()))
+                ids.append(made)
+                held += len(made)
+                if held >= BYTES or row + 1 == batch.num_rows:
+                    yield finished(batch.slice(first, len(ids)), ids, digests)
+                    first, held, ids, digests = row + 1, 0, [], []
+
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*map(quoted, dict.fromkeys([*kept, text]))).mapInArrow(work, schema)
