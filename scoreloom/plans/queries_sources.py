@@ -141,6 +141,18 @@ def _(t):
     return ba.batch_lines(t.requests, "n", sa.messages(F.col("prompt_id")), max_lines=100)
 
 
+_FULL = """select model, row_number() over (partition by model order by n) - 1 as line, concat('{"custom_id":"', request_id, '","method":"POST","url":"/v1/chat/completions","body":{"model":"', model,
+         '","messages":[{"role":"user","content":"', repeat('x', cast(300 - length(request_id) as int)), '"}]}}') as value from fx_requests"""
+
+
+@query("s13_batch_bytes", f"""select model, (line // 100) * ((99 + fit) // fit) + (line % 100) // fit as file_no, value
+       from (select *, least(100, 20000 // (length(value) + 1)) as fit from ({_FULL}))""")
+def _(t):
+    # lines of equal size in each model, so a file of 20,000 bytes holds the same number of them
+    content = F.repeat(F.lit("x"), (300 - F.length("request_id")).cast("int"))
+    return ba.batch_lines(t.requests, "n", sa.messages(content), max_lines=100, max_bytes=20_000)
+
+
 def result_lines(t):
     """(output, errors): what a provider sends back for the requests; every sixth gets nothing."""
     n, rid = F.col("n"), F.col("request_id")

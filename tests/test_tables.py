@@ -71,6 +71,22 @@ def test_batch_files(spark, tmp_path):
     assert ba.repeated_ids(requests).count() == 0 and ba.repeated_ids(requests.union(requests)).count() == 25
 
 
+def test_batch_files_hold_so_many_bytes_and_no_repeated_ids(spark, tmp_path):
+    from scoreloom.operators.sampling import messages
+    requests = spark.range(60).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("request_id"), F.lit("m").alias("model"), F.col("id").alias("n"))
+    words = messages(F.repeat(F.lit("é"), (F.col("n") % 7 * 40).cast("int")))
+    lines = ba.batch_lines(requests, "n", words, max_lines=20, max_bytes=1500)
+    files = lines.groupBy("file_no").agg(F.sum(F.octet_length("value") + 1).alias("size"), F.count("*").alias("n")).orderBy("file_no").collect()
+    assert [f.file_no for f in files] == list(range(len(files))) and len(files) > 6
+    assert all(f["size"] <= 1500 and f.n <= 20 for f in files) and sum(f.n for f in files) == 60
+    with pytest.raises(Exception, match="over 100 bytes"):
+        ba.batch_lines(requests, "n", words, max_bytes=100).collect()
+    with pytest.raises(ValueError, match="r7"):
+        ba.write_batches(lines.union(lines.where("value like '%\"r7\"%'")), str(tmp_path / "again"))
+    ba.write_batches(ba.embedding_lines(requests, "n", "request_id", "request_id", max_lines=25), str(tmp_path / "e"))
+    assert spark.read.text(str(tmp_path / "e")).count() == 60
+
+
 def test_questions_prefer_validation(spark, tmp_path):
     for split in ("train", "validation"):
         (tmp_path / f"{split}.jsonl").write_text(json.dumps({"id": "1", "question": split, "correct_answers": ["a"], "incorrect_answers": []}) + "\n\n")
