@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.values import fence
+from scoreloom.functions.values import fence, let
 from scoreloom.functions.vectors import METRICS, dot, geodesic, norm, normalize, tangent
 from scoreloom.operators.skew import hash_block
 
 BLOCK_ROWS = 2048
+MOMENT_BYTES = 64 << 20  # of matrices that a task holds at a time
 
 
 def distances_to(df: DataFrame, vector: str, reference: Column, key: str) -> DataFrame:
@@ -75,8 +76,9 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
         if metric == "chord":
             d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * gram, 0.0))
             # the short form loses digits between close vectors: those are measured directly
-            for i, j in zip(*np.nonzero(d < 1e-3)):
-                d[i, j] = np.linalg.norm(x[i] - y[j])
+            near = np.argwhere(d < 1e-3)
+            for some in np.array_split(near, 1 + len(near) // block_rows):
+                d[some[:, 0], some[:, 1]] = np.linalg.norm(x[some[:, 0]] - y[some[:, 1]], axis=1)
         elif metric == "arc":
             d = np.arccos(np.clip(gram, -1.0, 1.0))
         elif metric == "dot":
@@ -99,19 +101,33 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
 def cross_moments(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
     """Sum over each group of v v^T, as rows (group, i, j, value).
 
-    Every task adds its own rows up first and sends one matrix per group.
+    Every task adds its own rows up first and sends one matrix per group; with many groups it sends what it has whenever the
+    matrices reach ``MOMENT_BYTES``, and starts anew.
     """
     keys = list(group)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
+        held = 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            for k, m in sums.items():
+                yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "m": [m.ravel()], "d": [m.shape[0]]})
+            sums.clear()
+
         for frame in frames:
             for k, part in (frame.groupby(keys, sort=False) if keys else [((), frame)]):
                 x = np.stack(part[vector].to_numpy()).astype(float)
-                sums[k] = sums.get(k, 0.0) + x.T @ x
-        for k, m in sums.items():
-            yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "m": [m.ravel()], "d": [m.shape[0]]})
+                if k in sums:
+                    sums[k] += x.T @ x
+                else:
+                    sums[k] = x.T @ x
+                    held += sums[k].nbytes
+                if held > MOMENT_BYTES:
+                    yield from sent()
+                    held = 0
+        yield from sent()
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["m array<double>", "d int"])
     cells = df.select(*keys, vector).mapInPandas(partial, schema).select(*keys, "d", F.posexplode("m").alias("__p", "__v"))
@@ -175,18 +191,21 @@ def semantic_volume(df: DataFrame, group: str, key: str, vector: str) -> DataFra
 
 
 def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """An orthonormal basis of the tangent space at every vector: ``basis`` has d-1 arrays of d numbers."""
-    kind = dict(df.dtypes)[key]
+    """An orthonormal basis of the tangent space at every vector: ``basis`` has d-1 arrays of d numbers.
 
-    def bases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for v in frame[vector]:
-                x = np.asarray(v, float)
-                out.append(np.linalg.svd(x[None, :])[2][1:].tolist())  # right singular vectors beside x
-            yield pd.DataFrame({key: frame[key], "basis": out})
+    The reflection that takes the vector to the first axis takes the other axes to such a basis: its rows are
+    e_i - 2 w_i w / |w|^2 with w = x + sign(x_0) |x| e_0.  A zero vector has no tangent space and gets the axes 1 to d-1.
+    """
+    def mirrored(x: Column) -> Column:
+        w = F.transform(x, lambda v, j: F.when(j == 0, v + F.when(v < 0, -norm(x)).otherwise(norm(x))).otherwise(v))
+        return let(w, lambda w: F.struct(w.alias("w"), dot(w, w).alias("square")))
+
+    def rows(p: Column) -> Column:
+        w, factor = p["w"], F.when(p["square"] > 0, 2.0 / p["square"]).otherwise(0.0)
+        return let(factor, lambda f: F.transform(F.slice(w, F.lit(2), F.size(w)), lambda wi, i: let(f * wi, lambda scale: F.transform(
+            w, lambda wj, j: F.when(j == i + 1, 1.0 - scale * wj).otherwise(-scale * wj)))))
 
-    return df.select(key, vector).mapInPandas(bases, f"`{key}` {kind}, basis array<array<double>>")
+    return df.select(key, let(mirrored(F.col(vector).cast("array<double>")), rows).alias("basis"))
 
 
 def spread(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
