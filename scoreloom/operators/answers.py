@@ -6,7 +6,8 @@ is a VARIANT, and defects collect in an array of problems.  No joins, no shuffle
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,30 @@ def problem_if(test: Column, p: Column) -> Column:
     return F.when(test, F.array(p)).otherwise(no_problems())
 
 
+def last_name_wins(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Reads JSON objects that repeat a name by the last of its values in the frame that ``build`` makes of another.
+
+    Spark fixes how it reads such objects when it analyses a frame, so the session is as before afterwards.  A join of the result
+    with itself analyses one side anew; for that, set ``spark.sql.variant.allowDuplicateKeys`` for the session.
+    """
+    @wraps(build)
+    def inside(df: DataFrame, *args, **options) -> DataFrame:
+        conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+        before = conf.get(name)
+        conf.set(name, "true")
+        try:
+            return build(df, *args, **options)
+        finally:
+            conf.set(name, before)
+    return inside
+
+
+@last_name_wins
+def with_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the JSON value of a reply; of values of one name in an object the last counts."""
+    return df.withColumn(name, extract_json(F.col(text)))
+
+
 def extract_json(text: Column) -> Column:
     """The JSON value of a reply: the whole text, a fenced block, or the outermost braces; else NULL."""
     text = strip(text)
@@ -136,6 +161,7 @@ def is_item_reference(text: Column, rubric: Rubric) -> Column:
     return F.trim(text).rlike(pattern)
 
 
+@last_name_wins
 def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str, Column] | None = None,
                  na_required: Mapping[str, Column] | None = None, quoted_text: Column | None = None) -> DataFrame:
     """Adds ``scores``, ``justifications``, ``red_flags``, ``outputs``, ``problems`` and ``usable``.
@@ -277,6 +303,7 @@ def evaluation_columns(answers: DataFrame, rubric: Rubric) -> DataFrame:
 FIELD_KINDS = ("text", "list")
 
 
+@last_name_wins
 def read_fields(df: DataFrame, text: str, spec: Mapping[str, str | list[str]]) -> DataFrame:
     """Adds one column per field of a JSON answer and ``problems``.
 

@@ -80,8 +80,7 @@ USABLE = f"""(k % 10 not in (1, 2, 3, 4, 5, 8, 9) and k % 12 <> 6 and k % 6 not
 
 @query("v17_extract_json", f"select k, k % 10 <> 8 is_json, case when k % 10 <> 8 then cast(k % 13 as int) end felt from {KEYS}")
 def _(t):
-    v = an.extract_json(F.col("text"))
-    return (answer_texts(t).withColumn("v", v)
+    return (an.with_json(answer_texts(t), "text", "v")
             .select("k", F.col("v").isNotNull().alias("is_json"), F.try_variant_get("v", "$.outputs.felt", "int").alias("felt")))
 
 

@@ -81,3 +81,17 @@ def test_sentences_prefix_and_prompt(spark):
     for a, b, n in (("abcd", "abxy", 2), ("", "x", 0), ("same", "same", 4), ("ab", "abc", 2)):
         assert one(spark, common_prefix(F.col("a"), F.col("b")), a=a, b=b) == n
     assert one(spark, normalize_prompt(F.col("t")), t="\n a  \n\n\n\nb\t\r\nc ") == "a\n\nb\nc"
+
+
+def test_last_of_repeated_names_counts(spark):
+    twice = '{"item_scores":{"1":5,"2":3,"1":2,"3":[4,4],"4":3},"item_scores":{"1":1,"2":3,"1":4,"3":[4,4],"4":3},%s}' % OUT
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(1, twice), (2, '{"a":1,"a":2}')], "k int, t string")
+    got = an.read_answers(df, ANSWER_RUBRIC, "t", labels={i.per: F.lit(2) for i in ANSWER_RUBRIC.items if i.per})
+    assert spark.conf.get(name) == before
+    assert {r.item_key: r.score for r in an.score_rows(got, "k").collect()}["1"] == 4
+    values = an.with_json(df, "t", "v").select("k", F.to_json("v").alias("v"))
+    assert {r.k: r.v for r in values.where("k = 2").collect()} == {2: '{"a":2}'}
+    fields = an.read_fields(spark.createDataFrame([('{"a":"x","a":"y"}',)], "t string"), "t", {"a": "text"}).first()
+    assert fields.usable and fields.a == "y"
