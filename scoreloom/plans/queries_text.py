@@ -151,16 +151,20 @@ def _(t):
 
 
 @query("x13_clusters_to_mentions", """select doc_id, cluster, cast(i as int) mention_index, substr(text, a + 1, 4) mention, cast(a + shift as int) start,
-       cast(a + shift + 4 as int) "end", substr(text, a + shift + 1, 4) = substr(text, a + 1, 4) in_place from (
-       select doc_id, text, 'c1' cluster, 0 i, 0 a, 0 shift from documents where length(text) >= 12 union all
-       select doc_id, text, 'c1', 1, 4, case when doc_id % 5 = 0 then 3 else 0 end from documents where length(text) >= 12 union all
-       select doc_id, text, 'c2', 0, 8, 0 from documents where length(text) >= 12)""")
+       cast(a + shift + length(substr(text, a + 1, 4)) as int) "end", substr(text, a + shift + 1, length(substr(text, a + 1, 4))) = substr(text, a + 1, 4) in_place from (
+       select doc_id, text, 'c1' cluster, 0 i, 0 a, 0 shift from documents union all
+       select doc_id, text, 'c1', 1, length(text) // 2, case when doc_id % 5 = 0 then 3 else 0 end from documents union all
+       select doc_id, text, 'c2', 0, greatest(length(text) - 4, 0), 0 from documents) where text is not null""")
 def _(t):
+    # mentions at the start, in the middle and at the end of every text; the middle one of every fifth text points elsewhere
     text = F.col("text")
-    mention = lambda at, shift: F.struct(F.substring(text, at + 1, 4).alias("text"), (F.lit(at) + shift).cast("int").alias("start"),
-                                         (F.lit(at + 4) + shift).cast("int").alias("end"))
+
+    def mention(at, shift):
+        word = F.substring(text, at + 1, F.lit(4))
+        return F.struct(word.alias("text"), (at + shift).cast("int").alias("start"), (at + shift + F.length(word)).cast("int").alias("end"))
     wrong = F.when(F.col("doc_id") % 5 == 0, 3).otherwise(0)
+    middle, last = F.floor(F.length(text) / 2).cast("int"), F.greatest(F.length(text) - 4, F.lit(0))
     answer = F.to_json(F.struct(F.array(
-        F.struct(F.lit("c1").alias("id"), F.array(mention(0, F.lit(0)), mention(4, wrong)).alias("mentions")),
-        F.struct(F.lit("c2").alias("id"), F.array(mention(8, F.lit(0))).alias("mentions"))).alias("clusters")))
-    return w.cluster_mentions(t.texts.where(F.length(text) >= 12).select("doc_id", "text", answer.alias("answer")), "doc_id", "text", "answer")
+        F.struct(F.lit("c1").alias("id"), F.array(mention(F.lit(0), F.lit(0)), mention(middle, wrong)).alias("mentions")),
+        F.struct(F.lit("c2").alias("id"), F.array(mention(last, F.lit(0))).alias("mentions"))).alias("clusters")))
+    return w.cluster_mentions(t.texts.where(text.isNotNull()).select("doc_id", "text", answer.alias("answer")), "doc_id", "text", "answer")

@@ -121,6 +121,17 @@ def _(t):
     return vs.semantic_volume(t.embeddings, "label", "vec_id", "embedding").withColumn("log_volume", F.round("log_volume", 6))
 
 
+@query("d8_triangle_areas", """select concat(label, '-', idx // 3) triple, cast(3 as bigint) n, round(ln(sqrt(aa * bb - ab * ab) / 2), 6) log_volume from (
+       select label, idx, list_inner_product(a, a) aa, list_inner_product(b, b) bb, list_inner_product(a, b) ab from (
+       select label, idx, list_transform(range(1, 65), lambda i: v[i] - p[i]) a, list_transform(range(1, 65), lambda i: nx[i] - p[i]) b
+       from fx_seq where idx % 3 = 1 and nx is not null))""")
+def _(t):
+    # three vectors in a row: the simplex is a triangle, whose area has a closed form
+    triples = t.steps.select(F.concat(F.col("seq_id").cast("string"), F.lit("-"), F.floor(F.col("idx") / 3).cast("string")).alias("triple"), "idx", "embedding")
+    volumes = vs.semantic_volume(triples, "triple", "idx", "embedding").where("n = 3")
+    return volumes.select("triple", "n", F.round("log_volume", 6).alias("log_volume"))
+
+
 @query("d9_min_mean_to_sources", """select g.vec_id, round(min(list_distance(g.v, s.v)), 6) least, round(avg(list_distance(g.v, s.v)), 6) mean from fx_vec g join fx_vec s
        on g.label = s.label where g.vec_id % 3 = 0 and s.vec_id % 3 <> 0 group by 1""")
 def _(t):
