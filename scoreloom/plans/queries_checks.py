@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import matchers as m
+from scoreloom.functions.text import strip, word_count
 from scoreloom.functions.values import fence
 from scoreloom.operators import checks as c
 from scoreloom.operators import extraction as ex
@@ -248,6 +249,18 @@ def _(t):
     return checked(t).select("n", "passed", "n_errors", "n_warnings")
 
 
+@query("v22_check_details", r"""with d as (select doc_id, len(regexp_extract_all(text, '\S+')) words, len(regexp_replace(text, '^\s+|\s+$', '', 'g')) size from documents)
+       select doc_id, 'words' as "check", true passed, cast(words as varchar) fact from d union all
+       select doc_id, 'long', coalesce(size, 0) >= 300, cast(size as varchar) from d union all select doc_id, 'not_truncated', true, null from d""")
+def _(t):
+    # a word count out of range is a warning only, so that check passes all the same
+    text = F.col("text")
+    ran = c.run_checks(t.texts, {"words": c.word_count_between(text, 50, 400), "long": c.non_empty(text, 300), "not_truncated": c.not_truncated(F.lit("stop"))})
+    facts = {"words": {"fact": word_count(text)}, "long": {"fact": F.length(strip(text))}, "not_truncated": {}}
+    return (c.check_results(ran, facts).select("doc_id", F.explode("checks").alias("r"))
+            .select("doc_id", "r.check", "r.passed", F.try_element_at("r.details", F.lit("fact")).alias("fact")))
+
+
 @query("v23_issue_rows", f"select n, \"check\", code, severity, label from ({SPREAD})")
 def _(t):
     return c.issue_rows(checked(t), "n").select("n", "check", "code", "severity", "label")

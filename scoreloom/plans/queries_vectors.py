@@ -322,9 +322,12 @@ def _(t):
     return h.mean_pool(t.states).select("text_id", "layer", *shown(F.col("pooled")))
 
 
-@query("h2_last_token", "select text_id, layer, round(x, 6) a from fx_cells where k = 1 and pos = 4")
+SQL_VIEWS["fx_last"] = "select text_id, layer, list_transform(state, lambda x: cast(x as double)) v from fx_states where pos = 4"
+
+
+@query("h2_last_token", f"select text_id, layer, {show('v')} from fx_last")
 def _(t):
-    return h.last_token(t.states).select("text_id", "layer", F.round(F.col("last")[0].cast("double"), 6).alias("a"))
+    return h.last_token(t.states).select("text_id", "layer", *shown(v.doubles(F.col("last"))))
 
 
 @query("h3_layer", "select text_id, pos, layer from fx_states where layer = 3")
@@ -404,10 +407,10 @@ def _(t):
     return h.next_tokens(logits, "vec_id", "logits").withColumn("probability", F.round("probability", 6))
 
 
-@query("h13_new_token_states", "select text_id, layer step, layer % 2 layer, round(x, 6) a from fx_cells where k = 2 and pos = 4")
+@query("h13_new_token_states", f"select text_id, layer step, layer % 2 layer, {show('v')} from fx_last")
 def _(t):
     steps = t.states.withColumns({"step": F.col("layer"), "layer": F.col("layer") % 2})
-    return h.new_token_states(steps).select("text_id", "step", "layer", F.round(F.col("state")[1].cast("double"), 6).alias("a"))
+    return h.new_token_states(steps).select("text_id", "step", "layer", *shown(v.doubles(F.col("state"))))
 
 
 @query("h14_similarity_matrix", """select a.layer, a.text_id i, b.text_id j, round(list_inner_product(a.v, b.v), 6) dot from fx_pooled a join fx_pooled b
