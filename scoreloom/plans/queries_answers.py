@@ -84,18 +84,18 @@ def _(t):
             .select("k", F.col("v").isNotNull().alias("is_json"), F.try_variant_get("v", "$.outputs.felt", "int").alias("felt")))
 
 
-@query("v19_quote_in_text", f"""select d.doc_id, b.kind, b.kind in ('words', 'elided') found from documents d, (select unnest(['words', 'elided', 'swapped']) kind) b
-       where length(regexp_replace(text, '\\s', '', 'g')) > 0 and array_length(regexp_extract_all(text, '[a-zA-Z]+')) >= 8 and b.kind <> 'swapped'""")
+@query("v19_quote_in_text", r"""select doc_id, kind, regexp_matches(quote, '[\p{L}\p{N}]') found from (
+       select doc_id, 'words' kind, substr(text, length(text) // 3 + 1, length(text) // 3) quote from documents where text is not null union all
+       select doc_id, 'elided', concat(substr(text, 1, length(text) // 4), substr(text, length(text) // 2 + 1)) from documents where text is not null)""")
 def _(t):
-    # passages taken from the whole text: its middle as it stands, and its two halves around an elision
+    # passages taken from the whole text: its middle as it stands, and its two halves around an elision; one without a word is nowhere
     text, n = F.col("text"), F.length("text")
     middle = F.concat(F.lit("“"), F.substring(text, F.floor(n / 3).cast("int") + 1, F.floor(n / 3).cast("int")), F.lit("”"))
     elided = F.concat(F.substring(text, F.lit(1), F.floor(n / 4).cast("int")), F.lit(" … "),
                       F.substring(text, F.floor(n / 2).cast("int") + 1, n))
     quotes = F.explode(F.array(F.struct(F.lit("words").alias("kind"), middle.alias("quote")),
                                F.struct(F.lit("elided").alias("kind"), elided.alias("quote"))))
-    enough = F.size(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))) >= 8
-    return (t.texts.where(enough).select("doc_id", "text", quotes.alias("q"))
+    return (t.texts.where(text.isNotNull()).select("doc_id", "text", quotes.alias("q"))
             .select("doc_id", "q.kind", an.quote_in_text(F.col("q.quote"), F.col("text")).alias("found")))
 
 
