@@ -160,6 +160,21 @@ def test_passages(spark):
     assert set(left) == {0, 1, 3, 4, 5, 6} and left[1] == " ".join(texts[1][:30] + texts[1][100:]) and left[5] == " ".join(texts[5])
 
 
+def test_passages_apart_are_not_bridged(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    one, two, long, tail = prose(60), prose(60), prose(200), prose(200)
+    texts = [prose(20) + one + prose(100) + two + prose(20), prose(30) + one + prose(100) + two + prose(30), prose(10) + one + prose(40) + two,
+             prose(40) + one + two, prose(15) + long + prose(700) + tail, prose(25) + long + prose(600) + tail + prose(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in passages.shared_passages(docs).collect())
+    assert got == [(1, 30, 90), (1, 190, 250), (2, 10, 70), (2, 110, 170), (3, 40, 160), (5, 25, 225), (5, 825, 1025)]
+    # two parts too short by themselves are one passage at 80 % of equal words, and a bad part takes nothing from a good one
+    plan = passages.Chaining()
+    assert passages.stretches([(0, 0, 40), (60, 60, 40)], plan) == [(0, 100, 0, 100, 0.8)]
+    assert passages.stretches([(0, 0, 60), (80, 60, 4), (104, 84, 4)], plan) == [(0, 60, 0, 60, 1.0), (80, 84, 60, 64, 1.0), (104, 108, 84, 88, 1.0)]
+
+
 def test_fenwick_chains_against_all_orders():
     rng = np.random.default_rng(5)
     plan = passages.Chaining(k=3, skipped=0.2)
