@@ -175,6 +175,16 @@ def test_passages_apart_are_not_bridged(spark):
     assert passages.stretches([(0, 0, 60), (80, 60, 4), (104, 84, 4)], plan) == [(0, 60, 0, 60, 1.0), (80, 84, 60, 64, 1.0), (104, 108, 84, 88, 1.0)]
 
 
+def test_passages_of_one_line_said_again(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    line, same = prose(12), prose(1)
+    texts = [prose(40) + line * 30 + prose(40), prose(30) + (line * 31)[5:365] + prose(20), prose(50) + same * 300 + prose(7), prose(5) + same * 200 + prose(8)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in passages.shared_passages(docs).collect())
+    assert got == [(1, 30, 390, 0), (3, 5, 205, 2)]
+
+
 def test_fenwick_chains_against_all_orders():
     rng = np.random.default_rng(5)
     plan = passages.Chaining(k=3, skipped=0.2)
