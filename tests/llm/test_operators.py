@@ -185,6 +185,20 @@ def test_passages_of_one_line_said_again(spark):
     assert got == [(1, 30, 390, 0), (3, 5, 205, 2)]
 
 
+def test_passages_of_changed_words(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    every = lambda words, n: [prose(1)[0] if i % n == n - 1 else w for i, w in enumerate(words)]
+    eighth, fifth, ends = prose(1000), prose(300), prose(100)
+    added = ends[:8] + prose(1) + ends[8:92] + prose(1) + ends[92:]
+    texts = [prose(9) + eighth + prose(30), prose(20) + fifth + prose(20), prose(30) + ends + prose(30),
+             prose(12) + every(eighth, 8) + prose(5), prose(40) + every(fifth, 5) + prose(4), prose(25) + added + prose(25)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in passages.shared_passages(docs).collect())
+    assert got == [(3, 12, 1011), (4, 40, 339), (5, 25, 127)]
+    assert passages.extension(ends[:30], ends[:6] + ["x"] + ends[6:30]) == [(0, 0, 6), (6, 7, 24)] and passages.extension(ends, prose(90)) == []
+
+
 def test_fenwick_chains_against_all_orders():
     rng = np.random.default_rng(5)
     plan = passages.Chaining(k=3, skipped=0.2)
