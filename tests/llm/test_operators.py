@@ -199,6 +199,20 @@ def test_passages_of_changed_words(spark):
     assert passages.extension(ends[:30], ends[:6] + ["x"] + ends[6:30]) == [(0, 0, 6), (6, 7, 24)] and passages.extension(ends, prose(90)) == []
 
 
+def test_passages_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    one, two, short = prose(70), prose(60), prose(20)
+    least, greatest = ["a", *prose(9), *two], ["z", *prose(199), *one, *prose(5)]
+    rows = [(0, prose(10) + one + prose(10) + two), (1, least), (1, greatest), (1, greatest), (1, ["b", *short]), (2, two), (3, prose(30))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows] + [(1, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.start_word, r.end_word, r.n_pieces) for r in passages.shared_passages(docs).orderBy("doc_id").collect()]
+    assert got == [(1, 200, 270, 1), (2, 0, 60, 1)]
+    left = Counter((r.doc_id, r.text) for r in passages.drop_repeats(docs).collect())
+    kept = " ".join(greatest[:200] + greatest[270:])
+    assert left == Counter([(0, " ".join(rows[0][1])), (1, " ".join(least)), (1, kept), (1, kept), (1, " ".join(rows[4][1])), (3, " ".join(rows[6][1])), (1, None)])
+
+
 def test_fenwick_chains_against_all_orders():
     rng = np.random.default_rng(5)
     plan = passages.Chaining(k=3, skipped=0.2)
