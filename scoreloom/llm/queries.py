@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.draws import draw_number, draw_number_sql
-from scoreloom.llm import byte_bpe, context_trees, language_id, line_rules, minhash, mixing, neighbours, passages, sharding, url_lists
+from scoreloom.llm import (byte_bpe, context_trees, conversation_repair, hard_negatives, language_id, line_rules, minhash, mixing, neighbours, passages, sharding, url_lists,
+                           wrappers)
 from scoreloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +157,69 @@ def _(spark, sf_dir):
 @query("op1_context_trees")
 def _(spark, sf_dir):
     return context_trees.score_texts(documents(spark, sf_dir))
+
+
+@query("op11_wrapper_induction")
+def _(spark, sf_dir):
+    return wrappers.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+@query("op12_angular_negatives", """
+with b as (select vec_id, min(struct_pack(label := label, v := list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)))) as s from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
+e as (select vec_id, case when vec_id % 7 = 0 then (s.label + 1) % 10 else s.label end as label, list_transform(s.v, lambda x: x::double) as v from b),
+m as materialized (select a.vec_id as anchor_id, e.vec_id as other, a.label = e.label as same, cast(list_inner_product(a.v, e.v) as bigint) as score
+      from e a join e on a.vec_id <> e.vec_id and len(a.v) = len(e.v) where a.vec_id % 100 = 0),
+p as (select anchor_id, other as positive_id, score as positive_score from m where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by m.score desc, m.other) as rank, m.other as negative_id, p.positive_score, m.score as negative_score
+from p join m on m.anchor_id = p.anchor_id and not m.same and 80 * p.positive_score <= 100 * m.score and 100 * m.score <= 100 * p.positive_score qualify rank <= 5""")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    damaged = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(damaged, F.col("id") % 100 == 0)
+
+
+def _repairs_sql() -> str:
+    """One step of the recursion: for each state the least of all ways into it, as cost, audit and lines written (each after a newline)."""
+    into: dict[int, list[str]] = {s: [] for s in range(4)}
+    forced, cut_off, first = "r.fault in (1, 2)", "(case when r.fault = 3 then 1 else 0 end)", "left(r.role, 1)"
+    way = lambda s, cost, letters, lines: f"struct_pack(c := p.v[{s + 1}].c + {cost}, a := p.v[{s + 1}].a || '{letters}', z := p.v[{s + 1}].z || {lines})"
+    for state in range(4):
+        at, before, lines = state, "", "''"
+        for inserts in range(3):
+            goes, role = (3, "assistant") if at == 2 else (2, "user")
+            into[at].append(f"case when p.v[{state + 1}] is not null then {way(state, 2 * inserts + 3, before + 'D', lines)} end")
+            free = f"p.v[{state + 1}] is not null and not {forced}"
+            into[goes].append(f"case when {free} then {way(state, f'{2 * inserts + 2} + {cut_off}', before + 'R', f'{lines} || chr(10) || {chr(39)}{role}:{chr(39)} || r.text')} end")
+            into[goes].append(f"case when {free} and {first} = '{role[0]}' then {way(state, f'{2 * inserts} + {cut_off}', before + 'K', f'{lines} || chr(10) || r.role || {chr(39)}:{chr(39)} || r.text')} end")
+            if at == 0:
+                into[1].append(f"case when {free} and {first} = 's' then {way(state, f'{2 * inserts} + {cut_off}', before + 'K', f'{lines} || chr(10) || r.role || {chr(39)}:{chr(39)} || r.text')} end")
+            at, before, lines = goes, before + "I", f"{lines} || chr(10) || '{role}:'"
+    return "[" + ", ".join(f"list_sort([{', '.join(into[s])}], 'ASC', 'NULLS LAST')[1]" for s in range(4)) + "]"
+
+
+@query("op13_hirschberg_repair", rf"""
+with recursive bits as (select n::bigint as n, list_reduce(list_prepend(n::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) x(n)),
+crc as (select list(c order by n) as t from bits),
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_prepend(4294967295::bigint,
+        list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 as act
+      from conversations, crc),
+r as (select conv_id, turn, case act when 4 then 'user' else role end as role, case act when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+      from (select *, unnest(range(case act when 0 then 0 when 3 then 2 else 1 end)) from d)),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from r),
+o as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+        coalesce(left(lag(role) over w, 1) || left(role, 1) not in ('su', 'ua', 'au'), false) as wrong from n window w as (partition by conv_id order by i)),
+f as materialized (select *, case when not regexp_matches(text, '[^ 	-
+]') then 1 when seen then 2 when not regexp_matches(text, '[.!?][ 	-
+]*$') then 3 else 0 end as fault from o),
+p as (select conv_id, 0::bigint as i, [struct_pack(c := 0, a := '', z := ''), null, null, null] as v from (select distinct conv_id from conversations)
+      union all select p.conv_id, r.i, {_repairs_sql()} from p join f r on p.conv_id is not distinct from r.conv_id and r.i = p.i + 1),
+z as (select conv_id, max_by(v, i) as v from p group by conv_id),
+b as (select conv_id, list_sort([case when v[1] is not null then v[1] end, case when v[2] is not null then struct_pack(c := v[2].c + 4, a := v[2].a || 'II', z := v[2].z || chr(10) || 'user:' || chr(10) || 'assistant:') end,
+        case when v[3] is not null then struct_pack(c := v[3].c + 2, a := v[3].a || 'I', z := v[3].z || chr(10) || 'assistant:') end, v[4]], 'ASC', 'NULLS LAST')[1] as s from z),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+        count(*) filter (fault = 3) as truncated, count(*) filter (wrong) as illegal from f group by conv_id)
+select b.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  s.c::bigint as cost, s.a as audit, sha256(substr(s.z, 2)) as repaired_sha256 from b left join g on b.conv_id is not distinct from g.conv_id""")
+def _(spark, sf_dir):
+    return conversation_repair.repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
