@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from scoreloom.llm.common import quoted
+
 LONGEST_KEPT = 48  # longer pieces of text are encoded each time they occur
 BYTES = 4 << 20  # of ids that leave a task together
 MOST_KEPT = 200_000  # pieces and pairs remembered in a task before it starts anew
@@ -181,7 +183,8 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """
     kinds = {"n_tokens": LongType(), **({"ids_sha256": StringType(), "decoded_sha256": StringType()} if digests_only else {"ids": ArrayType(IntegerType())})}
     kept = [c for c in docs.columns if c not in kinds and (c != text or keep_text and not digests_only)]
-    schema = StructType([*[StructField(c, docs.schema[c].dataType) for c in kept], *[StructField(c, kind) for c, kind in kinds.items()]])
+    place = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*kept, text]))}  # a name may be any text
+    schema = StructType([*[StructField(place[c], docs.schema[c].dataType) for c in kept], *[StructField(c, kind) for c, kind in kinds.items()]])
 
     def finished(rows: pa.RecordBatch, ids: list[bytes], digests: list[tuple[str, str]]) -> pa.RecordBatch:
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -190,13 +193,13 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             made["ids_sha256"], made["decoded_sha256"] = (pa.array(x, pa.string()) for x in zip(*digests))
         else:
             made["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], sizes.cumsum()]).astype(np.int32), np.frombuffer(b"".join(ids), "<i4"))
-        return pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], *[made[c] for c in kinds]], names=schema.names)
+        return pa.RecordBatch.from_arrays([*[rows.column(place[c]) for c in kept], *[made[c] for c in kinds]], names=schema.names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decode = coder(ranks_path, pattern)
         for batch in batches:
             first, held, ids, digests = 0, 0, [], []
-            for row, body in enumerate(batch.column(text)):
+            for row, body in enumerate(batch.column(place[text])):
                 body = body.as_py()
                 made = encode(body) if body is not None else b""
                 if digests_only:
@@ -207,5 +210,4 @@ def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
                     yield finished(batch.slice(first, len(ids)), ids, digests)
                     first, held, ids, digests = row + 1, 0, [], []
 
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return docs.select(*map(quoted, dict.fromkeys([*kept, text]))).mapInArrow(work, schema)
+    return docs.select(*[F.col(quoted(c)).alias(p) for c, p in place.items()]).mapInArrow(work, schema).toDF(*kept, *kinds)

@@ -27,11 +27,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's setting, or a new one where none is set (tests)."""
+    """The folder that driver and executors share: the session's setting.
+
+    Where none is set, as in tests, a session in one process gets a new one; on a cluster that is an error, for no machine sees another's folders.
+    """
     context = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="scoreloom-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(place)

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import quoted
 from scoreloom.operators.skew import top_per_group
 
 SEGMENT = 192  # bytes read from a zero state
@@ -208,7 +209,7 @@ def identify(docs: DataFrame, text: str = "text", label: str = "lang", identity:
     sample = labelled_sample(docs.where(~held_out(F.col(identity))), text, label, identity).collect()  # bounded: 250 pieces a language
     sample = sorted((r.label, r.body) for r in sample)
     net = train([body.encode() for _, body in sample], [name for name, _ in sample], **options) if sample else None
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]  # a name may be any text
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,5 +218,5 @@ def identify(docs: DataFrame, text: str = "text", label: str = "lang", identity:
             out["lang_pred"], out["score"] = predict(net, texts) if net else ([UNDECIDED] * len(out), [0.0] * len(out))
             yield out
 
-    asked = docs.select(*kept, held_out(F.col(identity)).alias("held_out"), F.col(text).alias("__text"))
-    return asked.mapInPandas(work, ", ".join([*fields, "held_out boolean", "lang_pred string", "score double"]))
+    asked = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], held_out(F.col(identity)).alias("held_out"), F.col(text).alias("__text"))
+    return asked.mapInPandas(work, ", ".join([*fields, "held_out boolean", "lang_pred string", "score double"])).toDF(*kept, *added)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.values import fence
-from scoreloom.llm.common import SPACES, WORD, n_words_of, words_of
+from scoreloom.llm.common import SPACES, WORD, n_words_of, quoted, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 SYMBOL_CHARACTERS = "#*$%&|<>"
@@ -82,17 +82,20 @@ def judge_lines(docs: DataFrame, text: str = "text", least_words: int = 50, repe
     row; equal rows give equal rows; other columns pass, but for those of the names added here.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "clean_text", "kept")
-    asked = docs.select(*[c for c in docs.columns if c not in added])
-    cleaned = clean_lines(repeat_words(asked, text), text, **limits)
-    t = F.coalesce(F.col(text), F.lit(""))
+    passing = [c for c in docs.columns if c not in added]
+    # whatever the other columns are called, they travel as one
+    asked = docs.select(F.struct(*[F.col(quoted(c)) for c in passing] or [F.lit(0)]).alias("__row"), F.col(quoted(text)).alias("__text"))
+    cleaned = clean_lines(repeat_words(asked, "__text"), "__text", **limits)
+    t = F.coalesce(F.col("__text"), F.lit(""))
     worded = F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["line"])
     counted = cleaned.withColumns({
         "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOL_CHARACTERS, ""))).cast("long"),
         "n_dup_lines": (F.size(worded) - F.size(F.array_distinct(worded))).cast("long"),
-    }).drop("lines")
+    })
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeated * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= lost * F.col("n_words")))
+    judged = counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= lost * F.col("n_words")))
+    return judged.select(*[F.col("__row")[c].alias(c) for c in passing], *added)
 
 
 __all__ = ["BOILERPLATE", "SYMBOLS", "clean_lines", "judge_lines", "line_verdict", "n_words_of", "repeat_words"]

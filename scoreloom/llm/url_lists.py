@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import quoted
+
 URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
 FOREVER = "9999-12-31"
 
@@ -58,7 +60,7 @@ def active_entries(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     null day has no active entry and is not blocked.  Every capture gives one row; columns of the added names are replaced.
     """
     kept = [c for c in captures.columns if c not in ("n_active", "entry", "category", "blocked")]
-    asked = captures.select(*kept, url_keys(F.col(url)).alias("__keys"), F.col(fetched).alias("__day"))
+    asked = captures.select(*map(quoted, kept), url_keys(F.col(url)).alias("__keys"), F.col(fetched).alias("__day"))
     pairs = asked.where((F.size("__keys") > 0) & F.col("__day").isNotNull()).groupBy("__keys", "__day").agg(F.count(F.lit(1)).alias("__n"))
     looked = pairs.select("__keys", "__day", F.posexplode("__keys").alias("__rank", "key"))
     met = looked.join(validity(entries), "key").where((F.col("valid_from") <= F.col("__day")) & (F.col("__day") < F.col("valid_to")))
@@ -68,6 +70,6 @@ def active_entries(captures: DataFrame, entries: DataFrame, url: str = "url", fe
     back = decided.select(F.col("__keys").alias("__k2"), F.col("__day").alias("__d2"), "__active", "__first")
     answered = asked.join(back, (F.col("__keys") == F.col("__k2")) & (F.col("__day") == F.col("__d2")), "left")
     return answered.select(
-        *kept, F.coalesce("__active", F.lit(0)).cast("long").alias("n_active"), F.col("__first.key").alias("entry"),
+        *map(quoted, kept), F.coalesce("__active", F.lit(0)).cast("long").alias("n_active"), F.col("__first.key").alias("entry"),
         F.col("__first.category").alias("category"),
         (F.col("__first").isNotNull() & ~F.coalesce(F.col("__first.category") == allow, F.lit(False))).alias("blocked"))

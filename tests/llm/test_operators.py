@@ -45,6 +45,28 @@ def test_all_take_odd_rows(spark, odd):
     assert got[1].n_shingles == 0 and got[1].kept and got[6].component_id == 5 and not got[6].kept and got[4].n_shingles == 1
 
 
+def test_all_take_clashing_names(spark, odd):
+    """Columns called like those that operators add or use inside, and a name with a dot."""
+    import corpus_pipeline
+
+    names = ["lines", "id", "copies", "a.b", "kept", "shard", "size", "u", "v", "n", "b", "__row", "__text", "clean_text", "words", "target", "n_chars"]
+    docs = cut(odd.select("*", *[F.lit("clash").alias(c) if c != "n_chars" else F.lit(7).alias(c) for c in names]))
+    n = docs.count()
+    for made in (context_trees.score_texts(docs), sharding.shard_documents(docs), minhash.near_duplicates(docs), mixing.mix_documents(docs), line_rules.judge_lines(docs),
+                 language_id.identify(docs.select("doc_id", "text", "lang", "`a.b`", "copies"), rounds=5)):
+        assert made.count() == n
+    passages.shared_passages(docs).count()
+    assert set(line_rules.judge_lines(docs).columns) >= {"lines", "a.b", "id", "__row", "clean_text"}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and {r["lines"] for r in kept.collect()} <= {"clash"}
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == n
+    import public_tokenizers
+    from scoreloom.llm import byte_bpe
+    coded = byte_bpe.with_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {"a.b", "text", "ids"} < set(coded.columns) and coded.where("ids is not null").count() == n
+
+
 def test_context_trees_against_plain_counts(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abab aba.", "abba", "", "b", "Abab aba.", None, "zz", "ab", "abab", "ba ab ab", "ab b a", "abb"] * 3)], "doc_id long, text string")
     plan = context_trees.Plan(depth=3)
@@ -185,6 +207,19 @@ def test_passages_of_one_line_said_again(spark):
     assert got == [(1, 30, 390, 0), (3, 5, 205, 2)]
 
 
+@pytest.mark.parametrize("step, size", [(1, 7), (2, 7), (4, 7), (1, 20), (2, 30)])
+def test_passages_whose_pieces_stand_in_earlier_documents(spark, step, size):
+    rng = np.random.default_rng(9)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    shared = prose(120)
+    pieces = [shared[i:i + size] + prose(9) for i in range(0, 120 - size + 1, step)]
+    rng.shuffle(pieces)
+    texts = [sum(pieces, []), prose(30) + shared + prose(30), prose(12) + shared + prose(40), sum(pieces[::-1], []), prose(5) + shared]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.start_word, r.end_word) for r in passages.shared_passages(docs).collect() if r.doc_id in (2, 4)}
+    assert got == {2: (12, 132), 4: (5, 125)}
+
+
 def test_passages_of_changed_words(spark):
     rng = np.random.default_rng(6)
     prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
@@ -238,6 +273,40 @@ def test_shards_of_hot_keys(spark):
     assert got.sort_values("doc_id")[["shard", "slot"]].values.tolist() == again.sort_values("doc_id")[["shard", "slot"]].values.tolist()
 
 
+def plain_shards(rows, got):
+    """Every column of the shards held against the rows: sizes, checksums, the law, gapless slots, equal texts together."""
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == want
+    slots, sums, homes = defaultdict(list), Counter(), defaultdict(set)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        sums[r.shard] += r.size
+        homes[r.text_crc32, r.size].add(r.shard)
+    assert all(0 <= s < 16 for s in slots) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    weight = Counter()
+    for i, t in rows:
+        weight[zlib.crc32((t or "").encode()), len((t or "").encode()) + 1] += len((t or "").encode()) + 1
+    mean = sum(sums.values()) / 16
+    assert all(len(h) == 1 for k, h in homes.items() if weight[k] <= mean / 128 and k[1] <= mean / 128)
+    return [sums[s] / mean for s in range(16)]
+
+
+def test_shards_of_repeated_rows(spark):
+    rows = [(1, "x" * 60)] * 3000 + [(i, f"text {i} " * (1 + i % 40)) for i in range(10, 3008)]
+    filled = plain_shards(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert min(filled) > 0.99 and max(filled) < 1.01
+    few = [(None, None), (None, None), (2, ""), (3, "é" * 9), (3, "é" * 9)]
+    plain_shards(few, sharding.shard_documents(spark.createDataFrame(few, "doc_id long, text string")).collect())
+    assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_of_large_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    filled = plain_shards([tuple(r) for r in docs.collect()], sharding.shard_documents(docs.withColumn("shard", F.lit("clash")).withColumn("__at", F.lit(1)).withColumn("a.b", F.lit(1))).collect())
+    assert min(filled) > 0.99 and max(filled) < 1.01
+    assert sharding.rooms([5, 0, 0], 9) == [0.0, 2.0, 4.0] and sharding.dealt_first([("a", 9), ("b", 7), ("b", 8)], 10.0, 2) == ([0, 0, 1], [16, 8])
+
+
 def test_urls(spark):
     urls = ["HTTP://User@WWW.Ex.org:80/a/b?q#f", "//x.y.z", "no host", None, "https://h/"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_lists.url_keys(F.col("url"))).collect()]
