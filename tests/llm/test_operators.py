@@ -207,7 +207,7 @@ def test_passages_of_one_line_said_again(spark):
     assert got == [(1, 30, 390, 0), (3, 5, 205, 2)]
 
 
-@pytest.mark.parametrize("step, size", [(1, 7), (2, 7), (4, 7), (1, 20), (2, 30)])
+@pytest.mark.parametrize("step, size", [(1, 7), (2, 7), (4, 7), (1, 20), (2, 30), (4, 40)])
 def test_passages_whose_pieces_stand_in_earlier_documents(spark, step, size):
     rng = np.random.default_rng(9)
     prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
