@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scoreloom.functions.running import flat, nested
 from scoreloom.functions.values import let
 
 NEAR_ZERO = 1e-10
@@ -109,45 +113,56 @@ def parallel_transport(x: Column, y: Column, v: Column) -> Column:
         dot(p["v"], p["there"]), lambda k: F.zip_with(p["v"], add(p["there"], p["back"]), lambda a, b: a.cast("double") - k * b)))
 
 
-def to_spherical(x: Column) -> Column:
-    """d-1 angles of a unit vector: all in [0, pi] but the last, which is in [0, 2 pi)."""
-    def angles(v):
-        # squared lengths of the tails, from the back
-        tails = F.reverse(F.aggregate(F.reverse(v), F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-                                      lambda acc, c: F.struct((acc["s"] + c * c).alias("s"), F.array_append(acc["out"], acc["s"] + c * c).alias("out")))["out"])
-        raw = F.slice(F.zip_with(v, tails, lambda c, t: F.acos(clamp(c / _or_one(F.sqrt(t))))), F.lit(1), F.size(v) - 1)
-        return F.transform(raw, lambda a, i: F.when((i == F.size(v) - 2) & (F.element_at(v, -1) < 0), 2 * math.pi - a).otherwise(a))
-    return let(doubles(x), angles)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def to_spherical(x: pa.Array) -> pa.Array:
+    """d-1 angles of a unit vector: all in [0, pi] but the last, which is in [0, 2 pi).
 
-
-def _sine_products(angles: Column) -> Column:
+    An angle needs the length of the tail that begins at its coordinate; all tails are one running sum from the back.
+    """
+    values, edges = flat(x, np.float64)
+    out = np.zeros(len(values))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        v = values[lo:hi]
+        tails = np.sqrt(np.cumsum((v * v)[::-1]))[::-1]
+        out[lo:hi] = np.arccos(np.clip(v / np.where(tails > 0, tails, 1.0), -1.0, 1.0))
+        if hi - lo > 1 and v[-1] < 0:
+            out[hi - 2] = 2 * math.pi - out[hi - 2]
+    short = np.maximum(np.diff(edges) - 1, 0)
+    kept = np.ones(len(values), bool)
+    kept[edges[1:][np.diff(edges) > 0] - 1] = False
+    return nested(x, out[kept], np.r_[0, np.cumsum(short)], pa.float64())
+
+
+def _sine_products(angles: np.ndarray) -> np.ndarray:
     """1, sin a1, sin a1 sin a2, ... : one entry per coordinate."""
-    return F.aggregate(angles, F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("out")), lambda acc, a: F.struct(
-        (acc["p"] * F.sin(a)).alias("p"), F.array_append(acc["out"], acc["p"] * F.sin(a)).alias("out")))["out"]
+    return np.r_[1.0, np.cumprod(np.sin(angles))]
 
 
-def from_spherical(angles: Column) -> Column:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def from_spherical(angles: pa.Array) -> pa.Array:
     """Unit vector with the given angles."""
-    cosines = F.concat(F.transform(angles, F.cos), F.array(F.lit(1.0)))
-    return F.zip_with(_sine_products(angles), cosines, lambda p, c: p * c)
+    values, edges = flat(angles, np.float64)
+    rows = [_sine_products(values[lo:hi]) * np.r_[np.cos(values[lo:hi]), 1.0] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return nested(angles, np.concatenate(rows) if rows else np.zeros(0), edges + np.arange(len(edges)), pa.float64())
 
 
-def angular_to_tangent(angles: Column, rates: Column) -> Column:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def angular_to_tangent(angles: pa.Array, rates: pa.Array) -> pa.Array:
     """Ambient velocity of a point whose angles change at the given rates.
 
     Uses the exact derivative: coordinate i moves by -sin(a_i) P_i w_i from its own angle and by
     x_i cot(a_k) w_k from each earlier one, P being the product of the earlier sines.
     """
-    def move(p):
-        turned = F.concat(F.zip_with(p["a"], p["w"], lambda a, w: -F.sin(a) * w), F.array(F.lit(0.0)))
-        pulls = F.zip_with(p["a"], p["w"], lambda a, w: F.cos(a) / _or_one(F.sin(a)) * w)
-        before = F.aggregate(pulls, F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("out")), lambda acc, c: F.struct(
-            (acc["s"] + c).alias("s"), F.array_append(acc["out"], acc["s"] + c).alias("out")))["out"]
-        own = F.zip_with(p["p"], turned, lambda s, t: s * t)
-        return let(F.struct(p["x"].alias("x"), F.zip_with(own, F.zip_with(p["x"], before, lambda x, b: x * b), lambda a, b: a + b).alias("v")),
-                   lambda q: tangent(q["x"], q["v"]))
-    return let(F.struct(doubles(angles).alias("a"), doubles(rates).alias("w")), lambda s: let(F.struct(
-        s["a"].alias("a"), s["w"].alias("w"), _sine_products(s["a"]).alias("p"), from_spherical(s["a"]).alias("x")), move))
+    (turns, edges), (speeds, _) = flat(angles, np.float64), flat(rates, np.float64)
+    rows = []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        a, w = turns[lo:hi], speeds[lo:hi]
+        sines, products = np.sin(a), _sine_products(a)
+        x = products * np.r_[np.cos(a), 1.0]
+        earlier = np.r_[0.0, np.cumsum(np.cos(a) / np.where(sines == 0, 1.0, sines) * w)]
+        v = products * np.r_[-sines * w, 0.0] + x * earlier
+        rows.append(v - (v @ x) * x)
+    return nested(angles, np.concatenate(rows) if rows else np.zeros(0), edges + np.arange(len(edges)), pa.float64())
 
 
 def kinetic_energy(v: Column) -> Column:

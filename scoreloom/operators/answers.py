@@ -242,9 +242,7 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
         f["known"], problem("red_flag_without_quote", "error", f["flag_id"], "has no quoted passage")).otherwise(
         problem("unknown_red_flag", "error", None, f["flag_id"])))
     parts = [missing, lengths, values, *na, unknown, unjustified, bad_list, bad_flags]
-    if rubric.outputs:
-        parts.append(problem_if(~F.coalesce(member("outputs").startswith("{"), F.lit(False)),
-                                problem("missing_outputs", "error", None, "outputs are missing")))
+    parts.append(problem_if(~F.coalesce(member("outputs").startswith("{"), F.lit(False)), problem("missing_outputs", "error", None, "outputs are missing")))
     for spec in rubric.outputs:
         o = F.col(f"__o_{spec.name}")
         parts.append(problem_if(o["value"].isNull(), problem("bad_output", "error", spec.name, o["wrong"])))

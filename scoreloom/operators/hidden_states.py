@@ -9,29 +9,21 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.vectors import cosine_distance, dot, norm, normalize, softmax_top, subtract
 from scoreloom.operators.skew import lower_median, with_neighbours
-from scoreloom.operators.vector_sets import cross_moments
+from scoreloom.operators.vector_sets import cross_moments, spread, vector_sums
 
 CELL = ["text_id", "layer"]
 
 
-def _vectors(cells: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Back from one row per dimension to arrays, which are as long as the dimension."""
-    ordered = F.array_sort(F.collect_list(F.struct("dim", F.col(value).alias("x"))))
-    return cells.groupBy(*keys).agg(F.transform(ordered, lambda c: c["x"]).alias(name))
-
-
 def mean_pool(states: DataFrame, keys: Sequence[str] = CELL, vector: str = "state", name: str = "pooled") -> DataFrame:
     """Mean over tokens per text and layer."""
-    cells = states.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    return _vectors(cells, keys, "mean", name)
+    return vector_sums(states, keys, vector).select(*keys, F.col("mean").alias(name))
 
 
 def content_pool(states: DataFrame, keys: Sequence[str] = CELL, vector: str = "state", name: str = "pooled") -> DataFrame:
     """Mean over tokens without the first, which is kept only where it is the only one."""
-    x = F.col("x").cast("double")
-    cells = (states.select(*keys, "pos", F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim")
-             .agg(F.coalesce(F.avg(F.when(F.col("pos") > 0, x)), F.avg(x)).alias("mean")))
-    return _vectors(cells, keys, "mean", name)
+    # both means of a key are one array a task; the second is dropped where there is content
+    parts = vector_sums(states.withColumn("__content", F.col("pos") > 0), [*keys, "__content"], vector)
+    return parts.groupBy(*keys).agg(F.max_by("mean", "__content").alias(name))
 
 
 def last_token(states: DataFrame, keys: Sequence[str] = CELL, vector: str = "state", name: str = "last") -> DataFrame:
@@ -105,9 +97,7 @@ def layer_deltas(pooled: DataFrame, vector: str = "pooled", name: str = "delta")
 
 def variance_by_cell(vectors: DataFrame, vector: str) -> DataFrame:
     """Variance and mean over texts of every (layer, dimension)."""
-    x = F.col("x").cast("double")
-    return (vectors.select("layer", F.posexplode(vector).alias("dim", "x")).groupBy("layer", "dim")
-            .agg(F.var_samp(x).alias("variance"), F.avg(x).alias("mean")))
+    return spread(vectors, ["layer"], vector)
 
 
 def rank_cells(cells: DataFrame, k: int) -> DataFrame:

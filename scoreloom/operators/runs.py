@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.values import lookup
-from scoreloom.operators.skew import top_per_group
+from scoreloom.operators.skew import dense_index, top_per_group
 
 TOKEN_COLUMNS = ("prompt_tokens", "completion_tokens", "total_tokens", "cached_tokens")
 
@@ -74,10 +74,9 @@ def failed_attempt_history(responses: DataFrame) -> DataFrame:
     ok = F.col("error").isNull()
     kept = responses.groupBy("request_id").agg(
         F.coalesce(F.max(F.when(ok, F.col("attempt"))), F.min("attempt")).alias("__kept"))
-    history = responses.join(kept, "request_id").where(F.col("attempt") != F.col("__kept"))
-    # attempts of a request are numbered from 1 without gaps, so the position follows from the number
-    index = F.col("attempt") - F.when(F.col("attempt") > F.col("__kept"), 2).otherwise(1)
-    return history.withColumn("history_index", index.cast("int")).drop("__kept")
+    history = responses.join(kept, "request_id").where(F.col("attempt") != F.col("__kept")).drop("__kept")
+    # numbers of attempts may have gaps
+    return dense_index(history, ["request_id"], "attempt", "history_index").withColumn("history_index", F.col("history_index").cast("int"))
 
 
 def usage_totals(responses: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -226,3 +225,41 @@ def valid_rate_by_value(validations: DataFrame, responses: DataFrame, requests:
             .join(items.where(F.col("label") == label).select("input_id", "value"), "input_id")
             .groupBy("value").agg((F.sum("ok") / F.nullif(F.sum("judged"), F.lit(0))).alias("valid_rate"),
                                   F.sum("n").alias("n")))
+
+def evaluation_facts(evaluations: DataFrame, item_scores: DataFrame, flags: DataFrame, requests: DataFrame, responses: DataFrame, runs: DataFrame,
+                     texts: DataFrame, evaluation_runs: DataFrame) -> DataFrame:
+    """Every evaluation as one record, joined to the text it scored: what reports, dashboards and exports read.
+
+    ``evaluations`` name the text they score (``subject_response_id``), the run that generated it (``subject_run_id``), what their own request told of it
+    (``subject_model``, ``subject_type``, ``subject_template``, ``subject_input``; NULL where it told nothing), and their own response and run.  A text whose run or
+    response is not at hand stays in, without text.  Values come from the first that has one: the task from the generating run, else the type of the subject;
+    the model from the request, the generated response, the generating run; the evaluator from the evaluating response, the evaluation's run,
+    else the provider's default.
+
+    Scores, justifications, labels and flags of an evaluation are collected together, in one shuffle on the evaluation: they are as many as its rubric has items.
+    """
+    key = "evaluation_id"
+    said = lambda c, kind: F.col(c) if c in item_scores.columns else F.lit(None).cast(kind)
+    item = F.struct("item_key", F.when(~F.col("is_na"), F.col("score")).alias("score"), said("justification", "string").alias("justification"), said("label", "string").alias("label"))
+    quote = F.col("quote") if "quote" in flags.columns else F.lit(None).cast("string")
+    severity = F.col("severity") if "severity" in flags.columns else F.lit(None).cast("string")
+    flag = F.struct(F.col("flag_id").alias("id"), severity.alias("severity"), quote.alias("quote"))
+    rows = (item_scores.select(key, item.alias("item")).unionByName(flags.select(key, flag.alias("flag")), allowMissingColumns=True)
+            .groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("__items"), F.array_sort(F.collect_list("flag")).alias("flags")))
+    by_key = lambda field: F.map_from_entries(F.transform("__items", lambda i: F.struct(i["item_key"], i[field])))
+    given = lambda field: F.map_filter(by_key(field), lambda k, v: v.isNotNull() & (v != ""))
+    generated = responses.select(F.col("response_id").alias("subject_response_id"), F.col("model").alias("__reported"))
+    source = runs.select(F.col("run_id").alias("subject_run_id"), F.col("task").alias("__task"), F.col("dataset").alias("subject_dataset"), F.col("model").alias("__run_model"))
+    text = texts.select(F.col("response_id").alias("subject_response_id"), F.col("text").alias("subject_text"))
+    asked = requests.select(F.col("request_id"), F.col("run_id").alias("__asked_run")).join(
+        evaluation_runs.select(F.col("run_id").alias("__asked_run"), F.col("model").alias("__asked_model"), "provider"), "__asked_run", "left").drop("__asked_run")
+    answered = responses.select(F.col("response_id").alias("evaluation_response_id"), F.col("model").alias("__evaluator"))
+    joined = (evaluations.join(rows, key, "left").join(source, "subject_run_id", "left").join(generated, "subject_response_id", "left").join(text, "subject_response_id", "left")
+              .join(asked, "request_id", "left").join(answered, "evaluation_response_id", "left"))
+    empty = F.array().cast("array<struct<item_key:string,score:int,justification:string,label:string>>")
+    joined = joined.withColumns({"__items": F.coalesce("__items", empty), "flags": F.coalesce("flags", F.array().cast("array<struct<id:string,severity:string,quote:string>>"))})
+    own = [c for c in evaluations.columns if c not in ("subject_model", "subject_type")]
+    return joined.select(
+        *own, "subject_dataset", F.coalesce("__task", "subject_type").alias("task"), F.coalesce("subject_model", "__reported", "__run_model").alias("model"),
+        F.coalesce("__evaluator", "__asked_model", F.concat(F.coalesce("provider", F.lit("unknown")), F.lit(" (default model)"))).alias("evaluator"),
+        "subject_text", by_key("score").alias("scores"), given("justification").alias("justifications"), given("label").alias("labels"), "flags")

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.vectors import chord, kinetic_energy, log_map, subtract
 from scoreloom.operators.skew import with_neighbours
@@ -78,13 +79,13 @@ def kinematics(df: DataFrame, seq: str, idx: str, vector: str, spherical: bool =
             .withColumn("energy", kinetic_energy(F.col("velocity"))).drop("__v"))
 
 
-def stack_states(states: Sequence[DataFrame], dt: float = 1.0) -> DataFrame:
-    """One table of many states: state i is taken at time i dt."""
-    table = None
-    for i, s in enumerate(states):
-        part = s.withColumns({"t_index": F.lit(i), "time": F.lit(i * dt)})
-        table = part if table is None else table.unionByName(part)
-    return table
+def stack_states(spark: SparkSession, path: str, schema: T.StructType | str, dt: float = 1.0, number: str = r"(\d+)[^/\d]*/[^/]*$", kind: str = "parquet") -> DataFrame:
+    """One table of the states of many steps, each a folder or file with its number in its name: the state of step i is taken at time i dt.
+
+    It is one scan: the step comes from the name of the file a row is read from, so the plan does not grow with the number of steps.
+    """
+    step = F.regexp_extract(F.col("_metadata.file_path"), number, 1).cast("int")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").format(kind).load(path).select("*", step.alias("t_index")).withColumn("time", F.col("t_index") * F.lit(dt))
 
 
 def with_times(df: DataFrame, t_index: str, dt: float, start: float = 0.0) -> DataFrame:

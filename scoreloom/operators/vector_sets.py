@@ -157,37 +157,70 @@ def pair_moments(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
                     (2 * F.col("d1") / F.col("n") - 2 * mean).alias("mean_squared_chord")))
 
 
-def semantic_volume(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """Volume of the simplex of each group's vectors, from the singular values of (x_i - x_0).
+def reduced_rows(df: DataFrame, group: str, vector: str, kind: str) -> DataFrame:
+    """Fewer rows with the same sums of products: of each group's vectors in a task the triangular factor of a QR factorisation.
 
-    x_0 is the vector of the lowest key.  A group of at most as many vectors as dimensions is one small matrix, whose singular
-    values are taken directly.  The squares of those of a larger group are the eigenvalues of the d x d matrix of moments, so it
-    ends as one small matrix too; singular values below about 1e-8 of the largest are not resolved there.
+    A task holds one factor of at most d rows a group and folds arriving vectors into it; with many groups it sends what it has whenever
+    they reach ``MOMENT_BYTES``.  Nothing is squared, so small directions keep their digits.
     """
-    first = df.groupBy(group).agg(F.min_by(vector, key).alias("__x0"), F.count(F.lit(1)).cast("long").alias("n"), F.max(F.size(vector)).alias("__d"))
-    moved = df.join(first, group).select(group, "n", "__d", F.zip_with(
-        vector, "__x0", lambda a, b: a.cast("double") - b.cast("double")).alias("__v"))
-    cells = cross_moments(moved.where(F.col("n") > F.col("__d")).select(group, "__v"), [group], "__v").join(first.select(group, "n"), group)
-    kind = dict(df.dtypes)[group]
-    schema = f"`{group}` {kind}, n long, volume double, log_volume double"
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list[np.ndarray]] = {}
+        size = 0
 
-    def row(name, n: int, values: np.ndarray) -> pd.DataFrame:
-        log = float(np.log(values).sum() - math.lgamma(n)) if n > 1 and (values > 0).all() else -math.inf
-        return pd.DataFrame({group: [name], "n": [n], "volume": [math.exp(log)], "log_volume": [log]})
+        def factor(parts: list[np.ndarray]) -> np.ndarray:
+            x = parts[0] if len(parts) == 1 else np.vstack(parts)
+            return np.linalg.qr(x, mode="r") if len(x) > x.shape[1] else x
 
-    def of_vectors(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.linalg.svd(np.stack(pdf["__v"].to_numpy()).astype(float), compute_uv=False)
-        n = len(pdf)
-        return row(pdf[group].iloc[0], n, values[:n - 1])
+        def sent() -> Iterator[pd.DataFrame]:
+            for name, parts in held.items():
+                rows = factor(parts)
+                for at in range(0, len(rows), 256):
+                    yield pd.DataFrame({group: [name] * len(rows[at:at + 256]), vector: list(rows[at:at + 256])})
+            held.clear()
 
-    def of_moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["i"], pdf["j"]] = pdf["value"]
-        return row(pdf[group].iloc[0], int(pdf["n"].iloc[0]), np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0.0)))
+        for frame in frames:
+            for name, part in frame.groupby(group, sort=False, dropna=False):
+                x = np.stack(part[vector].to_numpy()).astype(float)
+                parts = held.setdefault(name, [])
+                parts.append(x)
+                size += x.nbytes
+                if sum(map(len, parts)) > 4 * x.shape[1]:
+                    size -= sum(p.nbytes for p in parts)
+                    parts[:] = [factor(parts)]
+                    size += parts[0].nbytes
+            if size > MOMENT_BYTES:
+                yield from sent()
+                size = 0
+        yield from sent()
+
+    return df.select(group, vector).mapInPandas(fold, f"`{group}` {kind}, `{vector}` array<double>")
+
+
+def semantic_volume(df: DataFrame, group: str, key: str, vector: str, fan_in: int = 16) -> DataFrame:
+    """``n``, ``volume`` and ``log_volume`` of the simplex of each group's vectors, from the singular values of (x_i - x_0).
+
+    x_0 is the vector of the lowest key.  The singular values come from a tree of QR factors: every task reduces its rows of a group to
+    a factor, ``fan_in`` parts of each group reduce the factors of the tasks, and one task those of the parts.  Groups of any size,
+    smaller or larger than the dimension, go the same way.  With more vectors than dimensions the product is over all d singular values.
+    """
+    kind = dict(df.dtypes)[group]
+    first = df.groupBy(group).agg(F.min_by(vector, key).alias("__x0"), F.count(F.lit(1)).cast("long").alias("n"))
+    moved = df.join(first.select(group, "__x0"), group).select(group, F.zip_with(vector, "__x0", lambda a, b: a.cast("double") - b.cast("double")).alias("__v"))
+    factors = reduced_rows(moved, group, "__v", kind).withColumn("__part", F.spark_partition_id() % fan_in)
+    factors = reduced_rows(factors.repartition(group, "__part"), group, "__v", kind)
+
+    def measured(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["__v"].to_numpy()).astype(float)
+        n, d = int(pdf["n"].iloc[0]), x.shape[1]
+        values = np.zeros(min(n - 1, d))
+        found = np.linalg.svd(x, compute_uv=False)[:len(values)]
+        values[:len(found)] = found
+        log = float(np.log(values).sum() - math.lgamma(n)) if n > 1 and (values > 0).all() else -math.inf
+        return pd.DataFrame({group: pdf[group].iloc[:1], "n": [n], "volume": [math.exp(log)], "log_volume": [log]})
 
-    few = moved.where(F.col("n") <= F.col("__d")).groupBy(group).applyInPandas(of_vectors, schema)
-    return few.unionByName(cells.groupBy(group).applyInPandas(of_moments, schema))
+    # at most fan_in * d rows a group
+    return (factors.join(first.select(group, "n"), group).groupBy(group)
+            .applyInPandas(measured, f"`{group}` {kind}, n long, volume double, log_volume double"))
 
 
 def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -208,10 +241,95 @@ def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(key, let(mirrored(F.col(vector).cast("array<double>")), rows).alias("basis"))
 
 
+def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, squares: bool = False) -> DataFrame:
+    """``keys, n, mean`` and with ``squares`` ``m2`` (sum of squared distances from the mean), arrays as long as the vectors, of each key.
+
+    Vectors are added up in Arrow batches: a task sends one array a key (and again, when its keys reach ``MOMENT_BYTES``), and what
+    different tasks sent is merged after the shuffle.  So the rows that travel depend on keys and tasks, not on the dimension.
+    """
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["n long", "mean array<double>"] + (["m2 array<double>"] if squares else []))
+
+    def combined(a: tuple, b: tuple) -> tuple:
+        n = a[0] + b[0]
+        if not squares:
+            return n, a[1] + (b[1] - a[1]) * (b[0] / n), None
+        apart = b[1] - a[1]
+        return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart * apart * (a[0] * b[0] / n)
+
+    def rows(held: dict) -> pd.DataFrame:
+        out = {c: [k[i] for k in held] for i, c in enumerate(keys)} | {"n": [v[0] for v in held.values()], "mean": [v[1] for v in held.values()]}
+        return pd.DataFrame(out | ({"m2": [v[2] for v in held.values()]} if squares else {}), dtype=object)
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        size = 0
+        for frame in frames:
+            for name, value in of_vectors(frame):
+                if name in held:
+                    held[name] = combined(held[name], value)
+                else:
+                    held[name] = value
+                    size += value[1].nbytes * (1 + squares)
+            if size > MOMENT_BYTES:
+                yield rows(held)
+                held, size = {}, 0
+        if held:
+            yield rows(held)
+
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # sorted by key: when a key begins, those before it are whole
+        name, value = None, None
+        for frame in frames:
+            done: dict[tuple, tuple] = {}
+            for own, more in of_partials(frame):
+                if own == name:
+                    value = combined(value, more)
+                else:
+                    if name is not None:
+                        done[name] = value
+                    name, value = own, more
+            if done:
+                yield rows(done)
+        if name is not None:
+            yield rows({name: value})
+
+    def named(frame: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+        """A number for the key of each row, and the keys."""
+        plain = frame[keys].astype(object).where(frame[keys].notna(), None)
+        numbers: dict[tuple, int] = {}
+        codes = np.array([numbers.setdefault(k, len(numbers)) for k in zip(*[plain[c] for c in keys])], np.int64) if keys else np.zeros(len(frame), np.int64)
+        return codes, list(numbers) if keys else [()]
+
+    def of_vectors(frame: pd.DataFrame) -> Iterator[tuple]:
+        if not len(frame):
+            return
+        codes, names = named(frame)
+        order = np.argsort(codes, kind="stable")
+        x = np.stack(frame[vector].to_numpy()).astype(float)[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+        n = np.diff(np.r_[starts, len(x)])
+        means = np.add.reduceat(x, starts, axis=0) / n[:, None]
+        m2 = np.add.reduceat((x - np.repeat(means, n, axis=0)) ** 2, starts, axis=0) if squares else [None] * len(n)
+        for i, code in enumerate(codes[order][starts]):
+            yield names[code], (int(n[i]), means[i], m2[i])
+
+    def of_partials(frame: pd.DataFrame) -> Iterator[tuple]:
+        codes, names = named(frame) if len(frame) else (np.zeros(0, np.int64), [])
+        for i, code in enumerate(codes):
+            yield names[code], (int(frame["n"].iloc[i]), np.asarray(frame["mean"].iloc[i], float), np.asarray(frame["m2"].iloc[i], float) if squares else None)
+
+    partial = df.select(*keys, vector).where(F.col(vector).isNotNull()).mapInPandas(summed, schema)
+    met = partial.repartition(*keys).sortWithinPartitions(*keys) if keys else partial.repartition(1)
+    return met.mapInPandas(merged, schema)
+
+
 def spread(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
     """Variance and mean of every dimension over the vectors of a group."""
-    return (df.select(*group, F.posexplode(vector).alias("dim", "__x")).groupBy(*group, "dim")
-            .agg(F.var_samp(F.col("__x").cast("double")).alias("variance"), F.avg(F.col("__x").cast("double")).alias("mean")))
+    per = vector_sums(df, group, vector, squares=True)
+    return (per.select(*group, "n", F.posexplode(F.arrays_zip("mean", "m2")).alias("dim", "__x"))
+            .select(*group, "dim", F.when(F.col("n") > 1, F.col("__x.m2") / (F.col("n") - 1)).alias("variance"), F.col("__x.mean").alias("mean")))
 
 
 def constraint_audit(df: DataFrame, position: str = "position", velocity: str = "velocity", acceleration: str = "acceleration") -> DataFrame:

@@ -6,37 +6,34 @@ is the concatenation of its pieces: linear in the text, inside the JVM, and with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from scoreloom.functions.running import greedy_breaks, piece_ends
 from scoreloom.functions.text import sentences, strip, words
-from scoreloom.functions.values import let
+from scoreloom.functions.values import fence, let
 from scoreloom.operators.skew import dense_index, totals_before
 
-PIECE = r"(?U)(\s*\S+)"
+PIECE, TOKEN = r"(?U)(\s*\S+)", r"(?U)\S+"
 
 
-SPANS = T.StructType([T.StructField("token", T.ArrayType(T.StringType())), T.StructField("start", T.ArrayType(T.IntegerType())),
-                      T.StructField("end", T.ArrayType(T.IntegerType()))])
+def token_spans(text: Column) -> Column:
+    """White-space tokens with their character offsets: struct of the arrays token, start, end.
 
-
-@F.pandas_udf(SPANS)
-def token_spans(texts: pd.Series) -> pd.DataFrame:
-    """White-space tokens with their character offsets."""
-    found = [[] if t is None else list(re.finditer(r"\S+", t)) for t in texts]
-    return pd.DataFrame({"token": [[m.group() for m in ms] for ms in found], "start": [[m.start() for m in ms] for ms in found],
-                         "end": [[m.end() for m in ms] for ms in found]})
+    A text is cut into pieces of white space and a token; running sums of their lengths are the ends.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    tokens, ends = F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)), piece_ends(pieces(whole))
+    return F.struct(tokens.alias("token"), F.zip_with(ends, tokens, lambda e, t: e - F.length(t)).alias("start"), ends.alias("end"))
 
 
 def tokenize(df: DataFrame, key: str, text: str, spans: Callable[[Column], Column] = token_spans) -> DataFrame:
     """One row per token.  Another tokenizer is any function to the same struct of arrays."""
     s = F.col("__s")
-    return (df.select(key, spans(F.col(text)).alias("__s"))
+    return (fence(df.select(key, spans(F.col(text)).alias("__s")), ["__s"])
             .select(key, F.posexplode(F.arrays_zip(s["token"], s["start"], s["end"])).alias("pos", "__t"))
             .select(key, "pos", F.col("__t")["token"].alias("token"), F.col("__t")["start"].alias("start"), F.col("__t")["end"].alias("end")))
 
@@ -86,37 +83,25 @@ def window_texts(parts: Column, size: int, stride: int | None = None, dilation:
         F.array().cast("array<string>")))
 
 
-def char_breaks(parts: Column, limit: int) -> Column:
-    """Token indices at which greedy groups of at most ``limit`` characters begin.
-
-    A longer token stands alone.  The fold carries positions and the breaks; it is sequential by nature.
-    """
-    sizes = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("len"), F.length(strip(p)).alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("since"), F.array().cast("array<int>").alias("breaks"))
-
-    def step(acc, p):
-        begins, ends = acc["at"] + p["len"] - p["own"], acc["at"] + p["len"]
-        new = acc["since"].isNull() | (ends - acc["since"] > limit)
-        return F.struct(ends.alias("at"), F.when(new, begins).otherwise(acc["since"]).alias("since"),
-                        F.when(new, F.array_append(acc["breaks"], p["i"])).otherwise(acc["breaks"]).alias("breaks"))
-
-    return F.aggregate(sizes, start, step)["breaks"]
+def char_breaks(text: Column, limit: int) -> Column:
+    """Token indices at which greedy groups of at most ``limit`` characters begin; a longer token stands alone.  A column, not for lambdas."""
+    return greedy_breaks(pieces(text), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lit(limit))
 
 
-def char_window_texts(parts: Column, limit: int) -> Column:
-    def cut(breaks):
-        ends = F.concat(F.slice(breaks, F.lit(2), F.size(parts) + 1), F.array(F.size(parts)))
-        return F.zip_with(breaks, ends, lambda b, e: strip(F.array_join(F.slice(parts, b + 1, e - b), "")))
-    return let(char_breaks(parts, limit), cut)
+def char_window_texts(parts: Column, breaks: Column) -> Column:
+    """The text of each group, from the pieces of a text and its ``char_breaks``."""
+    ends = F.concat(F.slice(breaks, F.lit(2), F.size(parts) + 1), F.array(F.size(parts)))
+    return F.zip_with(breaks, ends, lambda b, e: strip(F.array_join(F.slice(parts, b + 1, e - b), "")))
 
 
 def multi_scale(df: DataFrame, key: str, text: str, token_sizes: Sequence[int] = (), char_limits: Sequence[int] = ()) -> DataFrame:
     """Windows at several scales: (key, scale, window_index, text)."""
     p = F.col("__pieces")
+    breaks = {n: char_breaks(F.col(text), n).alias(f"__breaks{n}") for n in char_limits}
+    cut = fence(df.select(key, pieces(F.col(text)).alias("__pieces"), *breaks.values()), ["__pieces", *[f"__breaks{n}" for n in breaks]])
     scales = [F.struct(F.lit(f"tok_len_{n}").alias("scale"), window_texts(p, n, drop_last=False).alias("windows")) for n in token_sizes]
-    scales += [F.struct(F.lit(f"char_len_{n}").alias("scale"), char_window_texts(p, n).alias("windows")) for n in char_limits]
-    return (df.select(key, pieces(F.col(text)).alias("__pieces")).where(F.size("__pieces") > 0)
-            .select(key, F.explode(F.array(*scales)).alias("__s"))
+    scales += [F.struct(F.lit(f"char_len_{n}").alias("scale"), char_window_texts(p, F.col(f"__breaks{n}")).alias("windows")) for n in char_limits]
+    return (cut.where(F.size("__pieces") > 0).select(key, F.explode(F.array(*scales)).alias("__s"))
             .select(key, "__s.scale", F.posexplode("__s.windows").alias("window_index", "text")))
 
 
@@ -164,6 +149,21 @@ def embed_chunks(df: DataFrame, keys: Sequence[str], chunk: str, load: Callable[
     return narrow.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + ", embedding array<double>")
 
 
+def embed_documents(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], list]], splitter: Callable[[Column], Column] | None = sentences,
+                    batch_size: int = 256) -> DataFrame:
+    """``key, chunks, embeddings``: the chunks of every document and a vector for each, in order.
+
+    ``splitter`` is any function from a text to an array of chunks; without one a document is one chunk.  Chunks of all documents share the
+    model's batches.  Documents without chunks have empty arrays.
+    """
+    chunks = splitter(F.col(text)) if splitter is not None else F.array(F.col(text))
+    own = fence(df.select(key, chunks.alias("chunks")), ["chunks"])
+    vectors = embed_chunks(own.select(key, F.posexplode("chunks").alias("chunk_index", "chunk")), [key, "chunk_index"], "chunk", load, batch_size)
+    whole = vectors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "embedding"))).alias("__v"))  # the chunks of one document
+    joined = own.join(whole, key, "left")
+    return joined.select(key, "chunks", F.coalesce(F.transform("__v", lambda x: x["embedding"]), F.array().cast("array<array<double>>")).alias("embeddings"))
+
+
 MENTIONS = "struct<clusters:array<struct<id:string,mentions:array<struct<text:string,start:int,end:int>>>>>"
 
 

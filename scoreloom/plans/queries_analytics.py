@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from scoreloom.functions.draws import draw_text_sql
 from scoreloom.operators import analytics as an
 from scoreloom.operators import rubric as ru
+from scoreloom.operators import runs as runs_of
 from scoreloom.operators.rubric import Output
 from scoreloom.plans.fixtures import RUBRIC, SQL_VIEWS
 from scoreloom.plans.queries_scores import TOTALS
 from scoreloom.plans.registry import query
+from scoreloom.sources import tables as tb
+from scoreloom.sources.folders import new_folder
 
 SQL_VIEWS["fx_totals"] = f"""
     select e.*, t.* exclude (evaluation_id), e.o_orderkey % 11 felt,
@@ -35,28 +38,56 @@ def union_dims(dims, columns="*"):
     return " union all ".join(f"select '{d}' dimension, cast({d} as varchar) as value, {columns} from fx_totals" for d in dims)
 
 
-@query("r9_evaluation_facts", """
-       select e.evaluation_id, coalesce(u.task, 'document') task, coalesce(g.model, u.model) as model, coalesce(q.model, 'driver (default model)') evaluator,
-         x.n_chars, t.total_score, t.grade, t.n_red_flags, e.persona_id
-       from fx_totals t join fx_evaluations e on t.evaluation_id = e.evaluation_id
-       join fx_personas p on e.persona_id = p.persona_id
-       left join fx_requests q on q.n = e.o_orderkey
-       left join fx_responses g on g.response_id = concat('req_', e.o_orderkey // 3, '-a', e.o_orderkey % 3 + 1)
-       left join fx_runs u on g.run_id = u.run_id
-       left join fx_response_texts x on x.response_id = g.response_id""")
-def _(t):
-    # the evaluated text may be of a run that is not at hand: its evaluation stays, without text
+def whole_facts(t):
+    """Evaluations as records: they score the attempts of the requests, some of which are of runs that are not at hand."""
     k = F.col("o_orderkey")
-    scored = facts(t).select("evaluation_id", "o_orderkey", "persona_id", "total_score", "grade", "n_red_flags",
-                             F.concat(F.lit("req_"), F.floor(k / 3).cast("string"), F.lit("-a"), (k % 3 + 1).cast("string")).alias("response_id"))
-    generated = t.responses.select("response_id", F.col("model").alias("reported"), "run_id")
-    asked = t.requests.select(F.col("n").alias("o_orderkey"), F.col("model").alias("evaluator"))
-    return (scored.join(t.personas.select("persona_id"), "persona_id").join(asked, "o_orderkey", "left")
-            .join(generated, "response_id", "left").join(t.runs.select("run_id", "task", F.col("model").alias("run_model")), "run_id", "left")
-            .join(t.response_texts.select("response_id", "n_chars"), "response_id", "left")
-            .select("evaluation_id", F.coalesce("task", F.lit("document")).alias("task"), F.coalesce("reported", "run_model").alias("model"),
-                    F.coalesce("evaluator", F.lit("driver (default model)")).alias("evaluator"), "n_chars", "total_score", "grade",
-                    "n_red_flags", "persona_id"))
+    scored = facts(t)
+    subject = F.concat(F.lit("req_"), F.floor(k / 3).cast("string"), F.lit("-a"), (k % 3 + 1).cast("string"))
+    asked = F.concat(F.lit("req_"), k.cast("string"))
+    evaluations = scored.select(
+        "evaluation_id", "persona_id", "total_score", "score_before_caps", "cap_applied", "grade", "n_red_flags", F.struct("s1", "s2", "s3").alias("section_scores"),
+        F.struct("felt", "verdict").alias("outputs"), subject.alias("subject_response_id"), F.concat(F.lit("run_"), (F.floor(k / 3) % 8).cast("string")).alias("subject_run_id"),
+        F.when(k % 7 == 0, "told").alias("subject_model"), F.lit("document").alias("subject_type"), F.col("template").alias("subject_template"), F.lit(None).cast("string").alias("subject_input"),
+        asked.alias("request_id"), F.when(k % 2 == 0, F.concat(asked, F.lit("-a1"))).alias("evaluation_response_id"))
+    items = t.item_scores.withColumns({"justification": F.when(F.col("score").isin(1, 5), F.concat(F.lit("since "), F.col("item_key"))), "label": F.when(F.col("item_id") == "3", "part")})
+    flags = t.flags.withColumns({"severity": RUBRIC.severity_of_flag(F.col("flag_id")), "quote": F.concat(F.lit("said "), F.col("flag_id"))})
+    known = t.runs.where("run_id <> 'run_5'")
+    own = t.runs.select("run_id", F.when(F.col("seed") != 2, F.col("model")).alias("model"), F.lit("driver").alias("provider"))
+    return runs_of.evaluation_facts(evaluations, items, flags, t.requests, t.responses, known, t.response_texts, own)
+
+
+SQL_VIEWS["fx_facts"] = """
+    select e.evaluation_id, e.persona_id, e.total_score, e.score_before_caps, e.cap_applied, e.grade, e.n_red_flags, e.felt, e.verdict, e.s1, e.s2, e.s3, e.template, u.dataset subject_dataset, coalesce(u.task, 'document') task,
+      coalesce(case when e.o_orderkey % 7 = 0 then 'told' end, g.model, u.model) as model,
+      coalesce(case when e.o_orderkey % 2 = 0 then a.model end, case when v.seed <> 2 then v.model end, case when v.run_id is null then 'unknown (default model)' else 'driver (default model)' end) evaluator, x.text subject_text
+    from fx_totals e left join (select * from fx_runs where run_id <> 'run_5') u on u.run_id = concat('run_', e.o_orderkey // 3 % 8)
+    left join fx_responses g on g.response_id = concat('req_', e.o_orderkey // 3, '-a', e.o_orderkey % 3 + 1) left join fx_response_texts x on x.response_id = g.response_id
+    left join fx_requests q on q.request_id = concat('req_', e.o_orderkey) left join fx_runs v on v.run_id = q.run_id
+    left join fx_responses a on a.response_id = concat('req_', e.o_orderkey, '-a1')"""
+SQL_VIEWS["fx_fact_items"] = """
+    select evaluation_id, count(*) n, string_agg(item_key || '=' || coalesce(cast(score as varchar), 'N/A'), ',' order by item_key) scores,
+      string_agg(case when score in (1, 5) then item_key || '=since ' || item_key end, ',' order by item_key) why, string_agg(case when item_id = '3' then item_key end, ',' order by item_key) labelled
+    from fx_item_scores group by 1"""
+SQL_VIEWS["fx_fact_flags"] = """
+    select evaluation_id, string_agg(flag_id || '/' || case flag_id when 'RF1' then 'severe' else 'moderate' end || '/said ' || flag_id, ',' order by flag_id) flags from fx_flags group by 1"""
+FACT_COLUMNS = """f.evaluation_id, f.persona_id, f.total_score, f.score_before_caps, f.cap_applied, f.grade, f.n_red_flags, f.felt, f.verdict, round(f.s1, 6) s1, round(f.s2, 6) s2, round(f.s3, 6) s3, f.template, f.subject_dataset, f.task, f.model, f.evaluator,
+       md5(f.subject_text) text_md5, coalesce(i.scores, '') scores, coalesce(i.why, '') why, coalesce(i.labelled, '') labelled, coalesce(r.flags, '') flags"""
+
+
+def told(facts):
+    """Every field of the records, nested ones as text."""
+    listed = lambda column, entry: F.array_join(F.transform(F.array_sort(F.map_entries(column)), entry), ",")
+    return facts.select(
+        "evaluation_id", "persona_id", "total_score", "score_before_caps", "cap_applied", "grade", "n_red_flags", F.col("outputs.felt").alias("felt"), F.col("outputs.verdict").alias("verdict"),
+        *[F.round(f"section_scores.{s}", 6).alias(s) for s in ("s1", "s2", "s3")], F.col("subject_template").alias("template"), "subject_dataset", "task", "model", "evaluator",
+        F.md5(F.col("subject_text").cast("binary")).alias("text_md5"), listed("scores", lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("N/A")))).alias("scores"),
+        listed("justifications", lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("why"), listed("labels", lambda e: e["key"]).alias("labelled"),
+        F.array_join(F.transform("flags", lambda f: F.concat_ws("/", f["id"], f["severity"], f["quote"])), ",").alias("flags"))
+
+
+@query("r9_evaluation_facts", f"select {FACT_COLUMNS} from fx_facts f left join fx_fact_items i on f.evaluation_id = i.evaluation_id left join fx_fact_flags r on f.evaluation_id = r.evaluation_id")
+def _(t):
+    return told(whole_facts(t))
 
 
 @query("a1_select_evaluations", """
@@ -242,9 +273,10 @@ def _(t):
     return rounded(an.overall(facts(t), RUBRIC, ["evaluating_model"]).orderBy(F.desc("n"), "evaluating_model"), **SIX)
 
 
-@query("s17_export_evaluations", """select evaluation_id, concat('{"id":"', evaluation_id, '","grade":"', grade, '","flags":', n_red_flags, ',"person":"', persona_id, '"}') line from fx_totals""")
+@query("s17_export_evaluations", f"select {FACT_COLUMNS} from fx_facts f left join fx_fact_items i on f.evaluation_id = i.evaluation_id left join fx_fact_flags r on f.evaluation_id = r.evaluation_id")
 def _(t):
-    # the exported line of each evaluation
-    f = facts(t)
-    record = F.struct(F.col("evaluation_id").alias("id"), "grade", F.col("n_red_flags").alias("flags"), F.col("persona_id").alias("person"))
-    return f.select("evaluation_id", F.to_json(record).alias("line"))
+    # the whole records, written as a table and read again
+    facts = whole_facts(t)
+    place = new_folder(t.spark, "evaluations")
+    tb.export_evaluations(facts, place)
+    return told(t.spark.read.schema(facts.schema).parquet(place))

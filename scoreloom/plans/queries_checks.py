@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import matchers as m
-from scoreloom.functions.text import strip, word_count
+from scoreloom.functions.text import fold, strip, word_count
 from scoreloom.functions.values import fence
 from scoreloom.operators import checks as c
 from scoreloom.operators import extraction as ex
+from scoreloom.operators import vocabularies as voc
 from scoreloom.plans.fixtures import SQL_VIEWS
 from scoreloom.plans.registry import query
 
@@ -133,6 +134,37 @@ def _(t):
     return found.select("doc_id", "f.value", "f.position", F.substring(text, F.col("f.position") + 1, 3).alias("there"))
 
 
+@query("v7_vocabulary_table", r"""with recursive v as (select distinct replace(lower(array_to_string(string_split(trim(regexp_replace(text, '[ 	
+
+]+', ' ', 'g')), ' ')[1:k], ' ')), 'ß', 'ss') as alias
+         from documents, range(1, 4) r(k) where len(string_split(trim(regexp_replace(text, '[ 	
+
+]+', ' ', 'g')), ' ')) >= k),
+       p as (select doc_id, piece, regexp_extract(piece, '([\p{L}\p{M}\p{N}\p{Pc}'']+|[^\p{L}\p{M}\p{N}\p{Pc}'' 	
+
+])$') tok, pos, cast(sum(length(piece)) over (partition by doc_id order by pos) as bigint) e, lead(piece) over (partition by doc_id order by pos) behind from (
+         select doc_id, unnest(ps) piece, generate_subscripts(ps, 1) pos from (select doc_id, regexp_extract_all(text, '[ 	
+
+]*([\p{L}\p{M}\p{N}\p{Pc}'']+|[^\p{L}\p{M}\p{N}\p{Pc}'' 	
+
+])') ps from documents))),
+       s as (select doc_id, pos, e - length(tok) as start, piece = tok and coalesce(regexp_matches(lag(tok) over (partition by doc_id order by pos), '[\p{L}\p{M}\p{N}\p{Pc}'']'), false) glued, tok, piece, e from p),
+       longest as (select max(length(alias)) m from v),
+       c as (select s.doc_id, s.start, s.pos, q.e as upto, q.pos as last from s join s q on s.doc_id = q.doc_id and q.pos between s.pos and s.pos + 24 where not s.glued and q.e - s.start <= (select m from longest)),
+       g as (select c.doc_id, c.start, c.upto, replace(lower(substr(d.text, c.start + 1, c.upto - c.start)), 'ß', 'ss') said, substr(d.text, c.upto + 1, 1) behind from c join documents d on c.doc_id = d.doc_id),
+       m as (select doc_id, start, max(upto) upto from g join v on said = alias where not regexp_matches(behind, '[\p{L}\p{M}\p{N}\p{Pc}'']') group by 1, 2),
+       walk as (select doc_id, min(start) start from m group by 1 union all
+                select w.doc_id, (select min(n.start) from m n where n.doc_id = w.doc_id and n.start >= x.upto) from walk w join m x on x.doc_id = w.doc_id and x.start = w.start where w.start is not null)
+       select m.doc_id, replace(lower(substr(d.text, m.start + 1, m.upto - m.start)), 'ß', 'ss') as value, cast(m.start as int) as position, cast(m.upto - m.start as int) as length
+       from walk w join m on m.doc_id = w.doc_id and m.start = w.start join documents d on d.doc_id = m.doc_id""")
+def _(t):
+    # the vocabulary: how the documents themselves begin, one to three words
+    words = F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")), " ")
+    begun = t.documents.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words))), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("alias"))
+    vocabulary = begun.select("alias", fold(F.col("alias")).alias("value"))
+    return voc.table_mentions(t.documents, "doc_id", "text", vocabulary).select("doc_id", "value", "position", "length")
+
+
 @query("v8_state_mentions", """select n, v1 || '|' || b[2] || ' reversed|' || b[3] mentions from fx_restated""")
 def _(t):
     n, base = F.col("n"), lambda j: value_of(F.col("n"), j, F.lit(False))
@@ -228,7 +260,7 @@ def spread_checks() -> dict:
 
 
 def checked(t) -> DataFrame:
-    return c.verdict(c.run_checks(restated(t), spread_checks()))
+    return c.verdict(c.run_checks(restated(t), spread_checks(), trusted=list(spread_checks())))
 
 
 @query("v21_run_checks", """select doc_id, 'error' severity, 'check_crashed' code from documents where doc_id % 10 = 3 union all
@@ -243,6 +275,50 @@ def _(t):
     return c.issue_rows(ran, "doc_id").select("doc_id", "severity", "code")
 
 
+@query("v21_columns", r"""with w as (select doc_id, len(regexp_extract_all(text, '\S+')) n, doc_id % 5 d from documents)
+       select doc_id, 'error' severity, 'check_crashed' code from w where d in (0, 3) union all select doc_id, 'warning', 'many' from w where d <> 0 and n / d > 40""")
+def _(t):
+    # expressions that raise for some rows: a division by zero, a text that is no number, and one that never does
+    n, d = word_count(F.col("text")), F.col("doc_id") % 5
+    many = c.issue_if(n / d > 40, c.issue("many", "warning"))
+    number = c.issue_if(F.when(d == 3, F.lit("three")).otherwise("3").cast("int") > 5, c.issue("large", "error"))
+    own = c.issue_if(F.when(d < 0, F.raise_error(F.lit("never"))).cast("boolean"), c.issue("odd", "error"))
+    ran = c.run_checks(t.texts, {"many": many, "number": number, "own": own})
+    return c.issue_rows(ran, "doc_id").select("doc_id", "severity", "code")
+
+
+JUDGED = """select response_id, n, case when n % 6 = 5 then 'ValueError: odd request' end error, case when n % 6 in (4, 5) then null else completion_tokens % 3 <> 0 end passed,
+         cast(completion_tokens as varchar) tokens from fx_responses where error is null"""
+
+
+def fussy(limit: int):
+    """A validator that has no verdict on some requests and fails on others."""
+    def validate(response: dict, request: dict) -> dict:
+        if request["n"] % 6 == 5:
+            raise ValueError("odd request")
+        said = {"tokens": response["completion_tokens"], "note": None}
+        return said if request["n"] % 6 == 4 else said | {"passed": response["completion_tokens"] % limit != 0}
+    return validate
+
+
+@query("u6_validate", f"select response_id, cast(1 as int) as version, passed, error, case when error is null then tokens end tokens from ({JUDGED})")
+def _(t):
+    judged = c.validate_responses(t.responses.select("response_id", "request_id", "error", "completion_tokens"), t.requests, fussy(3), 1)
+    return judged.select("response_id", "version", "passed", "error", F.try_element_at("details", F.lit("tokens")).alias("tokens"))
+
+
+@query("u6_revalidate", f"select response_id, cast(case when n % 4 = 0 then 2 else 3 end as int) as version, case when n % 4 = 0 then true else passed end passed from ({JUDGED})")
+def _(t):
+    # old verdicts of two versions; the third validator judges what the second has not
+    responses = t.responses.select("response_id", "request_id", "error", "completion_tokens")
+    good = responses.where("error is null").join(t.requests.select("request_id", "n"), "request_id")
+    old = lambda rows, version: rows.select("response_id", F.lit(version).alias("version"), F.lit(True).alias("passed"), F.lit(None).cast("string").alias("error"),
+                                            F.create_map().cast("map<string,string>").alias("details"))
+    stored = old(good, 1).unionByName(old(good.where("n % 4 = 0"), 2))
+    new = c.revalidate(stored, responses, t.requests, fussy(3), 2).withColumn("version", F.lit(3))
+    return c.current_validations(stored.unionByName(new)).select("response_id", "version", "passed")
+
+
 @query("v22_verdict", f"""select r.n, count(*) filter (severity = 'error') = 0 passed, cast(count(*) filter (severity = 'error') as int) n_errors,
        cast(count(*) filter (severity = 'warning') as int) n_warnings from fx_restated r left join ({SPREAD}) s on r.n = s.n group by 1""")
 def _(t):

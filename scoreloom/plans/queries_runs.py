@@ -64,6 +64,17 @@ def _(t):
     return runs.failed_attempt_history(t.responses.select("request_id", "response_id", "attempt", "error"))
 
 
+@query("r6_history_with_gaps", """
+       select request_id, response_id, attempt, cast(row_number() over (partition by request_id order by attempt) - 1 as int) history_index
+       from (select r.*, coalesce(max(case when error is null then attempt end) over (partition by request_id), min(attempt) over (partition by request_id)) kept
+             from (select request_id, response_id, attempt * attempt + n % 5 attempt, error from fx_responses where (n + attempt) % 4 <> 0) r) where attempt <> kept""")
+def _(t):
+    # some attempts are not at hand, and the others' numbers lie apart
+    n, k = F.col("n"), F.col("attempt")
+    some = t.responses.where((n + k) % 4 != 0).select("request_id", "response_id", (k * k + n % 5).alias("attempt"), "error")
+    return runs.failed_attempt_history(some).select("request_id", "response_id", "attempt", "history_index")
+
+
 @query("r7_load_subjects", f"""
        select r.request_id, r.response_id, q.run_id, coalesce(r.model, q.model) as model, p.template, p.input_id, x.n_chars, v.passed
        from ({FINAL}) r join fx_requests q on r.request_id = q.request_id join fx_prompts p on q.prompt_id = p.prompt_id

@@ -10,6 +10,7 @@ from scoreloom.plans.fixtures import SQL_VIEWS
 from scoreloom.plans.registry import query
 from scoreloom.sources import batches as ba
 from scoreloom.sources import tables as tb
+from scoreloom.sources.folders import new_folder
 from scoreloom.streaming import live
 
 
@@ -180,16 +181,26 @@ def _(t):
             .unionByName(errors.select("custom_id", F.lit(None).cast("double").alias("first"), "error")))
 
 
-@query("s16_write_requests", "select request_id, model, text, len from (select conv_id || '-' || turn request_id, role as model, text, length(text) len from conversations)")
+@query("s16_write_requests", "select conv_id || '-' || turn request_id, role as model, text, length(text) len from conversations union all select conv_id || '-' || turn || '+', role, text, length(text) from conversations where turn = 0")
 def _(t):
-    # the stored form of a request, and back
-    record = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("model"), sa.messages(F.col("text")).alias("messages"))
-    stored = record.select(F.to_json(F.struct(*record.columns)).alias("value"))
-    back = stored.select(F.from_json("value", "request_id string, model string, messages array<struct<role:string,content:string>>").alias("r")).select("r.*")
+    # requests as JSON lines, more of them appended, and all read back
+    record = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("model"), sa.messages(F.col("text")).alias("messages"), "turn")
+    place = new_folder(t.spark, "requests")
+    tb.write_records(record.drop("turn"), place)
+    tb.write_records(record.where("turn = 0").withColumn("request_id", F.concat("request_id", F.lit("+"))).drop("turn"), place, append_mode=True)
+    back = tb.read_records(t.spark, place, record.drop("turn").schema)
     text = F.col("messages")[0]["content"]
     return back.select("request_id", "model", text.alias("text"), F.length(text).cast("long").alias("len"))
 
 
+@query("s16_write_responses", "select response_id, request_id, attempt, model, error, completion_tokens, received_at from fx_responses")
+def _(t):
+    rows = t.responses.select("response_id", "request_id", "attempt", "model", "error", "completion_tokens", "received_at")
+    place = new_folder(t.spark, "responses")
+    tb.write_records(rows, place)
+    return tb.read_records(t.spark, place, rows.schema)
+
+
 @query("s18_long_input_items", """select m, 'Outcome' as label, concat('value_', m % 6) as value from fx_inputs union all select m, 'Origin', '{"n":' || m || '}' from fx_inputs union all
        select m, 'question', 'why' from fx_inputs union all select m, 'weights', '[1,2]' from fx_inputs""")
 def _(t):

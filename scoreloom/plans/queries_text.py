@@ -39,7 +39,7 @@ def _(t):
 
 def letter_spans():
     """A tokenizer of another kind: runs of letters."""
-    @F.pandas_udf(w.SPANS)
+    @F.pandas_udf("token array<string>, start array<int>, end array<int>")
     def spans(texts: pd.Series) -> pd.DataFrame:
         found = [list(re.finditer("[a-z]+", t)) for t in texts]
         return pd.DataFrame({"token": [[m.group() for m in ms] for ms in found], "start": [[m.start() for m in ms] for ms in found],
@@ -83,11 +83,8 @@ def _(t):
 
 @query("x4_window_chars", "select doc_id, cast(count(*) as int) n_windows, cast(max(chars) as int) longest from fx_char_windows where size = 80 group by 1")
 def _(t):
-    p = F.col("p")
-    texts = F.col("windows")
-    return (t.texts.select("doc_id", w.pieces(F.col("text")).alias("p")).where(F.size("p") > 0)
-            .select("doc_id", w.char_window_texts(p, 80).alias("windows"))
-            .select("doc_id", F.size(texts).alias("n_windows"), F.array_max(F.transform(texts, lambda x: F.length(x))).alias("longest")))
+    windows = w.multi_scale(t.texts, "doc_id", "text", char_limits=[80])
+    return windows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_windows"), F.max(F.length("text")).alias("longest"))
 
 
 @query("x6_multi_scale", """select doc_id, scale, count(*) n_windows, cast(sum(length(t)) as bigint) chars from (
@@ -150,6 +147,16 @@ def _(t):
             .agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("embedding")[0]).alias("chars"), F.sum(F.col("embedding")[1]).alias("n_words")))
 
 
+@query("u4_splitter", r"""select doc_id, len(ls) n_chunks, cast(coalesce(list_sum(list_transform(ls, lambda l: length(l))), 0) as double) chars, ls[1] as first_chunk, length(ls[1])::double as first_chars
+       from (select doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ ]')) ls from documents)""")
+def _(t):
+    # lines instead of sentences
+    by_line = lambda text: F.filter(F.split(text, "\n"), lambda l: l.rlike("[^ ]"))
+    d = w.embed_documents(t.texts, "doc_id", "text", count_model, by_line)
+    return d.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.aggregate("embeddings", F.lit(0.0), lambda a, v: a + v[0]).alias("chars"),
+                    F.try_element_at("chunks", F.lit(1)).alias("first_chunk"), F.try_element_at("embeddings", F.lit(1))[0].alias("first_chars"))
+
+
 @query("x13_clusters_to_mentions", """select doc_id, cluster, cast(i as int) mention_index, substr(text, a + 1, 4) mention, cast(a + shift as int) start,
        cast(a + shift + length(substr(text, a + 1, 4)) as int) "end", substr(text, a + shift + 1, length(substr(text, a + 1, 4))) = substr(text, a + 1, 4) in_place from (
        select doc_id, text, 'c1' cluster, 0 i, 0 a, 0 shift from documents union all

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import vectors as v
+from scoreloom.functions.values import fence
 from scoreloom.operators import hidden_states as h
 from scoreloom.operators import trajectories as tr
 from scoreloom.operators import vector_sets as vs
 from scoreloom.operators.skew import with_neighbours
 from scoreloom.plans.fixtures import SQL_VIEWS
 from scoreloom.plans.registry import query
+from scoreloom.sources.folders import new_folder
 
 DIM = 64
 SQL_VIEWS["fx_vec"] = "select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings"
@@ -116,9 +118,26 @@ def _(t):
     return volumes.where("volume >= 0 and log_volume > -1e6").select("label", "n")
 
 
-@query("d8_log_volume")
+def volumes_sql(vectors: str) -> str:
+    """The same by elimination: half the logarithm of the determinant of the smaller matrix of products, less ln (n - 1)!."""
+    return f"""with recursive x as (select label, vec_id, {vectors} v from fx_vec), o as (select label, arg_min(v, vec_id) o, count(*) n, len(any_value(v)) d from x group by 1),
+         a as materialized (select x.label, vec_id, n, d, list_transform(range(1, d + 1), lambda i: v[i] - o[i]) v, row_number() over (partition by x.label order by vec_id) - 1 k from x join o on x.label = o.label),
+         small as (select p.label, p.k i, list(list_inner_product(p.v, q.v) order by q.k) as row from a p join a q on p.label = q.label where p.n - 1 <= p.d and p.k > 0 and q.k > 0 group by 1, 2),
+         wide as (select label, i, list(s order by j) as row from (select label, i, j, sum(v[i] * v[j]) s from a, range(1, 65) r(i), range(1, 65) c(j) where n - 1 > d and i <= d and j <= d group by 1, 2, 3) group by 1, 2),
+         m as (select label, list(row order by i) as m, cast(0 as double) as logdet from (select * from small union all select * from wide) group by 1),
+         e as (select * from m union all select label, list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda j: r[j] - r[1] / m[1][1] * m[1][j])), logdet + ln(m[1][1]) from e where len(m) > 0)
+       select e.label, n, round(logdet / 2 - lgamma(n), 6) log_volume from e join o on e.label = o.label where len(m) = 0"""
+
+
+@query("d8_log_volume", volumes_sql("v"))
+def _(t):
+    return vs.semantic_volume(t.embeddings, "label", "vec_id", "embedding").select("label", "n", F.round("log_volume", 6).alias("log_volume"))
+
+
+@query("d8_more_vectors_than_dimensions", volumes_sql("v[1:8]"))
 def _(t):
-    return vs.semantic_volume(t.embeddings, "label", "vec_id", "embedding").withColumn("log_volume", F.round("log_volume", 6))
+    short = t.embeddings.withColumn("embedding", F.slice("embedding", 1, 8))
+    return vs.semantic_volume(short, "label", "vec_id", "embedding").select("label", "n", F.round("log_volume", 6).alias("log_volume"))
 
 
 @query("d8_triangle_areas", """select concat(label, '-', idx // 3) triple, cast(3 as bigint) n, round(ln(sqrt(aa * bb - ab * ab) / 2), 6) log_volume from (
@@ -176,14 +195,16 @@ def _(t):
          select vec_id, list_transform(v, lambda c: c / sqrt(list_inner_product(v, v))) x, unnest(range(1, 64)) k from fx_vec))""")
 def _(t):
     x = v.normalize(F.col("embedding"))
-    return t.embeddings.select("vec_id", F.posexplode(v.to_spherical(x)).alias("k", "angle")).select("vec_id", "k", F.round("angle", 6).alias("angle"))
+    angles = fence(fence(t.embeddings.select("vec_id", x.alias("x")), ["x"]).select("vec_id", v.to_spherical(F.col("x")).alias("angles")), ["angles"])
+    return angles.select("vec_id", F.posexplode("angles").alias("k", "angle")).select("vec_id", "k", F.round("angle", 6).alias("angle"))
 
 
 @query("d15_from_spherical", f"select vec_id, {show('u')} from (select vec_id, list_transform(v, lambda c: c / sqrt(list_inner_product(v, v))) u from fx_vec)")
 def _(t):
     # there and back again
-    d = t.embeddings.select("vec_id", v.to_spherical(v.normalize(F.col("embedding"))).alias("angles"))
-    return d.select("vec_id", v.from_spherical(F.col("angles")).alias("u")).select("vec_id", *shown(F.col("u")))
+    unit = fence(t.embeddings.select("vec_id", v.normalize(F.col("embedding")).alias("x")), ["x"])
+    d = fence(unit.select("vec_id", v.to_spherical(F.col("x")).alias("angles")), ["angles"])
+    return fence(d.select("vec_id", v.from_spherical(F.col("angles")).alias("u")), ["u"]).select("vec_id", *shown(F.col("u")))
 
 
 @query("d16_tangent_basis", "select vec_id, cast(63 as int) n_vectors, true orthonormal, true tangent from embeddings")
@@ -224,9 +245,11 @@ def _(t):
 def _(t):
     # against a forward difference along the same rates
     eps = 1e-6
-    d = neighbours(t).where("p is not null").select("vec_id", v.to_spherical(v.normalize(F.col("embedding"))).alias("angles"), F.slice("p", 1, DIM - 1).alias("rates"))
-    ahead = v.from_spherical(F.zip_with("angles", "rates", lambda a, w: a + eps * w))
-    d = d.withColumns({"exact": v.angular_to_tangent(F.col("angles"), F.col("rates")), "here": v.from_spherical(F.col("angles")), "ahead": ahead})
+    unit = fence(neighbours(t).where("p is not null").select("vec_id", v.normalize(F.col("embedding")).alias("x"), F.slice("p", 1, DIM - 1).alias("rates")), ["x", "rates"])
+    d = fence(unit.select("vec_id", "rates", v.to_spherical(F.col("x")).alias("angles")), ["angles"])
+    d = d.withColumn("later", F.zip_with("angles", "rates", lambda a, w: a + eps * w))
+    d = fence(fence(d, ["later"]).withColumns({"exact": v.angular_to_tangent(F.col("angles"), F.col("rates")), "here": v.from_spherical(F.col("angles")), "ahead": v.from_spherical(F.col("later"))}),
+              ["exact", "here", "ahead"])
     approx = F.transform(v.subtract(F.col("ahead"), F.col("here")), lambda x: x / eps)
     return d.select("vec_id", (v.chord(F.col("exact"), v.tangent(F.col("here"), approx)) < 1e-4).alias("close"))
 
@@ -295,6 +318,16 @@ def _(t):
     return table.groupBy("t_index").agg(F.count(F.lit(1)).alias("n_particles"), F.round(F.max("time"), 6).alias("time"))
 
 
+@query("j8_stack", "select vec_id, cast(label as int) seq_id, cast(idx as int) t_index, idx * 25e-2 as time, len(v) as dims from fx_seq")
+def _(t):
+    # a folder for each step, as a simulation leaves them
+    place = new_folder(t.spark, "states")
+    rows = t.steps.select("vec_id", "seq_id", "embedding", F.col("idx").alias("step"))
+    rows.repartition("step").write.partitionBy("step").parquet(place)
+    stacked = tr.stack_states(t.spark, place, rows.drop("step").schema, 0.25)
+    return stacked.select("vec_id", "seq_id", "t_index", "time", F.size("embedding").cast("long").alias("dims"))
+
+
 @query("j8_state_at", "select cast(label as int) seq_id, vec_id from fx_seq where idx = 7")
 def _(t):
     return tr.state_at(t.steps.withColumnRenamed("idx", "t_index"), 7).select("seq_id", "vec_id")

@@ -243,13 +243,16 @@ def input_items(inputs: DataFrame, key: str, payload: str, entries: Sequence[str
     return (outer.select(key, F.explode(F.coalesce(inner, single)).alias("label", "v")).select(key, "label", as_text(F.col("v")).alias("value")))
 
 
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_records(df: DataFrame, path: str, append_mode: bool = False) -> None:
-    """Requests or responses as JSON lines."""
-    df.write.mode("append" if append_mode else "error").json(path)
+    """Requests or responses as JSON lines, times to the microsecond."""
+    df.write.mode("append" if append_mode else "error").options(**TIMES).json(path)
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**TIMES).json(path)
 
 
 def export_evaluations(facts: DataFrame, path: str, kind: str = "parquet") -> None:
