@@ -112,6 +112,44 @@ def hash_block(*cols: Column | str, blocks: Column | int) -> Column:
     return F.pmod(F.xxhash64(*cols), n).cast("long")
 
 
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, ranks: Column, levels: int = 4, cells: int = 4096) -> DataFrame:
+    """``group, n, rank, value``: the values at the wanted ranks (0-based, an array computed from the column ``n``) of each group, exactly.
+
+    Equal values are one counter from the start.  Each level cuts the stretch of values that holds a wanted rank into ``cells`` cells of
+    equal width and keeps only those that still hold one, for all ranks and groups at once; after four levels of 4,096 a cell holds a
+    handful of neighbouring doubles, and only these are ordered.  No window holds more than the cells of a stretch.  Null values have no rank.
+    """
+    group = list(group)
+    g = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
+    renamed = lambda rows, *more: rows.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], *more)
+    values = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = values.groupBy(*group).agg(F.sum("__c").cast("long").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    wanted = sizes.select(*group, "n", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.explode(F.array_distinct(ranks.cast("array<bigint>"))).alias("rank"))
+    wanted = wanted.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
+    for _ in range(levels):
+        # different stretches only: ranks that lie in one share its counters
+        stretches = renamed(wanted.select(*group, "__lo", "__hi", "__before").distinct(), "__lo", "__hi", "__before")
+        near = values.join(stretches, [*g, F.col("__v").between(F.col("__lo"), F.col("__hi"))] if g else F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        width = F.col("__hi") - F.col("__lo")
+        cell = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * cells), F.lit(cells - 1))).otherwise(0)
+        keys = [*[f"__g{i}" for i in range(len(group))], "__lo", "__hi", "__before"]
+        counted = near.withColumn("__cell", cell.cast("long")).groupBy(*keys, "__cell").agg(F.sum("__c").alias("__n"), F.min("__v").alias("__first"), F.max("__v").alias("__last"))
+        upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+        placed = placed.select(*[c for c in keys if c.startswith("__g")], F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), "__first", "__last", "__start", "__n")
+        inside = (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h")) & (F.col("rank") >= F.col("__start")) & (F.col("rank") < F.col("__start") + F.col("__n"))
+        held = wanted.join(placed, [*g, inside] if g else inside)
+        wanted = held.select(*group, "n", F.col("__first").alias("__lo"), F.col("__last").alias("__hi"), F.col("__start").alias("__before"), "rank")
+    ends = renamed(wanted.select(*group, "__lo", "__hi", "__before").distinct(), "__lo", "__hi", "__before")
+    last = values.join(ends, [*g, F.col("__v").between(F.col("__lo"), F.col("__hi"))] if g else F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    keys = [*[f"__g{i}" for i in range(len(group))], "__lo", "__hi", "__before"]
+    along = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = last.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__c").over(along), F.lit(0))).select(
+        *[c for c in keys if c.startswith("__g")], F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), F.col("__v").alias("value"), "__start", "__c")
+    inside = (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h")) & (F.col("rank") >= F.col("__start")) & (F.col("rank") < F.col("__start") + F.col("__c"))
+    return wanted.join(ordered, [*g, inside] if g else inside).select(*group, "n", "rank", "value")
+
+
 def lower_median(df: DataFrame, group: Sequence[str], value: str, name: str = "median", per_octave: int = 4096) -> DataFrame:
     """The lower middle of the values (at least 0) of each group, exactly.
 

@@ -94,6 +94,24 @@ def _(t):
     return t.requests.select("n", F.explode(F.concat(problems, entries)).alias("p")).select("n", "p.*")
 
 
+@query("g7_personas", """
+       select c_custkey k, case when c_custkey % 9 in (5, 8) then null else concat('per_', c_custkey) end persona_id,
+         case c_custkey % 9 when 4 then 'not the stored record' when 5 then 'no such persona' when 8 then 'not an id, number, name or record'
+           else case when c_mktsegment = 'BUILDING' then 'not one of the selected personas' end end problem from customer""")
+def _(t):
+    # by id, number, number as text, full name, record, record changed, unknown record, record in another order, and a list
+    k = F.col("persona_number")
+    people = t.personas.withColumn("record", F.parse_json(F.to_json(F.struct(F.col("persona_id").alias("id"), "name", F.struct("segment", "nation").alias("home")))))
+    record = F.to_json(F.struct(F.col("persona_id").alias("id"), "name", F.struct("segment", "nation").alias("home")))
+    turned = F.to_json(F.struct(F.struct("nation", "segment").alias("home"), "name", F.col("persona_id").alias("id")))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    said = (F.when(k % 9 == 0, quoted(F.col("persona_id"))).when(k % 9 == 1, k.cast("string")).when(k % 9 == 2, quoted(k.cast("string"))).when(k % 9 == 3, quoted(F.upper("name")))
+            .when(k % 9 == 4, F.replace(record, F.lit('"nation":"'), F.lit('"nation":"New '))).when(k % 9 == 5, F.replace(record, F.lit('"id":"'), F.lit('"id":"x'))).when(k % 9 == 6, record)
+            .when(k % 9 == 7, turned).otherwise("[1]"))
+    given = t.personas.select(F.col("persona_number").cast("long").alias("k"), F.parse_json(said).alias("given"))
+    return sa.check_given_personas(given, people, "k", "given", F.col("segment") != "BUILDING")
+
+
 @query("g8_base_state", "select o_orderkey, o_orderpriority base, o_orderkey % 2 = 0 turned from orders")
 def _(t):
     state = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, NEG).otherwise(""))
