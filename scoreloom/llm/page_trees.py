@@ -24,9 +24,13 @@ SCOPE = frozenset("html table td th caption button object".split())
 NEVER = frozenset("head script style noscript template iframe object svg canvas audio video button select input textarea nav aside footer dialog menu form search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 MARKS = frozenset("""ad ads adv advert advertisement advertising adverts banner billboard breadcrumb breadcrumbs captcha comment commentlist comments consent cookie cookies copyright
-disclaimer discussion disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination
+disclaimer disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination
 paywall popup privacy promo promotion promoted recommended register related replies respond responses search share sharing shares sidebar sidebars signup skyscraper social sponsor sponsored
-subscribe subscription tagcloud tags teaser teasers toc toolbar topbar widget widgets""".split())
+subscribe subscription tagcloud tags toc toolbar topbar widget widgets""".split())
+#: Words of names that tell the article and its parts.
+OF_ARTICLE = frozenset("article entry post story articlebody".split())
+#: First words of names that tell what a page has or is about.
+ABOUT = frozenset("has with no is without category tag type status format single postid author".split())
 #: First words of headings that open what readers wrote.
 COMMENT_HEADINGS = re.compile(r"(?i)\s*(?:\d+\s+)?(?:reader |leave a |post a |user )?(?:comments?|commentaires?|kommentare?|comentarios?|reply|replies)\b[\s:(\d)]*$")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -49,10 +53,10 @@ class Node:
 
 
 def words_of_mark(value: str) -> list[list[str]]:
-    """Words of each name in a class or id attribute; names that only tell that something is there have none."""
+    """Words of each name in a class or id attribute; names that only tell that something is there, or what it is about, have none."""
     names = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name) for name in value.split()]
     split = [[w for w in re.split(r"[^a-z0-9]+", name.lower()) if w] for name in names]
-    return [words for words in split if words and words[0] not in ("has", "with", "no", "is", "without")]
+    return [words for words in split if words and words[0] not in ABOUT]
 
 
 def judged(tag: str, attributes: str) -> tuple[str, bool]:
@@ -179,13 +183,16 @@ def page_tree(source: str) -> Node:
 def settle(node: Node, inside: bool) -> bool:
     """Settle doubtful marks; True where the subtree holds the element of an article or its main heading."""
     heart = node.tag in ("article", "main", "h1")
-    inside = inside or node.tag in ("article", "main")
+    words = set(re.split(r"[.\-]", node.symbol)[1:])
+    marks = words & MARKS
+    inside = inside or node.tag in ("article", "main") or bool(words & OF_ARTICLE) and not marks - {"header"}
     below = [settle(kid, inside) for kid in node.kids]
-    if node.tag == "header":
+    if node.tag == "header" or node.out and marks == {"header"}:
+        # an article's own header holds its heading
         node.out = not inside and not any(n.tag in ("article", "main") for n in node.walk())
     elif node.out and node.tag in ("form", "div", "section", "table", "td") and any(n.tag in ("article", "main") and not n.out for kid in node.kids for n in kid.walk()):
         node.out = False  # a name or form around the whole page
-    elif node.tag in ("article", "main") and not any(w in MARKS - {"header", "tags", "promoted"} for w in re.split(r"[.\-]", node.symbol)):
+    elif node.tag in ("article", "main") and not marks - {"header", "tags", "promoted", "legal", "search", "social"}:
         node.out = False
     elif node.tag in ("div", "section", "article") and not node.out:
         heading = next((n for n in node.kids if n.tag in HEADINGS), None)
