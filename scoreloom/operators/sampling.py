@@ -149,13 +149,13 @@ def check_steps(given: Column, names: Sequence[str], states: Sequence[str], fixe
     mine = F.filter(given, lambda g: g["step"].isin(list(names)))
     known = lambda g: F.coalesce(base_state(g["state"], suffix).isin(list(states)), F.lit(False))
     off = lambda g: F.coalesce(lookup(fixed, g["step"]) != g["state"], F.lit(False)) if fixed else F.lit(False)
-    alien = F.transform(F.filter(mine, lambda g: ~known(g)), lambda g: note(g["step"], "not one of the states"))
+    alien = F.transform(F.filter(mine, lambda g: ~known(g)), lambda g: note(g["step"], "unknown state"))
     moved = F.transform(F.filter(mine, lambda g: known(g) & off(g)), lambda g: note(g["step"], "not the fixed state"))
     parts = [missing, stray, alien, moved]
     if not replacement:
         good = F.transform(F.filter(mine, lambda g: known(g) & ~off(g)), lambda g: base_state(g["state"], suffix))
         parts.append(let(good, lambda b: F.transform(
-            F.array_sort(F.array_distinct(F.filter(b, lambda s: F.size(F.filter(b, lambda o: o == s)) > 1))), lambda s: note(s, "appears more than once"))))
+            F.array_sort(F.array_distinct(F.filter(b, lambda s: F.size(F.filter(b, lambda o: o == s)) > 1))), lambda s: note(s, "used again"))))
     return F.concat(*parts).cast(PROBLEM)
 
 
@@ -166,8 +166,8 @@ def check_entries(given: Column, literals: Mapping[str, str], choices: Mapping[s
     stray = F.transform(F.array_sort(F.array_except(F.map_keys(given), _literals(names))), lambda k: note(k, "not an entry"))
     required = [n for n in names if n not in literals]
     missing = F.transform(F.array_except(_literals(required), F.map_keys(given)), lambda k: note(k, "missing"))
-    wrong = [F.when(F.try_element_at(given, F.lit(n)) != v, F.array(note(F.lit(n), "not the entry's only value"))) for n, v in literals.items()]
-    wrong += [F.when(~F.try_element_at(given, F.lit(n)).isin(list(v)), F.array(note(F.lit(n), "not one of the candidates"))) for n, v in choices.items()]
+    wrong = [F.when(F.try_element_at(given, F.lit(n)) != v, F.array(note(F.lit(n), "differs from the fixed value"))) for n, v in literals.items()]
+    wrong += [F.when(~F.try_element_at(given, F.lit(n)).isin(list(v)), F.array(note(F.lit(n), "cannot be drawn"))) for n, v in choices.items()]
     return F.concat(stray, missing, *[F.coalesce(w, F.array().cast(PROBLEM)) for w in wrong]).cast(PROBLEM)
 
 

@@ -74,11 +74,7 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
         x, y = np.stack(a[vector].to_numpy()).astype(float), np.stack(b["__v"].to_numpy()).astype(float)
         gram = x @ y.T
         if metric == "chord":
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * gram, 0.0))
-            # the short form loses digits between close vectors: those are measured directly
-            near = np.argwhere(d < 1e-3)
-            for some in np.array_split(near, 1 + len(near) // block_rows):
-                d[some[:, 0], some[:, 1]] = np.linalg.norm(x[some[:, 0]] - y[some[:, 1]], axis=1)
+            d = chords(x, y)
         elif metric == "arc":
             d = np.arccos(np.clip(gram, -1.0, 1.0))
         elif metric == "dot":
@@ -98,6 +94,70 @@ def distance_summary(left: DataFrame, right: DataFrame, group: str, key: str, ve
                                                          (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most")))
 
 
+def chords(x: np.ndarray, y: np.ndarray, block: int = 2048) -> np.ndarray:
+    """All distances of two small sets of vectors."""
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0.0))
+    # the short form loses digits between close vectors: those are measured directly
+    near = np.argwhere(d < 1e-3)
+    for some in np.array_split(near, 1 + len(near) // block):
+        d[some[:, 0], some[:, 1]] = np.linalg.norm(x[some[:, 0]] - y[some[:, 1]], axis=1)
+    return d
+
+
+def nearest_distances(left: DataFrame, right: DataFrame, group: str, key: str, vector: str, pivots: int = 64, block_rows: int = BLOCK_ROWS, skip_self: bool = False) -> DataFrame:
+    """``group, key, least``: the distance of every left vector to the nearest right vector of its group, exactly.
+
+    Right vectors lie in cells around ``pivots`` sampled vectors; a cell knows its radius.  A left vector is first compared with the cell of its
+    own pivot, which bounds its distance.  By the triangle inequality a cell whose pivot is farther than that and the radius together holds
+    nothing nearer, so a vector travels only to the cells that are left: few, where vectors lie in clusters.  Cells and their visitors are cut into
+    blocks, and each pair of blocks meets in one task.  Left vectors of a group without right ones give no row.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    some = right.where(F.col(vector).isNotNull()).select(key, vector).orderBy(F.xxhash64(key), key).limit(pivots).collect()
+    if not some:
+        return left.select(group, key, F.lit(None).cast("double").alias("least")).limit(0)
+    points = np.array([list(r[vector]) for r in some], float)
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                far = chords(np.stack(frame[vector].to_numpy()).astype(float), points)
+                yield pd.DataFrame({"g": frame[group], "k": frame[key], "v": frame[vector], "cell": far.argmin(axis=1).astype(np.int32), "far": list(far)})
+
+    schema = f"g {kinds[group]}, k {kinds[key]}, v array<double>, cell int, far array<double>"
+    cells = lambda df: df.where(F.col(vector).isNotNull()).select(group, key, F.col(vector).cast("array<double>").alias(vector)).mapInPandas(placed, schema)
+    l, r = cells(left), cells(right)
+    radii = (r.groupBy("g", "cell").agg(F.max(F.element_at("far", F.col("cell") + 1)).alias("radius")).groupBy("g")
+             .agg(F.collect_list(F.struct("cell", "radius")).alias("cells")))  # at most one entry a pivot
+
+    def visit(visitors: DataFrame) -> DataFrame:
+        """Least distance of visitors (g, k, v, cell) to the members of the cell."""
+        parts = lambda df, name: df.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+        sizes = parts(r, "rn").join(parts(visitors, "ln"), ["g", "cell"])
+        home = lambda of: F.pmod(F.xxhash64("k"), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        a = visitors.join(sizes, ["g", "cell"]).withColumn("lb", home("ln")).withColumn("rb", every("rn")).select("g", "cell", "lb", "rb", "k", "v")
+        b = r.join(sizes, ["g", "cell"]).withColumn("rb", home("rn")).withColumn("lb", every("ln")).select(
+            *[F.col(c).alias(f"r_{c}") for c in ("g", "cell", "lb", "rb", "k", "v")])
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"g": [], "k": [], "least": []})
+            d = chords(np.stack(x["v"].to_numpy()), np.stack(y["r_v"].to_numpy()))
+            if skip_self:
+                d[x["k"].to_numpy()[:, None] == y["r_k"].to_numpy()[None, :]] = np.inf
+            return pd.DataFrame({"g": x["g"].to_numpy(), "k": x["k"].to_numpy(), "least": d.min(axis=1)})
+
+        met = a.groupBy("g", "cell", "lb", "rb").cogroup(b.groupBy("r_g", "r_cell", "r_lb", "r_rb")).applyInPandas(meet, f"g {kinds[group]}, k {kinds[key]}, least double")
+        return met.where("least < double('infinity')").groupBy("g", "k").agg(F.min("least").alias("least"))
+
+    at_home = visit(l.select("g", "k", "v", "cell"))
+    known = l.join(at_home.withColumnRenamed("least", "bound"), ["g", "k"], "left").join(radii, "g")
+    within = F.filter("cells", lambda c: (c["cell"] != F.col("cell")) & (F.element_at("far", c["cell"] + 1) - c["radius"] <= F.coalesce("bound", F.lit(float("inf"))) + 1e-9))
+    farther = visit(known.select("g", "k", "v", F.explode(F.transform(within, lambda c: c["cell"])).alias("cell")))
+    return at_home.unionByName(farther).groupBy("g", "k").agg(F.min("least").alias("least")).select(F.col("g").alias(group), F.col("k").alias(key), "least")
+
+
 def cross_moments(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
     """Sum over each group of v v^T, as rows (group, i, j, value).
 

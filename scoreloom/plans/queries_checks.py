@@ -337,6 +337,17 @@ def _(t):
             .select("doc_id", "r.check", "r.passed", F.try_element_at("r.details", F.lit("fact")).alias("fact")))
 
 
+@query("v22_labelled", """
+       select n, 'Topic' as label, v1 as expected, v1 as found, 'line' as mode from fx_restated union all select n, 'Outcome', v3, v3, 'line' from fx_restated union all
+       select n, 'Main Cause/Origin', v2, case flaw when 1 then null when 2 then other when 3 then flipped when 5 then null when 6 then null else v2 end,
+         case when flaw in (1, 5) then null when flaw = 4 then 'inline' else 'line' end from fx_restated""")
+def _(t):
+    # what the labelled-value check expected and read, and how
+    report = ex.labeled_report(F.col("text"), F.col("expected"), LABELS, VALUES, check_order=True, unlabeled="warning")
+    facts = fence(restated(t).select("n", report["facts"].alias("facts")), ["facts"])
+    return facts.select("n", F.explode("facts").alias("f")).select("n", "f.label", "f.expected", "f.found", "f.mode")
+
+
 @query("v23_issue_rows", f"select n, \"check\", code, severity, label from ({SPREAD})")
 def _(t):
     return c.issue_rows(checked(t), "n").select("n", "check", "code", "severity", "label")

@@ -75,11 +75,11 @@ def _(t):
 @query("g7_check_given", """
        select n, place, problem from (
          select n, 'future' place, 'no state' problem from fx_requests where n % 6 = 1 union all select n, 'never', 'not a step' from fx_requests where n % 6 = 2 union all
-         select n, 'past', 'not one of the states' from fx_requests where n % 6 = 3 union all select n, 'present', 'not the fixed state' from fx_requests where n % 6 = 4 union all
-         select n, 'elm', 'appears more than once' from fx_requests where n % 6 = 5 union all
+         select n, 'past', 'unknown state' from fx_requests where n % 6 = 3 union all select n, 'present', 'not the fixed state' from fx_requests where n % 6 = 4 union all
+         select n, 'elm', 'used again' from fx_requests where n % 6 = 5 union all
          select n, 'colour', 'not an entry' from fx_requests where n % 4 = 1 union all select n, 'mood', 'missing' from fx_requests where n % 4 = 2 union all
-         select n, 'mood', 'not one of the candidates' from fx_requests where n % 4 = 3 union all
-         select n, 'tone', 'not the entry''s only value' from fx_requests where n % 5 = 0)""")
+         select n, 'mood', 'cannot be drawn' from fx_requests where n % 4 = 3 union all
+         select n, 'tone', 'differs from the fixed value' from fx_requests where n % 5 = 0)""")
 def _(t):
     n = F.col("n")
     at = lambda step, state: F.struct(F.lit(step).alias("step"), (F.lit(state) if isinstance(state, str) else state).alias("state"))

@@ -151,6 +151,12 @@ def _(t):
     return volumes.select("triple", "n", F.round("log_volume", 6).alias("log_volume"))
 
 
+@query("d9_nearest_source", """select g.label, g.vec_id, round(min(list_distance(g.v, s.v)), 6) least from fx_vec g join fx_vec s on g.label = s.label and g.vec_id <> s.vec_id where g.vec_id % 3 = 0 group by 1, 2""")
+def _(t):
+    near = vs.nearest_distances(t.embeddings.where("vec_id % 3 = 0"), t.embeddings, "label", "vec_id", "embedding", skip_self=True)
+    return near.select("label", "vec_id", F.round("least", 6).alias("least"))
+
+
 @query("d9_min_mean_to_sources", """select g.vec_id, round(min(list_distance(g.v, s.v)), 6) least, round(avg(list_distance(g.v, s.v)), 6) mean from fx_vec g join fx_vec s
        on g.label = s.label where g.vec_id % 3 = 0 and s.vec_id % 3 <> 0 group by 1""")
 def _(t):

@@ -1,8 +1,4 @@
-"""The run tables: columns, keys and kinds.
-
-A column is written ``name type``, with ``!`` after the type where a value is required.  Nested JSON
-is VARIANT.
-"""
+"""The run tables: columns, keys and kinds.  Nested JSON is VARIANT."""
 
 from __future__ import annotations
 
@@ -10,8 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-KINDS = {"text": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "bool": T.BooleanType(),
-         "time": T.TimestampType(), "json": T.VariantType()}
+TEXT, INT, DOUBLE, BOOL, TIME, JSON = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType(), T.VariantType()
+
+
+def needed(name: str, kind: T.DataType, refers_to: str | None = None) -> T.StructField:
+    """A column that must have a value; ``refers_to`` names the table whose key it holds."""
+    return T.StructField(name, kind, False, {"references": refers_to} if refers_to else {})
+
+
+def optional(name: str, kind: T.DataType, refers_to: str | None = None) -> T.StructField:
+    return T.StructField(name, kind, True, {"references": refers_to} if refers_to else {})
 
 
 @dataclass(frozen=True)
@@ -19,75 +23,221 @@ class Table:
     name: str
     kind: str                                    # append | mutable | reference
     key: tuple[str, ...]
-    schema: T.StructType
-    references: tuple[tuple[str, str], ...]      # (column, table)
+    columns: tuple[T.StructField, ...]
 
     @property
-    def required(self) -> list[str]:
-        return [f.name for f in self.schema if not f.nullable]
+    def schema(self) -> T.StructType:
+        return T.StructType(list(self.columns))
 
+    @property
+    def references(self) -> tuple[tuple[str, str], ...]:
+        """(column, table)"""
+        return tuple((f.name, f.metadata["references"]) for f in self.columns if "references" in f.metadata)
 
-def _table(name: str, kind: str, key: str, columns: str, **references: str) -> Table:
-    fields = []
-    for column in columns.split(","):
-        column_name, column_type = column.split()
-        required = column_type.endswith("!")
-        target = references.get(column_name)
-        fields.append(T.StructField(column_name, KINDS[column_type.rstrip("!")], not required, {"references": target} if target else {}))
-    return Table(name, kind, tuple(key.split(",")), T.StructType(fields), tuple(references.items()))
+    @property
+    def required(self) -> list[str]:
+        return [f.name for f in self.columns if not f.nullable]
 
 
+# Names, types and keys of the stored tables.
 TABLES: dict[str, Table] = {t.name: t for t in [
-    _table("runs", "mutable", "run_id",
-           "run_id text!, name text, dataset text, task text!, mode text!, status text!, provider text, model text, config json!,"
-           "code_version text, code_dirty bool, schema_version int!, summary json, created_at time!, updated_at time!"),
-    _table("personas", "reference", "persona_id",
-           "persona_id text!, persona_set text!, persona_number int, name text, payload json!, content_sha256 text!"),
-    _table("inputs", "append", "input_id",
-           "input_id text!, run_id text!, input_index int!, input_type text!, payload json!, persona_id text, created_at time!",
-           run_id="runs", persona_id="personas"),
-    _table("input_items", "append", "input_id,item_index",
-           "input_id text!, run_id text!, item_index int!, label text!, value text!, entity text, qualifier text",
-           input_id="inputs", run_id="runs"),
-    _table("prompt_templates", "reference", "template_sha256",
-           "template_sha256 text!, template_id text!, name text!, version int!, system_template text, user_template text!,"
-           "required json!, optional json!, description text, changes text, based_on text, status text"),
-    _table("prompts", "append", "prompt_id",
-           "prompt_id text!, input_id text!, run_id text!, template text!, template_sha256 text, system text, user_text text!,"
-           "messages json!, prompt_sha256 text!, created_at time!",
-           input_id="inputs", run_id="runs", template_sha256="prompt_templates"),
-    _table("requests", "append", "request_id",
-           "request_id text!, prompt_id text!, run_id text!, provider text!, model text, params json!, extra_body json!,"
-           "mode text!, created_at time!", prompt_id="prompts", run_id="runs"),
-    _table("batches", "mutable", "batch_id",
-           "batch_id text!, run_id text!, provider text!, round int!, endpoint text, status text!, raw_status text,"
-           "n_requests int!, request_counts json, input_file text, collected bool!, created_at time!, updated_at time!", run_id="runs"),
-    _table("responses", "append", "response_id",
-           "response_id text!, request_id text!, run_id text!, attempt int!, batch_id text, model text, finish_reason text, error text,"
-           "prompt_tokens int, completion_tokens int, total_tokens int, cached_tokens int, received_at time!",
-           request_id="requests", run_id="runs", batch_id="batches"),
-    _table("response_texts", "append", "response_id", "response_id text!, run_id text!, text text, n_chars int",
-           response_id="responses", run_id="runs"),
-    _table("validations", "append", "response_id",
-           "response_id text!, run_id text!, validator text, passed bool, n_errors int, n_warnings int, validator_error text, details json",
-           response_id="responses", run_id="runs"),
-    _table("validation_issues", "append", "response_id,issue_index",
-           "response_id text!, run_id text!, issue_index int!, check_name text!, code text!, severity text!, label text, message text, data json",
-           response_id="responses", run_id="runs"),
-    _table("rubrics", "reference", "rubric_sha256",
-           "rubric_sha256 text!, rubric_id text!, name text!, version int!, title text, definition json!"),
-    _table("persona_expectations", "append", "response_id",
-           "response_id text!, run_id text!, persona_id text!, context json, situation_summary text, what_they_hoped_for text,"
-           "framing_preference text, must_haves json, sensitivities json", response_id="responses", run_id="runs", persona_id="personas"),
-    _table("evaluations", "append", "evaluation_id",
-           "evaluation_id text!, run_id text!, response_id text!, request_id text!, subject_type text!, subject_response_id text!,"
-           "subject_run_id text, persona_id text, evaluator_type text!, rubric_id text!, rubric_sha256 text!, expectations json,"
-           "section_scores json!, score_before_caps double!, cap_applied double, total_score double!, grade text!, n_red_flags int!,"
-           "outputs json, subject_length_words int, evaluated_at time!",
-           run_id="runs", response_id="responses", request_id="requests", persona_id="personas", rubric_sha256="rubrics"),
-    _table("evaluation_item_scores", "append", "evaluation_id,item_key",
-           "evaluation_id text!, run_id text!, item_key text!, item_id text!, section_key text!, item_type text!, label text, score int,"
-           "is_na bool!, justification text", evaluation_id="evaluations", run_id="runs"),
-    _table("evaluation_red_flags", "append", "evaluation_id,flag_id",
-           "evaluation_id text!, run_id text!, flag_id text!, severity text, cap double, quote text", evaluation_id="evaluations", run_id="runs"),
+    Table("runs", "mutable", ("run_id",), (
+        needed("run_id", TEXT),
+        optional("name", TEXT),
+        optional("dataset", TEXT),
+        needed("task", TEXT),
+        needed("mode", TEXT),
+        needed("status", TEXT),
+        optional("provider", TEXT),
+        optional("model", TEXT),
+        needed("config", JSON),
+        optional("code_version", TEXT),
+        optional("code_dirty", BOOL),
+        needed("schema_version", INT),
+        optional("summary", JSON),
+        needed("created_at", TIME),
+        needed("updated_at", TIME),
+    )),
+    Table("personas", "reference", ("persona_id",), (
+        needed("persona_id", TEXT),
+        needed("persona_set", TEXT),
+        optional("persona_number", INT),
+        optional("name", TEXT),
+        needed("payload", JSON),
+        needed("content_sha256", TEXT),
+    )),
+    Table("inputs", "append", ("input_id",), (
+        needed("input_id", TEXT),
+        needed("run_id", TEXT, "runs"),
+        needed("input_index", INT),
+        needed("input_type", TEXT),
+        needed("payload", JSON),
+        optional("persona_id", TEXT, "personas"),
+        needed("created_at", TIME),
+    )),
+    Table("input_items", "append", ("input_id", "item_index"), (
+        needed("input_id", TEXT, "inputs"),
+        needed("run_id", TEXT, "runs"),
+        needed("item_index", INT),
+        needed("label", TEXT),
+        needed("value", TEXT),
+        optional("entity", TEXT),
+        optional("qualifier", TEXT),
+    )),
+    Table("prompt_templates", "reference", ("template_sha256",), (
+        needed("template_sha256", TEXT),
+        needed("template_id", TEXT),
+        needed("name", TEXT),
+        needed("version", INT),
+        optional("system_template", TEXT),
+        needed("user_template", TEXT),
+        needed("required", JSON),
+        needed("optional", JSON),
+        optional("description", TEXT),
+        optional("changes", TEXT),
+        optional("based_on", TEXT),
+        optional("status", TEXT),
+    )),
+    Table("prompts", "append", ("prompt_id",), (
+        needed("prompt_id", TEXT),
+        needed("input_id", TEXT, "inputs"),
+        needed("run_id", TEXT, "runs"),
+        needed("template", TEXT),
+        optional("template_sha256", TEXT, "prompt_templates"),
+        optional("system", TEXT),
+        needed("user_text", TEXT),
+        needed("messages", JSON),
+        needed("prompt_sha256", TEXT),
+        needed("created_at", TIME),
+    )),
+    Table("requests", "append", ("request_id",), (
+        needed("request_id", TEXT),
+        needed("prompt_id", TEXT, "prompts"),
+        needed("run_id", TEXT, "runs"),
+        needed("provider", TEXT),
+        optional("model", TEXT),
+        needed("params", JSON),
+        needed("extra_body", JSON),
+        needed("mode", TEXT),
+        needed("created_at", TIME),
+    )),
+    Table("batches", "mutable", ("batch_id",), (
+        needed("batch_id", TEXT),
+        needed("run_id", TEXT, "runs"),
+        needed("provider", TEXT),
+        needed("round", INT),
+        optional("endpoint", TEXT),
+        needed("status", TEXT),
+        optional("raw_status", TEXT),
+        needed("n_requests", INT),
+        optional("request_counts", JSON),
+        optional("input_file", TEXT),
+        needed("collected", BOOL),
+        needed("created_at", TIME),
+        needed("updated_at", TIME),
+    )),
+    Table("responses", "append", ("response_id",), (
+        needed("response_id", TEXT),
+        needed("request_id", TEXT, "requests"),
+        needed("run_id", TEXT, "runs"),
+        needed("attempt", INT),
+        optional("batch_id", TEXT, "batches"),
+        optional("model", TEXT),
+        optional("finish_reason", TEXT),
+        optional("error", TEXT),
+        optional("prompt_tokens", INT),
+        optional("completion_tokens", INT),
+        optional("total_tokens", INT),
+        optional("cached_tokens", INT),
+        needed("received_at", TIME),
+    )),
+    Table("response_texts", "append", ("response_id",), (
+        needed("response_id", TEXT, "responses"),
+        needed("run_id", TEXT, "runs"),
+        optional("text", TEXT),
+        optional("n_chars", INT),
+    )),
+    Table("validations", "append", ("response_id",), (
+        needed("response_id", TEXT, "responses"),
+        needed("run_id", TEXT, "runs"),
+        optional("validator", TEXT),
+        optional("passed", BOOL),
+        optional("n_errors", INT),
+        optional("n_warnings", INT),
+        optional("validator_error", TEXT),
+        optional("details", JSON),
+    )),
+    Table("validation_issues", "append", ("response_id", "issue_index"), (
+        needed("response_id", TEXT, "responses"),
+        needed("run_id", TEXT, "runs"),
+        needed("issue_index", INT),
+        needed("check_name", TEXT),
+        needed("code", TEXT),
+        needed("severity", TEXT),
+        optional("label", TEXT),
+        optional("message", TEXT),
+        optional("data", JSON),
+    )),
+    Table("rubrics", "reference", ("rubric_sha256",), (
+        needed("rubric_sha256", TEXT),
+        needed("rubric_id", TEXT),
+        needed("name", TEXT),
+        needed("version", INT),
+        optional("title", TEXT),
+        needed("definition", JSON),
+    )),
+    Table("persona_expectations", "append", ("response_id",), (
+        needed("response_id", TEXT, "responses"),
+        needed("run_id", TEXT, "runs"),
+        needed("persona_id", TEXT, "personas"),
+        optional("context", JSON),
+        optional("situation_summary", TEXT),
+        optional("what_they_hoped_for", TEXT),
+        optional("framing_preference", TEXT),
+        optional("must_haves", JSON),
+        optional("sensitivities", JSON),
+    )),
+    Table("evaluations", "append", ("evaluation_id",), (
+        needed("evaluation_id", TEXT),
+        needed("run_id", TEXT, "runs"),
+        needed("response_id", TEXT, "responses"),
+        needed("request_id", TEXT, "requests"),
+        needed("subject_type", TEXT),
+        needed("subject_response_id", TEXT),
+        optional("subject_run_id", TEXT),
+        optional("persona_id", TEXT, "personas"),
+        needed("evaluator_type", TEXT),
+        needed("rubric_id", TEXT),
+        needed("rubric_sha256", TEXT, "rubrics"),
+        optional("expectations", JSON),
+        needed("section_scores", JSON),
+        needed("score_before_caps", DOUBLE),
+        optional("cap_applied", DOUBLE),
+        needed("total_score", DOUBLE),
+        needed("grade", TEXT),
+        needed("n_red_flags", INT),
+        optional("outputs", JSON),
+        optional("subject_length_words", INT),
+        needed("evaluated_at", TIME),
+    )),
+    Table("evaluation_item_scores", "append", ("evaluation_id", "item_key"), (
+        needed("evaluation_id", TEXT, "evaluations"),
+        needed("run_id", TEXT, "runs"),
+        needed("item_key", TEXT),
+        needed("item_id", TEXT),
+        needed("section_key", TEXT),
+        needed("item_type", TEXT),
+        optional("label", TEXT),
+        optional("score", INT),
+        needed("is_na", BOOL),
+        optional("justification", TEXT),
+    )),
+    Table("evaluation_red_flags", "append", ("evaluation_id", "flag_id"), (
+        needed("evaluation_id", TEXT, "evaluations"),
+        needed("run_id", TEXT, "runs"),
+        needed("flag_id", TEXT),
+        optional("severity", TEXT),
+        optional("cap", DOUBLE),
+        optional("quote", TEXT),
+    )),
 ]}

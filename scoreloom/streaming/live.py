@@ -50,21 +50,61 @@ def highest_attempts(responses: DataFrame) -> DataFrame:
     return latest(responses, ["request_id"], "attempt")
 
 
-def start_latest(responses: DataFrame, root: str, checkpoint: str, **trigger):
-    """Write the highest attempts of every micro-batch under ``root``, one folder per batch.
+def start_latest(responses: DataFrame, root: str, checkpoint: str, compact_every: int = 100, **trigger):
+    """Write the highest attempts of every micro-batch under ``root``; every ``compact_every`` batches what is there becomes one table.
 
     A batch costs what it brings, not what is there already; a batch that is repeated after a failure
-    overwrites its own folder.  ``read_latest`` merges the folders.
+    overwrites its own folder.  ``read_latest`` reads one table and the batches behind it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        highest_attempts(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        highest_attempts(batch).write.mode("overwrite").parquet(f"{root}/batches/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, root, batch_id)
 
     return (responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Final responses so far.  Attempts may have come late and in any order: the highest wins, not the last."""
-    return highest_attempts(spark.read.parquet(root).drop("batch"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def compact(spark: SparkSession, root: str, upto: int) -> None:
+    """Merge everything up to a batch into one table; a repeated call writes it again.
+
+    The batches are kept until the next table is there, for readers that have begun; the one before last and its batches go.
+    """
+    read_latest(spark, root, upto).write.mode("overwrite").parquet(f"{root}/tables/upto={upto}")
+    tables = sorted(r.upto for r in spark.read.parquet(f"{root}/tables").select("upto").distinct().collect())  # two or three
+    for old in tables[:-2]:
+        _remove(spark, f"{root}/tables/upto={old}")
+    if len(tables) > 1:
+        numbers = spark.read.parquet(f"{root}/batches").where(F.col("batch") <= tables[-2]).select("batch").distinct()
+        for r in numbers.collect():  # as many as lie between two tables
+            _remove(spark, f"{root}/batches/batch={r.batch}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def read_latest(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """Final responses so far.  Attempts may have come late and in any order: the highest wins, not the last.
+
+    The newest finished table holds all batches up to its number, so reading costs the requests and the batches behind it.
+    """
+    batches = spark.read.parquet(f"{root}/batches")
+    if upto is not None:
+        batches = batches.where(F.col("batch") <= upto)
+    done = []
+    if _exists(spark, f"{root}/tables"):
+        done = [r.upto for r in spark.read.parquet(f"{root}/tables").select("upto").distinct().collect()]
+        done = [n for n in done if (upto is None or n < upto) and _exists(spark, f"{root}/tables/upto={n}/_SUCCESS")]
+    if not done:
+        return highest_attempts(batches.drop("batch"))
+    table = spark.read.parquet(f"{root}/tables").where(F.col("upto") == max(done)).drop("upto")
+    return highest_attempts(table.unionByName(batches.where(F.col("batch") > max(done)).drop("batch")))
 
 
 def start_append(df: DataFrame, path: str, checkpoint: str, kind: str = "parquet", **trigger):
