@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.draws import draw_text
 from scoreloom.functions.text import fold
 from scoreloom.operators.rubric import Output, Rubric
-from scoreloom.operators.skew import order_statistics, top_per_group
+from scoreloom.operators.skew import top_per_group
 
 DIMENSIONS = ("template", "generating_model", "evaluating_model", "persona_id", "run_id", "readings_dataset")
 
@@ -192,25 +192,15 @@ def disagreement(items: DataFrame, evaluations: DataFrame) -> DataFrame:
             .where("n > 1"))
 
 
-MARKS = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
-
-
 def box_plot(facts: DataFrame, measure: str, by: Sequence[str]) -> DataFrame:
-    """Five-number summary per combination of dimensions, interpolated between neighbouring ranks; NULL where nothing is measured.
+    """Five-number summary per combination of dimensions.
 
-    All ranks of all groups are found together by refined counters, so a group may have any number of different values.
+    For groups of very many different values there is ``skew.order_statistics``, on a stored table.
     """
-    at = lambda p: (F.col("n") - 1) * F.lit(p)
-    ranks = F.array(*[f(at(p)) for p in MARKS.values() for f in (F.floor, F.ceil)])
-    found = order_statistics(facts, by, measure, ranks).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("__values"))  # at most ten
-    counted = facts.groupBy(*by).agg(F.count(measure).alias("n"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    both = counted.join(found.select(*[F.col(c).alias(f"__{c}") for c in by], "__values"), same, "left")
-
-    def mark(p: float) -> Column:
-        low, high = (F.try_element_at("__values", f(at(p)).cast("long")) for f in (F.floor, F.ceil))
-        return low + (high - low) * (at(p) - F.floor(at(p)))
-    return both.select(*by, "n", *[mark(p).alias(name) for name, p in MARKS.items()])
+    marks = F.percentile(F.col(measure), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    names = ("low", "q1", "median", "q3", "high")
+    return (facts.groupBy(*by).agg(F.count(measure).alias("n"), marks.alias("m"))
+            .select(*by, "n", *[F.col("m")[i].alias(name) for i, name in enumerate(names)]))
 
 
 def text_distribution(items: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, ranks: Col
 
     Equal values are one counter from the start.  Each level cuts the stretch of values that holds a wanted rank into ``cells`` cells of
     equal width and keeps only those that still hold one, for all ranks and groups at once; of values of one magnitude a cell holds after four levels of 4,096 a
-    handful of neighbouring doubles, and only these are ordered.  No window holds more than the cells of a stretch.  Null values have no rank.
+    handful of neighbouring doubles, and only these are ordered.  Every level reads ``df`` again, so give it a stored table.  No window holds more than the cells of a stretch.  Null values have no rank.
     """
     group = list(group)
     g = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
