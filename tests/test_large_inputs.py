@@ -176,3 +176,28 @@ def test_outputs_are_asked_for_of_every_rubric(spark):
 def test_fenced_columns_are_computed_once(spark):
     df = fence(spark.range(10).select("id", F.rand().alias("x")), ["x"]).where("x < 2").select("id", "x", F.col("x").alias("y"))
     assert all(r.x == r.y for r in df.collect())
+
+
+def test_texts_of_evaluations_travel_once(spark):
+    n = 4000
+    letters = "".join(random.Random(3).choice("abcdefghij ") for _ in range(6000))
+    bodies = spark.createDataFrame([(i, letters[i * 9:] + letters[:i * 9]) for i in range(20)] + [(3, "again")], "text_id long, text string")
+    names = spark.range(n).select(F.concat(F.lit("r"), "id").alias("response_id"), (F.col("id") % 25).alias("text_id"))
+    nothing = lambda *columns: F.lit(None).cast("string")
+    evaluations = spark.range(n + 2).select(
+        F.concat(F.lit("e"), "id").alias("evaluation_id"), F.concat(F.lit("r"), "id").alias("subject_response_id"), F.lit("run").alias("subject_run_id"),
+        *[nothing().alias(c) for c in ("subject_model", "subject_type", "subject_template", "subject_input", "request_id", "evaluation_response_id")])
+    items = evaluations.select("evaluation_id", F.lit("1").alias("item_key"), F.lit(4).alias("score"), F.lit(False).alias("is_na"))
+    flags = evaluations.limit(0).select("evaluation_id", F.lit("RF1").alias("flag_id"))
+    requests = spark.createDataFrame([], "request_id string, run_id string")
+    responses = names.select("response_id", F.lit("m").alias("model"))
+    known = spark.createDataFrame([("run", "task", "set", "m", "p")], "run_id string, task string, dataset string, model string, provider string")
+    whole = names.join(bodies, "text_id").select("response_id", "text")
+    rows = lambda f: sorted((r.evaluation_id, r.subject_text or "", r.scores["1"], r.model) for r in f.select("evaluation_id", "subject_text", "scores", "model").collect())
+    given = runs.evaluation_facts(evaluations, items, flags, requests, responses, known, whole, known)
+    named = runs.evaluation_facts(evaluations, items, flags, requests, responses, known, names, known, bodies)
+    assert rows(given) == rows(named) and len(rows(named)) == n + 2 + n // 25
+    # each text is shuffled with its body alone
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in re.findall(r"Exchange hashpartitioning\((\w+)#", plan)]
+    assert moved and plan.index("Exchange") > plan.index("SortMergeJoin [__text_id") and "text" not in moved
