@@ -283,8 +283,9 @@ def semantic_volume(df: DataFrame, group: str, key: str, vector: str, fan_in: in
             .applyInPandas(measured, f"`{group}` {kind}, n long, volume double, log_volume double"))
 
 
-def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """An orthonormal basis of the tangent space at every vector: ``basis`` has d-1 arrays of d numbers.
+def tangent_bases(df: DataFrame, key: str, vector: str, keep: Sequence[str] = ()) -> DataFrame:
+    """An orthonormal basis of the tangent space at every vector: ``basis`` has d-1 arrays of d numbers.  A basis is d times as large as its vector, so
+    join what else is needed before, and ``keep`` it.
 
     The reflection that takes the vector to the first axis takes the other axes to such a basis: its rows are
     e_i - 2 w_i w / |w|^2 with w = x + sign(x_0) |x| e_0.  A zero vector has no tangent space and gets the axes 1 to d-1.
@@ -298,7 +299,7 @@ def tangent_bases(df: DataFrame, key: str, vector: str) -> DataFrame:
         return let(factor, lambda f: F.transform(F.slice(w, F.lit(2), F.size(w)), lambda wi, i: let(f * wi, lambda scale: F.transform(
             w, lambda wj, j: F.when(j == i + 1, 1.0 - scale * wj).otherwise(-scale * wj)))))
 
-    return df.select(key, let(mirrored(F.col(vector).cast("array<double>")), rows).alias("basis"))
+    return df.select(key, *keep, let(mirrored(F.col(vector).cast("array<double>")), rows).alias("basis"))
 
 
 def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, squares: bool = False) -> DataFrame:

@@ -215,8 +215,9 @@ def _(t):
 
 @query("d16_tangent_basis", "select vec_id, cast(63 as int) n_vectors, true orthonormal, true tangent from embeddings")
 def _(t):
-    b = vs.tangent_bases(t.embeddings.withColumn("x", v.normalize(F.col("embedding"))), "vec_id", "x")
-    joined = b.join(t.embeddings.select("vec_id", v.normalize(F.col("embedding")).alias("x")), "vec_id")
+    at = t.embeddings.select("vec_id", F.col("embedding").alias("own"))
+    both = t.embeddings.join(at, "vec_id").withColumns({"y": v.normalize(F.col("embedding")), "x": v.normalize(F.col("own"))})
+    joined = fence(vs.tangent_bases(both, "vec_id", "y", keep=["x"]), ["basis"])
     off = F.array_max(F.transform("basis", lambda u: F.abs(v.dot(u, F.col("x")))))
     # unit vectors at right angles: every length is 1, and so is the length of their mean times the root of their number
     unit = F.array_max(F.transform("basis", lambda u: F.abs(v.norm(u) - 1.0)))

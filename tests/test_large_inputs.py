@@ -201,3 +201,11 @@ def test_texts_of_evaluations_travel_once(spark):
     plan = named._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in re.findall(r"Exchange hashpartitioning\((\w+)#", plan)]
     assert moved and plan.index("Exchange") > plan.index("SortMergeJoin [__text_id") and "text" not in moved
+
+
+def test_tangent_bases_are_not_shuffled(spark):
+    from scoreloom.plans.queries_vectors import vs
+    df = spark.createDataFrame([(1, [3.0, 4.0, 0.0], 7), (1, [0.0, 1.0, 0.0], 8)], "id long, x array<double>, n long")
+    rows = vs.tangent_bases(df, "id", "x", keep=["n"]).orderBy("n").collect()
+    assert [r.n for r in rows] == [7, 8]
+    assert all(abs(sum(a * b for a, b in zip(u, [3.0, 4.0, 0.0], strict=True))) < 1e-9 for u in rows[0].basis)
