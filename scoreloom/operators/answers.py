@@ -76,7 +76,10 @@ def json_texts(v: Column) -> Column:
 
 def unquoted(json_text: Column) -> Column:
     """Content of a JSON scalar: a string without its quotes, anything else as it stands."""
-    return F.when(json_text.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v")).otherwise(json_text)
+    # without a backslash a string's content is what stands between its quotes
+    plain = F.substring(json_text, F.lit(2), F.length(json_text) - 2)
+    content = F.when(json_text.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v")).otherwise(plain)
+    return F.when(json_text.startswith('"'), content).otherwise(json_text)
 
 
 def elements(json_text: Column) -> Column:
@@ -172,18 +175,17 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
     """
     labels, na_required = labels or {}, na_required or {}
     a = F.col("__answer")
-    top = F.col("__top")
     df = df.withColumn("__answer", extract_json(F.col(text)))
-    df = df.withColumn("__top", json_texts(a))
-    member = lambda name: F.try_element_at(top, F.lit(name))
-    df = df.withColumn("__shape", F.when(a.isNull() | (variant_kind(a) == "VOID"), "invalid_json")
-                       .when(~F.coalesce(member("item_scores").startswith("{"), F.lit(False)), "bad_structure"))
+    # members are taken from the parsed value, so the answer is not written as text again to look at its members
+    part = lambda name: F.try_variant_get(a, f"$.{name}", "variant")
+    is_object = lambda name: F.try_variant_get(a, f"$.{name}", "map<string,variant>").isNotNull()
+    df = df.withColumn("__shape", F.when(a.isNull() | F.is_variant_null(a), "invalid_json").when(~is_object("item_scores"), "bad_structure"))
     read = F.col("__shape").isNull()
-    inside = lambda name: json_texts(F.try_variant_get(a, f"$.{name}", "variant"))
+    inside = lambda name: json_texts(part(name))
 
     # every raw value once, as JSON text
     df = df.withColumns({"__items": F.when(read, inside("item_scores")), "__why": F.when(read, inside("justifications")),
-                         "__out": F.when(read, inside("outputs"))})
+                         "__out": F.when(read, inside("outputs")), "__red": F.when(read, F.to_json(part("red_flags"))), "__told": is_object("outputs")})
     df = df.withColumn("__entries", F.transform(_item_specs(rubric, labels), lambda e: F.struct(
         e["item_id"].alias("item_id"), e["per"].alias("per"), e["allow_na"].alias("allow_na"), e["n_labels"].alias("n_labels"),
         F.try_element_at("__items", e["item_id"]).alias("raw"),
@@ -193,7 +195,7 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
     judged = F.transform(F.transform(keyed, lambda s: _scored(s, rubric)), lambda s: _judged(s, rubric))
     known = [f.id for f in rubric.flags]
     # each entry by itself: one that is no object is an unknown flag, and takes no other with it
-    flags = F.transform(elements(F.when(read, member("red_flags"))), lambda x: F.coalesce(
+    flags = F.transform(elements(F.col("__red")), lambda x: F.coalesce(
         F.from_json(F.when(x.startswith("{"), x), "struct<id:string,quote:string>"),
         F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("quote"))))
     df = df.withColumns({
@@ -236,13 +238,13 @@ def read_answers(df: DataFrame, rubric: Rubric, text: str, labels: Mapping[str,
         F.filter("scores", lambda s: s["score"].isin(list(rubric.justify)) & ~F.array_contains(why, s["item_key"])
                  & ~F.array_contains(why, s["item_id"])),
         lambda s: problem("missing_justification", "warning", s["item_key"], "score without a justification"))
-    bad_list = problem_if(F.coalesce(~member("red_flags").rlike(r'^(?:\[|null$|false$|0(?:\.0+)?$|""$|\{\}$)'), F.lit(False)),
+    bad_list = problem_if(F.coalesce(~F.col("__red").rlike(r'^(?:\[|null$|false$|0(?:\.0+)?$|""$|\{\}$)'), F.lit(False)),
                           problem("bad_red_flags", "error", None, "must be a list"))
     bad_flags = F.transform(F.filter("__flags", lambda f: ~f["known"] | (f["quote"] == "")), lambda f: F.when(
         f["known"], problem("red_flag_without_quote", "error", f["flag_id"], "has no quoted passage")).otherwise(
         problem("unknown_red_flag", "error", None, f["flag_id"])))
     parts = [missing, lengths, values, *na, unknown, unjustified, bad_list, bad_flags]
-    parts.append(problem_if(~F.coalesce(member("outputs").startswith("{"), F.lit(False)), problem("missing_outputs", "error", None, "outputs are missing")))
+    parts.append(problem_if(~F.col("__told"), problem("missing_outputs", "error", None, "outputs are missing")))
     for spec in rubric.outputs:
         o = F.col(f"__o_{spec.name}")
         parts.append(problem_if(o["value"].isNull(), problem("bad_output", "error", spec.name, o["wrong"])))

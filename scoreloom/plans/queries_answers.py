@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scoreloom.operators import answers as an
 from scoreloom.operators.rubric import Flag, Grade, Item, Output, Rubric, Section
 from scoreloom.plans.registry import query
+from scoreloom.sources.folders import new_folder
 
 ANSWER_RUBRIC = Rubric(
     name="answer_rubric", version=1, scale=(1, 5), justify=(1, 5),
@@ -65,6 +66,14 @@ def read(t) -> DataFrame:
                            na_required={"4": F.col("k") % 3 == 0}, quoted_text=F.col("subject"))
 
 
+def read_once(t, *columns: str) -> DataFrame:
+    """These columns of the answers as a table, for what reads them more than once: reading an answer costs far more than keeping what was read."""
+    answers = read(t).select(*columns)
+    place = new_folder(t.spark, "answers")
+    answers.write.parquet(place)
+    return t.spark.read.schema(answers.schema).parquet(place)
+
+
 # what the order key implies: raw scores with their keys, before defects take rows away
 KEYS = """(select o_orderkey k, concat('ans_', o_orderkey) answer_id, o_custkey, o_orderstatus, o_orderdate from orders)"""
 RAW = f"""(select k, answer_id, '1' item_id, '1' item_key, cast(null as int) label_index, 's1' section_key, 'O' item_type, cast(1 + k % 5 as int) score, false is_na,
@@ -147,7 +156,7 @@ def _(t):
          select answer_id, null, null, 'unknown_red_flag' from {KEYS} where {READABLE} and k % 6 = 1 union all
          select answer_id, 'RF5', null, 'red_flag_without_quote' from {KEYS} where {READABLE} and k % 6 = 2)""")
 def _(t):
-    answers = read(t)
+    answers = read_once(t, "answer_id", "red_flags", "problems")
     codes = ["unknown_red_flag", "red_flag_without_quote", "quote_not_in_text"]
     flawed = (an.problem_rows(answers, "answer_id").where(F.col("code").isin(codes))
               .select("answer_id", F.col("item").alias("flag_id"),
@@ -202,7 +211,7 @@ def _(t):
        select answer_id, case when k % 12 = 0 then 'RF1' else 'RF5' end, null, case when k % 12 = 0 then 'severe' else 'moderate' end
        from {KEYS} where {USABLE} and (k % 12 = 0 or k % 6 = 3)""")
 def _(t):
-    a = read(t)
+    a = read_once(t, "answer_id", "usable", "scores", "justifications", "red_flags")
     items = an.score_rows(a, "answer_id").select("answer_id", F.col("item_key").alias("key"), "score", F.col("justification").alias("note"))
     flags = an.flag_rows(a, "answer_id", ANSWER_RUBRIC).select("answer_id", F.col("flag_id").alias("key"),
                                                                F.lit(None).cast("int").alias("score"), F.col("severity").alias("note"))
