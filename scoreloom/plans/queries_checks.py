@@ -118,7 +118,8 @@ def _(t):
        select doc_id, named, pos, row_number() over (partition by doc_id order by pos) place from fx_words) group by 1, 2""")
 def _(t):
     # positions ascend, so the order of the mentions is the order of their positions
-    found = t.texts.select("doc_id", F.posexplode(F.array_sort(WORDS.find_all(F.col("text")), lambda a, b: a["position"] - b["position"])).alias("i", "f"))
+    placed = F.transform(WORDS.find_all(F.col("text")), lambda f: F.struct(f["position"].alias("position"), f["value"].alias("value")))
+    found = t.texts.select("doc_id", F.posexplode(F.array_sort(placed)).alias("i", "f"))
     return found.groupBy("doc_id", F.col("f.value").alias("named")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("i") + 1).alias("place"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.text import sentences, word_count
 from scoreloom.operators import windows as w
@@ -39,11 +41,22 @@ def _(t):
 
 def letter_spans():
     """A tokenizer of another kind: runs of letters."""
-    @F.pandas_udf("token array<string>, start array<int>, end array<int>")
-    def spans(texts: pd.Series) -> pd.DataFrame:
-        found = [list(re.finditer("[a-z]+", t)) for t in texts]
-        return pd.DataFrame({"token": [[m.group() for m in ms] for ms in found], "start": [[m.start() for m in ms] for ms in found],
-                             "end": [[m.end() for m in ms] for ms in found]})
+    kind = T.StructType.fromDDL("token array<string>, start array<int>, end array<int>")
+
+    @F.arrow_udf(kind)
+    def spans(texts: pa.Array) -> pa.Array:
+        # numbers and characters lie in flat arrays, with no Python object per token beyond one text
+        places, tokens, edges = [np.zeros((0, 2), np.int32)], [pa.array([], pa.string())], [0]
+        for i in range(len(texts)):
+            text = texts[i].as_py()
+            found = [m.span() for m in re.finditer("[a-z]+", text or "")]
+            edges.append(edges[-1] + len(found))
+            if found:
+                places.append(np.array(found, np.int32))
+                tokens.append(pa.array([text[lo:hi] for lo, hi in found], pa.string()))
+        at, ends = np.concatenate(places), pa.array(edges, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.concat_arrays(tokens), pa.array(np.ascontiguousarray(at[:, 0])), pa.array(np.ascontiguousarray(at[:, 1])))]
+        return pa.StructArray.from_arrays(lists, ["token", "start", "end"])
     return spans
 
 

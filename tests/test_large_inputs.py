@@ -209,3 +209,33 @@ def test_tangent_bases_are_not_shuffled(spark):
     rows = vs.tangent_bases(df, "id", "x", keep=["n"]).orderBy("n").collect()
     assert [r.n for r in rows] == [7, 8]
     assert all(abs(sum(a * b for a, b in zip(u, [3.0, 4.0, 0.0], strict=True))) < 1e-9 for u in rows[0].basis)
+
+
+def test_red_flags_read_each_answer_once(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["e6_red_flags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.lower() and "schema_of_variant" not in plan.lower()
+
+
+def test_content_of_json_strings(spark):
+    texts = ['"plain “x”"', '""', r'"a\"b\né\\"', "12", "null", "[1]", '"{$"', '"tab\\t"']
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(answers.unquoted(F.col("x")).alias("u")).collect()
+    assert [r.u for r in got] == ["plain “x”", "", 'a"b\né\\', "12", "null", "[1]", "{$", "tab\t"]
+
+
+def test_patterns_look_at_one_character_first(spark):
+    for case in (False, True):
+        v = m.Vocabulary(["straße", "K", "^a", "-b]", "It", "★ x", "\\d"], case_sensitive=case)
+        assert "(?=[" in v.pattern
+        text = "STRASSE Straße straße K k K ^a ^A -b] IT It ı ★ X ★ x \\d xK"
+        found = spark.createDataFrame([(text,)], "t string").select(
+            F.regexp_extract_all("t", F.lit(v.pattern), F.lit(0)).alias("f"),
+            F.regexp_extract_all("t", F.lit(re.sub(r"\(\?=\[.*?(?<!\\)\]\)", "", v.pattern, count=1)), F.lit(0)).alias("g")).first()
+        assert found.f == found.g and len(found.f) >= 7
+
+
+def test_spans_of_another_tokenizer(spark):
+    from scoreloom.plans.queries_text import letter_spans
+    df = spark.createDataFrame([(1, "Ab cd★ef"), (2, None), (3, ""), (4, "x")], "id long, t string")
+    got = windows.tokenize(df, "id", "t", letter_spans()).orderBy("id", "pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "b", 1, 2), (1, 1, "cd", 3, 5), (1, 2, "ef", 6, 8), (4, 0, "x", 0, 1)]
