@@ -86,14 +86,15 @@ def with_neighbours(df: DataFrame, group: Sequence[str], idx: str, before: dict[
     return spread.where("__home.own").drop("__home")
 
 
-def balanced(scan: DataFrame) -> DataFrame:
+def balanced(scan: DataFrame, finer: int = 1) -> DataFrame:
     """A scan with at least one partition per core, for costly work inside rows.
 
     A table of one small file would keep a single core busy.  Tables with enough splits, which is any
-    large one, are returned as they are, without a shuffle.
+    large one, are returned as they are, without a shuffle.  Where rows are narrow and work on each is
+    long, a split is hours of work; ``finer`` makes so many tasks of each, however large the table.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    cores, splits = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    return scan.repartition(max(cores, splits * finer)) if splits < cores or finer > 1 else scan
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -52,7 +52,8 @@ class Tables:
 
     @cached_property
     def spread_orders(self) -> DataFrame:
-        return balanced(self.orders)
+        """The orders, for work that takes long for each: a task has 8 MB of them, about."""
+        return balanced(self.orders, finer=16)
 
     @cached_property
     def personas(self) -> DataFrame:

@@ -131,3 +131,10 @@ def test_tangent_basis(spark, vectors):
         x, basis = np.array(vectors.v[r.k]), np.array(r.basis)
         np.testing.assert_allclose(basis @ basis.T, np.eye(4), atol=1e-12)
         np.testing.assert_allclose(basis @ x, 0, atol=1e-9)
+
+
+def test_tasks_of_a_split(spark):
+    from scoreloom.operators.skew import balanced
+    cores, scan = spark.sparkContext.defaultParallelism, spark.range(0, 1000, 1, 2 * spark.sparkContext.defaultParallelism)
+    assert balanced(scan).rdd.getNumPartitions() == 2 * cores
+    assert balanced(scan, finer=4).rdd.getNumPartitions() == 8 * cores and balanced(scan, finer=4).count() == 1000
