@@ -30,12 +30,31 @@ def token_spans(text: Column) -> Column:
     return F.struct(tokens.alias("token"), F.zip_with(ends, tokens, lambda e, t: e - F.length(t)).alias("start"), ends.alias("end"))
 
 
-def tokenize(df: DataFrame, key: str, text: str, spans: Callable[[Column], Column] = token_spans) -> DataFrame:
-    """One row per token.  Another tokenizer is any function to the same struct of arrays."""
+def tokenize(df: DataFrame, key: str, text: str, spans: Callable[[Column], Column] = token_spans, extremes: bool = False) -> DataFrame:
+    """One row per token.  Another tokenizer is any function to the same struct of arrays.
+
+    With ``extremes`` two columns more, ``least`` and ``greatest``: whether no token of the row's text comes before, or behind, this one in order.
+    """
     s = F.col("__s")
-    return (fence(df.select(key, spans(F.col(text)).alias("__s")), ["__s"])
-            .select(key, F.posexplode(F.arrays_zip(s["token"], s["start"], s["end"])).alias("pos", "__t"))
-            .select(key, "pos", F.col("__t")["token"].alias("token"), F.col("__t")["start"].alias("start"), F.col("__t")["end"].alias("end")))
+    ends = {"__least": F.array_min(s["token"]), "__greatest": F.array_max(s["token"])} if extremes else {}
+    token = F.col("__t")["token"]
+    # what is selected beside a generator is computed anew for each of its rows, so the ends come before it
+    return (fence(df.select(key, spans(F.col(text)).alias("__s")), ["__s"]).withColumns(ends)
+            .select(key, *ends, F.posexplode(F.arrays_zip(s["token"], s["start"], s["end"])).alias("pos", "__t"))
+            .select(key, "pos", token.alias("token"), F.col("__t")["start"].alias("start"), F.col("__t")["end"].alias("end"),
+                    *[(token == F.col(n)).alias(n[2:]) for n in ends]))
+
+
+def token_totals(tokens: DataFrame, key: str) -> DataFrame:
+    """``key, n_tokens, starts, ends, first_token, last_token`` of the rows of ``tokenize``; least and greatest token by their bytes.
+
+    ``tokens`` has the columns that ``extremes`` adds.  A least or greatest text in an aggregate makes Spark sort all its rows first.  So only the least and
+    the greatest token of a text get through as texts, as keys of counters, which are hashed; least and greatest are taken of the few rows that are left.
+    """
+    extreme = F.when(F.col("least") | F.col("greatest"), F.col("token"))
+    counted = tokens.groupBy(key, extreme.alias("__extreme")).agg(F.count(F.lit(1)).alias("__n"), F.sum("start").alias("__starts"), F.sum("end").alias("__ends"))
+    return counted.groupBy(key).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_tokens"), F.sum("__starts").alias("starts"), F.sum("__ends").alias("ends"),
+                                    F.min("__extreme").alias("first_token"), F.max("__extreme").alias("last_token"))
 
 
 def build_vocab(df: DataFrame, key: str, text: str) -> DataFrame:

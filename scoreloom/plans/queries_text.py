@@ -34,9 +34,7 @@ SQL_VIEWS["fx_char_windows"] = """
 @query("x1_tokenize_ws", """select doc_id, count(*) n_tokens, cast(sum(end_at - length(token)) as bigint) starts, cast(sum(end_at) as bigint) ends,
        min(token) first_token, max(token) last_token from fx_pieces group by 1""")
 def _(t):
-    return w.tokenize(t.texts, "doc_id", "text").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum("start").alias("starts"), F.sum("end").alias("ends"),
-        F.min("token").alias("first_token"), F.max("token").alias("last_token"))
+    return w.token_totals(w.tokenize(t.texts, "doc_id", "text", extremes=True), "doc_id")
 
 
 def letter_spans():

@@ -239,3 +239,17 @@ def test_spans_of_another_tokenizer(spark):
     df = spark.createDataFrame([(1, "Ab cd★ef"), (2, None), (3, ""), (4, "x")], "id long, t string")
     got = windows.tokenize(df, "id", "t", letter_spans()).orderBy("id", "pos").collect()
     assert [tuple(r) for r in got] == [(1, 0, "b", 1, 2), (1, 1, "cd", 3, 5), (1, 2, "ef", 6, 8), (4, 0, "x", 0, 1)]
+
+
+def test_totals_of_tokens_sort_no_tokens(spark):
+    rows = [(1, "b a  c b"), (1, "zz A"), (2, ""), (3, None), (None, "é q"), (4, "x"), (5, "퟿ \U00010000 ￮")] + [(10 + i, f"t{i % 7} " * (i % 50) + "u") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    plain = windows.tokenize(df, "id", "text").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.min("token").alias("first_token"), F.max("token").alias("last_token"))
+    got = windows.token_totals(windows.tokenize(df, "id", "text", extremes=True), "id")
+    assert got.schema == plain.schema
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+    # below the counters, over the tokens themselves, nothing is sorted
+    nodes = [line.strip(" +-:*") for line in got._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    kinds = [n for n in nodes if "Aggregate" in n.split("(")[0]]
+    assert sum("SortAggregate" in k or "ObjectHash" in k for k in kinds) <= 2 and "HashAggregate" in kinds[-1] and not kinds[-1].startswith("Sort")
