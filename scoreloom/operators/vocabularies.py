@@ -57,6 +57,8 @@ def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
     spelled = spelled.select("__spelling", "value", F.get(tokens, F.lit(0)).alias("__first"), F.size(tokens).alias("__tokens"))
     # of each first token the numbers of tokens that its aliases have: a handful
     lengths = spelled.groupBy("__first").agg(F.collect_set("__tokens").alias("__lengths"), F.max("__tokens").alias("__most"))
+    # kept, so that Spark knows its size before it deals out the tokens: else it shuffles every token with what follows, and measures only then
+    lengths = lengths.persist()
     reach = lengths.agg(F.coalesce(F.max("__most"), F.lit(0))).first()[0]  # most tokens of an alias
     placed = fence(texts.select(F.col(key).alias("__key"), token_pieces(F.col(text)).alias("__pieces")), ["__pieces"])
     word = lambda character: F.coalesce(character.rlike(WORDLIKE), F.lit(False))
@@ -72,15 +74,22 @@ def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
     near = placed.select("__key", F.explode(F.transform("__pieces", place)).alias("t")).where("not t.glued")
     candidates = (near.join(lengths, F.col("t.first") == F.col("__first")).select("__key", "t.*", F.explode("__lengths").alias("__n"))
                   .where(F.col("__n") <= F.size("ends")).withColumn("length", F.get("ends", F.col("__n") - 1)))
-    read = candidates.select("__key", "at", F.substring("run", F.lit(1), F.col("length")).alias("alias"), "length",
-                             F.substring("run", F.col("length") + 1, F.lit(1)).alias("__behind"))
-    met = (read.withColumn("__said", fold(F.col("alias"))).join(spelled.select("__spelling", "value"), F.col("__said") == F.col("__spelling"))
-           .where(~word(F.col("__behind"))))
-    longest = met.groupBy("__key", "at").agg(F.max_by(F.struct("value", "alias", "length"), "length").alias("m"))
-    found = longest.select("__key", "at", "m.value", "m.alias", "m.length")
-    if not overlaps:
-        rows = found.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "value", "alias", "length"))).alias("x"))  # mentions of one text
-        spans = fence(rows.select("__key", "x", F.col("x.at").alias("from"), F.transform("x", lambda m: m["at"] + m["length"]).alias("upto")), ["x", "from", "upto"])
+    said = F.substring("run", F.lit(1), F.col("length"))
+    read = candidates.where(~word(F.substring("run", F.col("length") + 1, F.lit(1)))).select(
+        "__key", "at", "length", fold(said).alias("__said"), F.when(said != fold(said), said).alias("__as"))
+    # what travels: of a place the folded text alone, unless the text is written in another way; behind the join the value alone, likewise
+    met = read.join(spelled.select("__spelling", "value"), F.col("__said") == F.col("__spelling")).select(
+        "__key", "at", "length", "value", F.coalesce("__as", "__said").alias("alias")).withColumn("alias", F.when(~F.col("alias").eqNullSafe(F.col("value").cast("string")), F.col("alias")))
+    written = lambda m: F.coalesce(m["alias"], m["value"].cast("string")).alias("alias")
+    if overlaps:
+        longest = met.groupBy("__key", "at").agg(F.max_by(F.struct("value", "alias", "length"), "length").alias("m"))
+        found = longest.select("__key", "at", "m.value", written(F.col("m")), "m.length")
+    else:
+        # the mentions of one text, the longest at a place first: the others there begin before it ends; dealt first, for nothing adds up before
+        rows = met.repartition("__key").groupBy("__key").agg(F.array_sort(F.collect_list(
+            F.struct("at", (-F.col("length")).alias("shorter"), "value", "alias"))).alias("x"))
+        spans = fence(rows.select("__key", "x", F.col("x.at").alias("from"), F.transform("x", lambda m: m["at"] - m["shorter"]).alias("upto")), ["x", "from", "upto"])
         kept = fence(spans.select("__key", F.arrays_zip(F.col("x"), apart(F.col("from"), F.col("upto")).alias("stays")).alias("z")), ["z"])
-        found = kept.select("__key", F.explode("z").alias("z")).where("z.stays").select("__key", "z.x.*")
+        found = kept.select("__key", F.explode("z").alias("z")).where("z.stays").select("__key", "z.x.*").select(
+            "__key", "at", "value", F.coalesce("alias", F.col("value").cast("string")).alias("alias"), (-F.col("shorter")).alias("length"))
     return found.select(F.col("__key").alias(key), "value", "alias", F.col("at").alias("position"), "length")

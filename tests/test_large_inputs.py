@@ -253,3 +253,18 @@ def test_totals_of_tokens_sort_no_tokens(spark):
     nodes = [line.strip(" +-:*") for line in got._jdf.queryExecution().sparkPlan().toString().splitlines()]
     kinds = [n for n in nodes if "Aggregate" in n.split("(")[0]]
     assert sum("SortAggregate" in k or "ObjectHash" in k for k in kinds) <= 2 and "HashAggregate" in kinds[-1] and not kinds[-1].startswith("Sort")
+
+
+def test_mentions_travel_twice_without_their_spelling(spark):
+    df = spark.createDataFrame([(1, "the fox DEN Fox, foxes"), (2, "den"), (2, "den fox"), (None, "Fox den"), (3, None)], "id long, text string")
+    table = spark.createDataFrame([("fox", 1), ("fox den", 2), ("DEN", 3), ("fox", 7)], "alias string, value long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = table_mentions(df, "id", "text", table)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = sorted((r.id or 0, r.position, r.value, r.alias, r.length) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(0, 0, 2, "Fox den", 7), (1, 4, 2, "fox DEN", 7), (1, 12, 1, "Fox", 3), (2, 0, 3, "den", 3), (2, 4, 1, "fox", 3)]
+    assert "max_by" not in plan and "__behind" not in plan
