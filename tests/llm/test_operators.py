@@ -234,6 +234,44 @@ def test_passages_of_changed_words(spark):
     assert passages.extension(ends[:30], ends[:6] + ["x"] + ends[6:30]) == [(0, 0, 6), (6, 7, 24)] and passages.extension(ends, prose(90)) == []
 
 
+@pytest.mark.parametrize("few, lines", [(64, 0), (64, 30), (1, 0), (4, 30)])
+def test_passages_whose_seeds_all_stand_first_elsewhere(spark, few, lines):
+    rng = np.random.default_rng(12)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    # runs of seven words, each in earlier documents of its own (or in many, as a common line), are one passage of two later documents with other words between
+    runs = [prose(7) for _ in range(9)]
+    spread = lambda n: sum((run + prose(n) for run in runs), [])
+    pieces = [prose(20) + run + prose(20 + i) for i in range(1 + lines) for run in runs]
+    texts = [*pieces, prose(25) + spread(1) + prose(30), prose(40) + spread(1) + prose(10), prose(30) + spread(30), prose(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.doc_id, r.start_word, r.end_word, r.first_doc_id, r.first_start_word) for r in passages.shared_passages(docs, passages.Chaining(few=few)).collect()]
+    assert got == [(len(pieces) + 1, 40, 111, len(pieces), 25)]
+    left = {r.doc_id: r.text for r in passages.drop_repeats(docs, passages.Chaining(few=few)).collect()}
+    assert len(left) == len(texts) and [i for i, t in enumerate(texts) if left[i] != " ".join(t)] == [len(pieces) + 1]
+
+
+def test_passages_with_a_seed_of_two_documents_and_one_of_three(spark):
+    rng = np.random.default_rng(13)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    # the first run stands in two documents only, the others first in documents without the rest
+    tail = prose(52)
+    cuts = [tail[i:i + 7] for i in range(0, 52, 8)]
+    texts = [*[prose(20) + c + prose(20) for c in cuts[1:]], prose(9) + tail + prose(9), prose(30) + sum((c + prose(1) for c in cuts), []) + prose(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [(r.doc_id, r.start_word, r.first_doc_id) for r in passages.shared_passages(docs).collect()] == [(len(texts) - 1, 30, len(texts) - 2)]
+
+
+def test_passages_between_other_places_of_their_seeds(spark):
+    rng = np.random.default_rng(14)
+    prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
+    runs = [prose(7) for _ in range(9)]
+    alone = sum((run + prose(60) for run in runs), [])
+    texts = [alone + sum((run + prose(1) for run in runs), []) + prose(60) + alone, prose(30) + sum((run + prose(1) for run in runs), []) + prose(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.doc_id, r.start_word, r.end_word, r.first_start_word) for r in passages.shared_passages(docs).collect()]
+    assert got == [(1, 30, 101, len(alone))]
+
+
 def test_passages_of_repeated_ids(spark):
     rng = np.random.default_rng(8)
     prose = lambda n: [f"t{x}" for x in rng.integers(0, 10 ** 9, n)]
