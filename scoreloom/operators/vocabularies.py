@@ -19,7 +19,7 @@ from scoreloom.functions.text import fold, strip
 from scoreloom.functions.values import fence
 
 TOKEN = r"(?U)[\w']+|[^\w'\s]"
-UP_TO_TOKEN = r"(?sU:[^\w']*?)(?U:[\w']+|[^\w'\s])"
+UP_TO_TOKEN = r"\G(?sU:[^\w']*?)(?U:[\w']+|[^\w'\s])"
 WORDLIKE = r"(?U)[\w']"
 
 
