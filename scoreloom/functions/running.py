@@ -59,3 +59,10 @@ def greedy_breaks(pieces: pa.Array, tokens: pa.Array, limit: pa.Array) -> pa.Arr
             at = max(at + 1, int(np.searchsorted(ends, ends[at] - own[lo + at] + most, "right")))
         ends_at.append(len(out))
     return nested(pieces, np.array(out, np.int32), np.array(ends_at, np.int64), pa.int32())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def cuttings(texts: pa.Array, starts: pa.Array, size: pa.Array) -> pa.Array:
+    """Of each of the 0-based places of a text the ``size`` characters from there on, fewer at its end; a text is read once, not up to each place."""
+    return pa.array([None if text is None or places is None else [None if at is None else text[at:at + n] for at in places]
+                     for text, places, n in zip(texts.to_pylist(), starts.to_pylist(), size.to_pylist(), strict=True)], pa.list_(pa.string()))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import matchers as m
+from scoreloom.functions.running import cuttings
 from scoreloom.functions.text import fold, strip, word_count
 from scoreloom.functions.values import fence
 from scoreloom.operators import checks as c
@@ -131,8 +132,9 @@ def _(t):
        where lower(w) in ('the', 'le', 'der', 'die', 'and', 'et', 'und', 'of', 'de', 'des', 'von')""")
 def _(t):
     text = F.col("text")
-    found = t.texts.select("doc_id", "text", F.explode(WORDS.find_all(text)).alias("f"))
-    return found.select("doc_id", "f.value", "f.position", F.substring(text, F.col("f.position") + 1, 3).alias("there"))
+    # what stands there is cut out beside the text: a substring of a mention's row reads the text up to it
+    found = fence(t.texts.select("doc_id", "text", WORDS.find_all(text).alias("f")), ["f"]).withColumn("there", cuttings(text, F.col("f.position"), F.lit(3)))
+    return found.select("doc_id", F.explode(F.arrays_zip("f", "there")).alias("m")).select("doc_id", "m.f.value", "m.f.position", "m.there")
 
 
 @query("v7_vocabulary_table", r"""with recursive v as (select distinct replace(lower(array_to_string(string_split(trim(regexp_replace(text, '[ 	

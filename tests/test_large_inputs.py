@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import matchers as m
+from scoreloom.functions.running import cuttings
 from scoreloom.functions.values import fence
 from scoreloom.operators import answers, checks, hidden_states, runs, skew, vector_sets, windows
 from scoreloom.operators.rubric import Item, Rubric, Section
@@ -54,6 +55,21 @@ def test_vocabularies_of_any_size(spark, n):
     assert [tuple(r) for r in found] == want
 
 
+def test_long_texts_after_the_last_mention(spark):
+    # behind its mention nothing is found in 240,000 characters: read once, and not again from each of them
+    df = spark.createDataFrame([(1, "é red " + "blu " * 60_000), (2, " " * 120_000 + "."), (3, None)], "id long, text string")
+    start = time.time()
+    found = fence(df.select("id", "text", m.Vocabulary(["red"]).find_all(F.col("text")).alias("f")), ["f"])
+    cut = found.select("id", "f", cuttings(F.col("text"), F.col("f.position"), F.lit(5)).alias("there")).orderBy("id").collect()
+    assert [(r.id, None if r.f is None else [tuple(x) for x in r.f], r.there) for r in cut] == [(1, [("red", 2)], ["red b"]), (2, [], []), (3, None, None)]
+    said = m.QualifiedVocabulary(["Red Fox"]).mentions(F.concat(F.lit("Red Fox reversed. "), F.col("text")))
+    assert [r.said for r in df.where("id < 3").select(said.alias("said")).collect()] == [["Red Fox reversed"]] * 2
+    table = spark.createDataFrame([("red", "red")], "alias string, value string")
+    padded = df.withColumn("text", F.concat("text", F.lit(" " * 120_000)))
+    assert [tuple(r) for r in table_mentions(padded, "id", "text", table).select("id", "position").collect()] == [(1, 2)]
+    assert time.time() - start < 60
+
+
 def test_tree_of_beginnings():
     rng = random.Random(3)
     for _ in range(60):
