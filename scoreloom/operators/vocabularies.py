@@ -1,95 +1,270 @@
 """Mentions of a vocabulary that is a table: texts and aliases of any number, joined by equality.
 
 Texts and aliases are cut into tokens, runs of word characters or single other characters.  An alias stands in a text where the same characters
-stand from the beginning of one token to the end of another, so candidates meet by their first token, and then by all of their
-characters; no text is compared with an alias that it does not hold.  Of the aliases at a place the longest counts, and mentions
+stand from the beginning of one token to the end of another.  Texts are dealt out once, in chunks; of the runs of tokens of a chunk only different hashes meet
+the aliases, and a chunk gets back the aliases that may stand in it, so what travels does not grow with how often something is
+said.  Characters decide: a hash only tells what to compare.  Of the aliases at a place the longest counts, and mentions
 do not overlap, the first from the left winning, as one pattern of all aliases would have it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.functions.running import piece_ends
 from scoreloom.functions.text import fold, strip
-from scoreloom.functions.values import fence
 
 TOKEN = r"(?U)[\w']+|[^\w'\s]"
-UP_TO_TOKEN = r"\G(?sU:[^\w']*?)(?U:[\w']+|[^\w'\s])"
-WORDLIKE = r"(?U)[\w']"
+WORD, WHITE = 1, 2  # kinds of characters
+CHUNK = 1 << 22  # characters of texts that get their aliases together, about
+BATCH = 1 << 19  # characters that are hashed at once
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its kind as in ``TOKEN``, and its lower case (a final sigma is a sigma)."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every = "".join(map(chr, points))
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for found in regex.finditer(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}']+", every):
+        kind[ord(every[found.start()]):ord(every[found.end() - 1]) + 1] = WORD
+    kind[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = WHITE
+    for c in regex.findall(r"\p{Changes_When_Lowercased}", every):
+        lower[ord(c)] = ord(c.lower()[0])
+    lower[ord("ς")] = ord("σ")
+    return kind, lower
+
+
+def powers(base: int, many: int) -> np.ndarray:
+    out = np.full(many, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@cache
+def usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, 2 * BATCH), powers(pow(BASE, -1, 1 << 64), 2 * BATCH)
+
 
+def run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the folded runs of code points from ``starts`` to ``ends``: polynomials, from sums over the whole."""
+    codes = characters()[1][points]
+    at = np.arange(len(codes) + 1)
+    two = (codes == 0xDF) | (points == 0x130)  # ß is ss, and the i with a dot an i and a dot
+    if two.any():
+        at = np.r_[0, np.cumsum(1 + two)]
+        seconds = np.where(points[two] == 0x130, 0x307, ord("s"))
+        codes = np.where(codes == 0xDF, ord("s"), codes)
+        codes = np.repeat(codes, 1 + two)
+        codes[at[1:][two] - 1] = seconds
+    many = len(codes)
+    up, down = usual_powers() if many < 2 * BATCH else (powers(BASE, many + 1), powers(pow(BASE, -1, 1 << 64), many + 1))
+    total = np.zeros(many + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:many], out=total[1:])
+    x = (total[at[ends]] - total[at[starts]]) * down[at[starts]]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def token_pieces(text: Column) -> Column:
-    """array<struct<piece, token, end>>: each token, with the white space in front of it as a piece, and where it ends (characters)."""
-    pieces, tokens = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (UP_TO_TOKEN, TOKEN))
-    both = F.zip_with(pieces, tokens, lambda p, t: F.struct(p.alias("piece"), t.alias("token")))
-    return F.zip_with(both, piece_ends(pieces), lambda b, e: F.struct(b["piece"].alias("piece"), b["token"].alias("token"), e.alias("end")))
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def joined_texts(texts: list[str | None]) -> tuple[str, np.ndarray]:
+    """Texts behind each other, a space behind each, and where each begins."""
+    texts = ["" if t is None else t for t in texts]
+    return " ".join([*texts, ""]), np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
+
+
+def stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of ``BATCH`` characters together, or of one text."""
+    lo = held = 0
+    for i, t in enumerate(texts):
+        size = len(t or "") + 1
+        if i > lo and held + size > BATCH:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def runs_of_tokens(texts: list[str | None], counts: list[int]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, where each begins, and of each run of as many tokens as aliases have: text, start, end, hash.
+
+    A run begins at a token that no word is glued to, and no word goes on behind it.
+    """
+    whole, begins = joined_texts(texts)
+    points = code_points(whole)
+    kind = characters()[0][points]
+    word, alone = kind == WORD, kind == 0
+    first, last = np.flatnonzero(alone | word & ~np.r_[False, word[:-1]]), np.flatnonzero(alone | word & ~np.r_[word[1:], False]) + 1
+    own = np.searchsorted(begins, first, side="right") - 1
+    open_start = ~np.r_[False, (last[:-1] == first[1:]) & word[first[:-1]]][:len(first)]
+    open_end = ~word[np.minimum(last, len(points) - 1)]
+    starts, ends, texts_of = [], [], []
+    for n in counts:
+        i = np.flatnonzero(open_start[:len(first) - n + 1] & open_end[n - 1:] & (own[:len(first) - n + 1] == own[n - 1:])) if n <= len(first) else np.zeros(0, np.int64)
+        starts.append(first[i]), ends.append(last[i + n - 1]), texts_of.append(own[i])
+    start, end, text = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, texts_of))
+    return whole, begins, text, start, end, run_hashes(points, start, end)
 
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
-def apart(starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """Which of the spans of a row, in order of their starts, stay when each must begin behind the last that stayed."""
-    first, last = starts.flatten().to_numpy(), ends.flatten().to_numpy()
-    edges = np.r_[0, np.cumsum(starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-    stays = np.zeros(len(first), bool)
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        free = -1
-        for i in range(lo, hi):
-            if first[i] >= free:
-                stays[i], free = True, last[i]
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(stays))
+
+def bits_of(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    yield hashes % np.uint64(bits)
+    yield (hashes >> np.uint64(32) ^ hashes << np.uint64(29)) % np.uint64(bits)
+
+
+def hashed(spelled: DataFrame) -> DataFrame:
+    """The aliases with the hash of their spelling as ``__hash``."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("__spelling").to_pylist()
+            out = []
+            for lo, hi in stretches(texts):
+                whole, begins = joined_texts(texts[lo:hi])
+                out.append(run_hashes(code_points(whole), begins[:-1], begins[1:] - 1))
+            yield batch.append_column("__hash", pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)))
+
+    return spelled.mapInArrow(work, T.StructType([*spelled.schema.fields, T.StructField("__hash", T.LongType())]))
+
+
+def filter_of(hashes: DataFrame, bits: int) -> dict[int, bytes]:
+    """Which of so many bits the hashes set, in 64 parts.  It only saves work: what it lets pass by chance finds no alias."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            for bit in bits_of(batch.column("__hash").to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                np.bitwise_or.at(own, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        set_parts = [(i, pa.compress(x.tobytes(), "lz4", asbytes=True)) for i, x in enumerate(own.reshape(64, -1)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in set_parts], pa.int32()), pa.array([x for _, x in set_parts], pa.binary())], ["part", "body"])
+
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(pa.decompress(x, bits >> 9, "lz4", asbytes=True), np.uint8) for x in rows["body"]])
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "body": [pa.compress(whole.tobytes(), "lz4", asbytes=True)]})
+
+    got = hashes.select("__hash").mapInArrow(work, "part int, body binary").groupBy("part").applyInPandas(either, "part int, body binary").collect()
+    return {r.part: bytes(r.body) for r in got}
+
+
+def apart(group: list, first: list, last: list) -> list[int]:
+    """Which of the spans of each group, in order of their starts, stay when each must begin behind the last that stayed."""
+    stays, now, free = [], None, -1
+    for i, (g, lo, hi) in enumerate(zip(group, first, last, strict=True)):
+        if g != now:
+            now, free = g, -1
+        if lo >= free:
+            stays.append(i)
+            free = hi
+    return stays
 
 
 def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, alias: str = "alias", value: str = "value", overlaps: bool = False) -> DataFrame:
     """``key, value, alias, position, length``: every mention of an alias in a text, with 0-based character positions.
 
-    Case does not count.  An alias that several values have stands for the least of them; blank aliases name nothing.  ``key`` is unique.
-    With ``overlaps`` the longest alias at each place is given even where another mention covers the place.  The aliases are reduced to
-    their first tokens and then to their characters; both joins are by equality, and Spark broadcasts a vocabulary by its measured size only.
+    Case does not count.  An alias that several values have stands for the least of them; blank aliases name nothing.  Texts of one key count as one: of
+    mentions that begin at the same place, or overlap, one is given.
+    With ``overlaps`` the longest alias at each place is given even where another mention covers the place.  A filter of the aliases' hashes, 32 bits an alias and 16 MB at most, goes
+    through the driver; the aliases themselves meet the hashes of the texts' runs of tokens by equality, and Spark broadcasts a vocabulary by its measured size only.
     """
+    spark = texts.sparkSession
     spelled = (vocabulary.select(fold(strip(F.col(alias))).alias("__spelling"), F.col(value).alias("value")).where("__spelling <> ''")
                .groupBy("__spelling").agg(F.min("value").alias("value")))
-    tokens = F.regexp_extract_all("__spelling", F.lit(TOKEN), F.lit(0))
-    spelled = spelled.select("__spelling", "value", F.get(tokens, F.lit(0)).alias("__first"), F.size(tokens).alias("__tokens"))
-    # of each first token the numbers of tokens that its aliases have: a handful
-    lengths = spelled.groupBy("__first").agg(F.collect_set("__tokens").alias("__lengths"), F.max("__tokens").alias("__most"))
-    # kept, so that Spark knows its size before it deals out the tokens: else it shuffles every token with what follows, and measures only then
-    lengths = lengths.persist()
-    reach = lengths.agg(F.coalesce(F.max("__most"), F.lit(0))).first()[0]  # most tokens of an alias
-    placed = fence(texts.select(F.col(key).alias("__key"), token_pieces(F.col(text)).alias("__pieces")), ["__pieces"])
-    word = lambda character: F.coalesce(character.rlike(WORDLIKE), F.lit(False))
-
-    def place(p: Column, i: Column) -> Column:
-        gap, size = F.length(p["piece"]) - F.length(p["token"]), F.length(p["token"])
-        near = F.slice("__pieces", i + 1, F.lit(reach + 1))  # what aliases can reach, and the token behind it
-        return F.struct(fold(p["token"]).alias("first"), (p["end"] - size).alias("at"),
-                        ((gap == 0) & word(F.get("__pieces", i - 1)["token"])).alias("glued"),
-                        F.substring(F.array_join(F.transform(near, lambda u: u["piece"]), ""), gap + 1, F.lit((1 << 31) - 1)).alias("run"),
-                        F.transform(near, lambda u: u["end"] - p["end"] + size).alias("ends"))
-
-    near = placed.select("__key", F.explode(F.transform("__pieces", place)).alias("t")).where("not t.glued")
-    candidates = (near.join(lengths, F.col("t.first") == F.col("__first")).select("__key", "t.*", F.explode("__lengths").alias("__n"))
-                  .where(F.col("__n") <= F.size("ends")).withColumn("length", F.get("ends", F.col("__n") - 1)))
-    said = F.substring("run", F.lit(1), F.col("length"))
-    read = candidates.where(~word(F.substring("run", F.col("length") + 1, F.lit(1)))).select(
-        "__key", "at", "length", fold(said).alias("__said"), F.when(said != fold(said), said).alias("__as"))
-    # what travels: of a place the folded text alone, unless the text is written in another way; behind the join the value alone, likewise
-    met = read.join(spelled.select("__spelling", "value"), F.col("__said") == F.col("__spelling")).select(
-        "__key", "at", "length", "value", F.coalesce("__as", "__said").alias("alias")).withColumn("alias", F.when(~F.col("alias").eqNullSafe(F.col("value").cast("string")), F.col("alias")))
-    written = lambda m: F.coalesce(m["alias"], m["value"].cast("string")).alias("alias")
-    if overlaps:
-        longest = met.groupBy("__key", "at").agg(F.max_by(F.struct("value", "alias", "length"), "length").alias("m"))
-        found = longest.select("__key", "at", "m.value", written(F.col("m")), "m.length")
-    else:
-        # the mentions of one text, the longest at a place first: the others there begin before it ends; dealt first, for nothing adds up before
-        rows = met.repartition("__key").groupBy("__key").agg(F.array_sort(F.collect_list(
-            F.struct("at", (-F.col("length")).alias("shorter"), "value", "alias"))).alias("x"))
-        spans = fence(rows.select("__key", "x", F.col("x.at").alias("from"), F.transform("x", lambda m: m["at"] - m["shorter"]).alias("upto")), ["x", "from", "upto"])
-        kept = fence(spans.select("__key", F.arrays_zip(F.col("x"), apart(F.col("from"), F.col("upto")).alias("stays")).alias("z")), ["z"])
-        found = kept.select("__key", F.explode("z").alias("z")).where("z.stays").select("__key", "z.x.*").select(
-            "__key", "at", "value", F.coalesce("alias", F.col("value").cast("string")).alias("alias"), (-F.col("shorter")).alias("length"))
-    return found.select(F.col("__key").alias(key), "value", "alias", F.col("at").alias("position"), "length")
+    spelled = hashed(spelled).withColumn("__tokens", F.regexp_count("__spelling", F.lit(TOKEN))).persist()  # read for the filter and for the join
+    told = spelled.agg(F.count(F.lit(1)), F.coalesce(F.array_sort(F.collect_set("__tokens")), F.array().cast("array<int>"))).first()
+    counts = [n for n in told[1] if n]
+    bits = 1 << min(max(32 * told[0], 1 << 16).bit_length(), 27)
+    wanted = spark.sparkContext.broadcast(filter_of(spelled, bits))
+    size = texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(parts, -(-size // CHUNK))
+    dealt = (texts.select(F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).alias("__chunk"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+             .repartition(parts, "__chunk"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.zeros((64, bits >> 9), np.uint8)
+        for part, body in wanted.value.items():
+            passes[part] = np.frombuffer(pa.decompress(body, bits >> 9, "lz4", asbytes=True), np.uint8)
+        passes = passes.reshape(-1)
+        held: dict[int, np.ndarray] = {}
+
+        def frame() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])),
+                                               pa.array(np.concatenate(list(held.values())).view(np.int64))], ["__chunk", "__asked"])
+        for batch in batches:
+            bodies, chunk = batch.column("__text").to_pylist(), batch.column("__chunk").to_numpy(zero_copy_only=False)
+            for lo, hi in stretches(bodies):
+                _, _, own, _, _, h = runs_of_tokens(bodies[lo:hi], counts)
+                first, second = (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0 for bit in bits_of(h, bits))
+                h, of = h[first & second], chunk[lo:hi][own[first & second]]
+                for c in np.unique(of).tolist():
+                    held[c] = np.unique(np.r_[held.get(c, np.zeros(0, np.uint64)), h[of == c]])
+            if sum(map(len, held.values())) > 1 << 21:
+                yield frame()
+                held.clear()
+        if held:
+            yield frame()
+
+    may_stand = dealt.mapInArrow(asked, "__chunk long, __asked long")
+    hits = (may_stand.join(spelled.select("__hash", "__spelling", "value"), F.col("__asked") == F.col("__hash"))
+            .select(F.col("__chunk").alias("__of"), "__spelling", "value"))
+    names = [key, "value", "alias", "position", "length"]
+    out = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("value", spelled.schema["value"].dataType), T.StructField("alias", T.StringType()),
+                        T.StructField("position", T.IntegerType()), T.StructField("length", T.IntegerType())])
+
+    def stand(left: pa.Table, right: pa.Table) -> pa.Table:
+        bodies, keys, values = left.column("__text").to_pylist(), left.column("__key"), right.column("value")
+        group = pc.dictionary_encode(keys.combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False) if len(left) else np.zeros(0, np.int64)
+        numbers = {spelling: i for i, spelling in enumerate(right.column("__spelling").to_pylist())}
+        hashes = np.zeros(0, np.uint64)
+        if numbers:
+            whole, begins = joined_texts(list(numbers))
+            hashes = np.unique(run_hashes(code_points(whole), begins[:-1], begins[1:] - 1))
+        number_of: dict[str, int] = {}  # of what was met so far, as it is written
+        rows, froms, sizes, named = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for lo, hi in stretches(bodies) if numbers else ():
+            whole, begins, own, start, end, h = runs_of_tokens(bodies[lo:hi], counts)
+            near = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+            own, start, end = own[near], start[near], end[near]
+            found = []
+            for a, b in zip(start.tolist(), end.tolist(), strict=True):
+                said = whole[a:b]
+                n = number_of.get(said)
+                if n is None:
+                    n = number_of[said] = numbers.get(said.lower().replace("ß", "ss"), -1)
+                found.append(n)
+            number = np.array(found, np.int64)
+            stands = number >= 0
+            rows.append(lo + own[stands]), froms.append((start - begins[own])[stands]), sizes.append((end - start)[stands]), named.append(number[stands])
+        row, at, length, number = (np.concatenate(x) for x in (rows, froms, sizes, named))
+        order = np.lexsort((-length, at, group[row]))  # the longest at a place first
+        row, at, length, number = row[order], at[order], length[order], number[order]
+        again = (group[row][1:] == group[row][:-1]) & (at[1:] == at[:-1]) & (length[1:] == length[:-1])
+        if again.any():  # texts of one key: the least value first, and what is written as its value is
+            rank = pc.rank(values.combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+            def place(i: int) -> tuple:
+                said = bodies[row[i]][at[i]:at[i] + length[i]]
+                return rank[number[i]], said != str(values[number[i]].as_py()), said
+            edges = np.flatnonzero(np.r_[True, ~again, True])
+            order = np.array([i for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for i in (sorted(range(lo, hi), key=place) if hi > lo + 1 else (lo,))])
+            row, at, length, number = row[order], at[order], length[order], number[order]
+        if overlaps:
+            stays = np.flatnonzero(np.r_[True, (group[row][1:] != group[row][:-1]) | (at[1:] != at[:-1])][:len(row)])
+        else:
+            stays = np.array(apart(group[row].tolist(), at.tolist(), (at + length).tolist()), np.int64)
+        row, at, length, number = row[stays], at[stays], length[stays], number[stays]
+        written = [bodies[r][a:a + n] for r, a, n in zip(row.tolist(), at.tolist(), length.tolist(), strict=True)]
+        return pa.Table.from_arrays([keys.take(pa.array(row)), values.take(pa.array(number)), pa.array(written, pa.string()), pa.array(at, pa.int32()), pa.array(length, pa.int32())], names)
+
+    return dealt.groupBy("__chunk").cogroup(hits.groupBy("__of")).applyInArrow(stand, out)

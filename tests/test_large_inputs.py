@@ -70,6 +70,23 @@ def test_long_texts_after_the_last_mention(spark):
     assert time.time() - start < 60
 
 
+def test_a_table_vocabulary_travels_once_a_chunk(spark):
+    # of each text the runs of tokens meet the aliases as hashes, once for each chunk; former plans shuffled every place with its text
+    said = ["RED fox, den", "red  fox", "Straße STRASSE straẞe", "İx i̇x", "ΑΣ ας.α ΑΣ", "x red", "xred red'x (red)", None, "", "a 𝟙😀 red"]
+    rows = [(i, t) for i, t in enumerate(said)] + [(20, "red fox"), (20, "RED foxes"), (None, "den"), (None, "den red")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    names = [("red", 1), ("red fox", 2), ("red  fox", 3), ("strasse", 4), ("İX", 5), ("ΑΣ", 6), ("ΑΣ.Α", 7), ("(", 8), ("den", None), ("Red", 9), ("😀", 10)]
+    found = table_mentions(df, "id", "text", spark.createDataFrame(names, "alias string, value long"))
+    assert {f.name: f.dataType.simpleString() for f in found.schema} == {"id": "bigint", "value": "bigint", "alias": "string", "position": "int", "length": "int"}
+    want = [(0, 2, "RED fox", 0), (0, None, "den", 9), (1, 3, "red  fox", 0), (2, 4, "Straße", 0), (2, 4, "STRASSE", 7), (2, 4, "straẞe", 15), (3, 5, "İx", 0), (3, 5, "i̇x", 3), (4, 6, "ΑΣ", 0),
+            (4, 6, "ας", 3), (4, 6, "ΑΣ", 8), (5, 1, "red", 2), (6, 1, "red", 12), (9, 1, "red", 5), (20, 2, "red fox", 0), (None, None, "den", 0), (None, 1, "red", 4)]
+    got = [(r.id, r.value, r.alias, r.position) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    many = spark.createDataFrame([(i, "red fox den " * 2_000) for i in range(40)], "id long, text string")
+    plan = table_mentions(many, "id", "text", spark.createDataFrame(names, "alias string, value long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan.split("InMemoryTableScan")[0] and plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning(__key") == 0
+
+
 def test_tree_of_beginnings():
     rng = random.Random(3)
     for _ in range(60):
