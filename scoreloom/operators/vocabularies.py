@@ -121,9 +121,8 @@ def runs_of_tokens(texts: list[str | None], counts: list[int]) -> tuple[str, np.
     return whole, begins, text, start, end, run_hashes(points, start, end)
 
 
-def bits_of(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    yield hashes % np.uint64(bits)
-    yield (hashes >> np.uint64(32) ^ hashes << np.uint64(29)) % np.uint64(bits)
+def bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return hashes % np.uint64(bits), (hashes >> np.uint64(32) ^ hashes << np.uint64(29)) % np.uint64(bits)
 
 
 def hashed(spelled: DataFrame) -> DataFrame:
@@ -158,16 +157,33 @@ def filter_of(hashes: DataFrame, bits: int) -> dict[int, bytes]:
     return {r.part: bytes(r.body) for r in got}
 
 
-def apart(group: list, first: list, last: list) -> list[int]:
+def apart(group: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of the spans of each group, in order of their starts, stay when each must begin behind the last that stayed."""
-    stays, now, free = [], None, -1
-    for i, (g, lo, hi) in enumerate(zip(group, first, last, strict=True)):
-        if g != now:
-            now, free = g, -1
-        if lo >= free:
-            stays.append(i)
-            free = hi
-    return stays
+    if not len(first):
+        return np.zeros(0, np.int64)
+    number = np.cumsum(np.r_[0, group[1:] != group[:-1]]).astype(np.int64) << 32
+    reach = np.maximum.accumulate(number + last)
+    free = np.r_[True, number[1:] + first[1:] >= reach[:-1]]  # behind all before them; the others are walked from the last such one on
+    stays = free.copy()
+    met = np.flatnonzero(~free)
+    until = 0
+    for i, lo, hi, before in zip(met.tolist(), first[met].tolist(), last[met].tolist(), free[met - 1].tolist(), strict=True):
+        if before:
+            until = int(last[i - 1])
+        if lo >= until:
+            stays[i], until = True, hi
+    return np.flatnonzero(stays)
+
+
+def written_runs(whole: str, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The runs of a text from ``start`` to ``end`` (characters), copied at once."""
+    body = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(body) != len(whole):
+        at = np.r_[np.flatnonzero((body & 0xC0) != 0x80), len(body)]
+        start, end = at[start], at[end]
+    edges = np.r_[0, np.cumsum(end - start)]
+    flat = body[np.arange(edges[-1]) + np.repeat(start - edges[:-1], end - start)]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat))
 
 
 def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, alias: str = "alias", value: str = "value", overlaps: bool = False) -> DataFrame:
@@ -206,10 +222,13 @@ def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
             bodies, chunk = batch.column("__text").to_pylist(), batch.column("__chunk").to_numpy(zero_copy_only=False)
             for lo, hi in stretches(bodies):
                 _, _, own, _, _, h = runs_of_tokens(bodies[lo:hi], counts)
-                first, second = (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0 for bit in bits_of(h, bits))
-                h, of = h[first & second], chunk[lo:hi][own[first & second]]
-                for c in np.unique(of).tolist():
-                    held[c] = np.unique(np.r_[held.get(c, np.zeros(0, np.uint64)), h[of == c]])
+                for nth in range(2):
+                    bit = bits_of(h, bits)[nth]
+                    near = np.flatnonzero(passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                    h, own = h[near], own[near]
+                of = chunk[lo:hi][own]
+                for c in np.unique(chunk[lo:hi]).tolist():
+                    held[c] = np.unique(np.r_[held.get(c, np.zeros(0, np.uint64)), pd.unique(h[of == c])])
             if sum(map(len, held.values())) > 1 << 21:
                 yield frame()
                 held.clear()
@@ -219,52 +238,84 @@ def table_mentions(texts: DataFrame, key: str, text: str, vocabulary: DataFrame,
     may_stand = dealt.mapInArrow(asked, "__chunk long, __asked long")
     hits = (may_stand.join(spelled.select("__hash", "__spelling", "value"), F.col("__asked") == F.col("__hash"))
             .select(F.col("__chunk").alias("__of"), "__spelling", "value"))
-    names = [key, "value", "alias", "position", "length"]
     out = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("value", spelled.schema["value"].dataType), T.StructField("alias", T.StringType()),
                         T.StructField("position", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
     def stand(left: pa.Table, right: pa.Table) -> pa.Table:
-        bodies, keys, values = left.column("__text").to_pylist(), left.column("__key"), right.column("value")
-        group = pc.dictionary_encode(keys.combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False) if len(left) else np.zeros(0, np.int64)
-        numbers = {spelling: i for i, spelling in enumerate(right.column("__spelling").to_pylist())}
-        hashes = np.zeros(0, np.uint64)
-        if numbers:
-            whole, begins = joined_texts(list(numbers))
-            hashes = np.unique(run_hashes(code_points(whole), begins[:-1], begins[1:] - 1))
-        number_of: dict[str, int] = {}  # of what was met so far, as it is written
-        rows, froms, sizes, named = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for lo, hi in stretches(bodies) if numbers else ():
-            whole, begins, own, start, end, h = runs_of_tokens(bodies[lo:hi], counts)
-            near = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-            own, start, end = own[near], start[near], end[near]
-            found = []
+        bodies, keys, values = left.column("__text").to_pylist(), left.column("__key").combine_chunks(), right.column("value").combine_chunks()
+        spellings = right.column("__spelling").combine_chunks()
+        numbers = {spelling: i for i, spelling in enumerate(spellings.to_pylist())}
+        group = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy(zero_copy_only=False) if len(left) else np.zeros(0, np.int64)
+        several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)  # rows whose key others have too
+        whole, begins = joined_texts(list(numbers))
+        own = np.array(list(numbers.values()), np.int64)
+        hashes, first = np.unique(run_hashes(code_points(whole), begins[:-1], begins[1:] - 1), return_index=True)
+        passes = np.zeros(1 << 22, bool)
+        passes[(hashes >> np.uint64(42)).astype(np.int64)] = True
+
+        def exact(whole: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """The alias of each run, by its characters; -1 without one."""
+            number_of: dict[str, int] = {}  # as it is written
+            out = []
             for a, b in zip(start.tolist(), end.tolist(), strict=True):
                 said = whole[a:b]
                 n = number_of.get(said)
                 if n is None:
                     n = number_of[said] = numbers.get(said.lower().replace("ß", "ss"), -1)
-                found.append(n)
-            number = np.array(found, np.int64)
-            stands = number >= 0
-            rows.append(lo + own[stands]), froms.append((start - begins[own])[stands]), sizes.append((end - start)[stands]), named.append(number[stands])
-        row, at, length, number = (np.concatenate(x) for x in (rows, froms, sizes, named))
-        order = np.lexsort((-length, at, group[row]))  # the longest at a place first
-        row, at, length, number = row[order], at[order], length[order], number[order]
-        again = (group[row][1:] == group[row][:-1]) & (at[1:] == at[:-1]) & (length[1:] == length[:-1])
-        if again.any():  # texts of one key: the least value first, and what is written as its value is
-            rank = pc.rank(values.combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
-            def place(i: int) -> tuple:
-                said = bodies[row[i]][at[i]:at[i] + length[i]]
-                return rank[number[i]], said != str(values[number[i]].as_py()), said
-            edges = np.flatnonzero(np.r_[True, ~again, True])
-            order = np.array([i for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for i in (sorted(range(lo, hi), key=place) if hi > lo + 1 else (lo,))])
-            row, at, length, number = row[order], at[order], length[order], number[order]
-        if overlaps:
-            stays = np.flatnonzero(np.r_[True, (group[row][1:] != group[row][:-1]) | (at[1:] != at[:-1])][:len(row)])
-        else:
-            stays = np.array(apart(group[row].tolist(), at.tolist(), (at + length).tolist()), np.int64)
-        row, at, length, number = row[stays], at[stays], length[stays], number[stays]
-        written = [bodies[r][a:a + n] for r, a, n in zip(row.tolist(), at.tolist(), length.tolist(), strict=True)]
-        return pa.Table.from_arrays([keys.take(pa.array(row)), values.take(pa.array(number)), pa.array(written, pa.string()), pa.array(at, pa.int32()), pa.array(length, pa.int32())], names)
+                out.append(n)
+            return np.array(out, np.int64)
+
+        def chosen(whole: str, text: np.ndarray, start: np.ndarray, end: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
+            """Of runs in any order the longest at each place, and of those what does not overlap."""
+            order = np.lexsort((-end, start))
+            order = order[np.r_[True, np.diff(start[order]) > 0][:len(order)]]
+            text, start, end, number = text[order], start[order], end[order], number[order]
+            if overlaps:
+                return [text, start, end, number]
+            stays = apart(text, start, end)
+            return [text[stays], start[stays], end[stays], number[stays]]
+
+        parts: list[pa.Table] = []
+
+        def give(row: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray, written: pa.Array) -> None:
+            parts.append(pa.Table.from_arrays([keys.take(pa.array(row)), values.take(pa.array(number)), written, pa.array(at, pa.int32()), pa.array(size, pa.int32())], schema=shape))
+
+        shape = pa.schema([(key, keys.type), ("value", values.type), ("alias", pa.string()), ("position", pa.int32()), ("length", pa.int32())])
+        shared: list[tuple] = []
+        for lo, hi in stretches(bodies) if numbers else ():
+            whole, begins, text, start, end, h = runs_of_tokens(bodies[lo:hi], counts)
+            near = np.flatnonzero(passes[(h >> np.uint64(42)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(hashes, h[near]), len(hashes) - 1)
+            same = hashes[place] == h[near]
+            near, number = near[same], own[first[place[same]]]
+            text, start, end = text[near], start[near], end[near]
+            alone = ~several[lo + text]
+            if not alone.all():
+                n = exact(whole, start[~alone], end[~alone])
+                shared += [(group[lo + t], a - begins[t], b - a, i, lo + t) for t, a, b, i in zip(text[~alone].tolist(), start[~alone].tolist(), end[~alone].tolist(), n.tolist(), strict=True) if i >= 0]
+                text, start, end, number = text[alone], start[alone], end[alone], number[alone]
+            one = chosen(whole, text, start, end, number)
+            written = written_runs(whole, one[1], one[2])
+            # the hash told what to compare; where that is not an alias after all, characters decide from the start
+            wrong = np.flatnonzero(~pc.equal(pc.utf8_lower(written), spellings.take(pa.array(one[3]))).to_numpy(zero_copy_only=False))
+            if len(wrong) and (exact(whole, one[1][wrong], one[2][wrong]) != one[3][wrong]).any():
+                number = exact(whole, start, end)
+                stands = number >= 0
+                one = chosen(whole, text[stands], start[stands], end[stands], number[stands])
+                written = written_runs(whole, one[1], one[2])
+            give(lo + one[0], one[1] - begins[one[0]], one[2] - one[1], one[3], written)
+        if shared:  # texts of one key count as one: the longest at a place first, then the least value, and what is written as its value is
+            rank = pc.rank(values, null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+
+            def place_of(m: tuple) -> tuple:
+                said = bodies[m[4]][m[1]:m[1] + m[2]]
+                return m[0], m[1], -m[2], rank[m[3]], said != str(values[m[3]].as_py()), said
+            shared.sort(key=place_of)
+            of, at, size, number, row = (np.array(x, np.int64) for x in zip(*shared, strict=True))
+            stays = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
+            stays = stays if overlaps else stays[apart(of[stays], at[stays], (at + size)[stays])]
+            row, at, size, number = row[stays], at[stays], size[stays], number[stays]
+            give(row, at, size, number, pa.array([bodies[r][a:a + n] for r, a, n in zip(row.tolist(), at.tolist(), size.tolist(), strict=True)], pa.string()))
+        return pa.concat_tables(parts) if parts else shape.empty_table()
 
     return dealt.groupBy("__chunk").cogroup(hits.groupBy("__of")).applyInArrow(stand, out)
